@@ -219,7 +219,7 @@ def _scores(order: int, id_type: pa.DataType):
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_order: int = 4, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_order: int = 5, chunk_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose crc32(doc_id) mod ``modulus`` is not ``remainder``.
