@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -69,13 +69,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of consecutive rows of about ``most`` bytes."""
-    raw, offsets = utf8(column)
-    row, n = 0, len(offsets) - 1
-    while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1
-        end = min(max(end, row + 1), n)
-        yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    before = 0
+    for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        raw, offsets = utf8(part)
+        row, n = 0, len(offsets) - 1
+        while row < n:
+            end = int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1
+            end = min(max(end, row + 1), n)
+            yield before + row, before + end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
+        before += n
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -75,7 +75,7 @@ class _Tally:
                 distinct, count = bw.counted(part)
                 self.parts.append((distinct, count * n))
                 self.held += len(distinct)
-        if self.held > 4_000_000:
+        if self.held > 2_000_000:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def _scores(order: int, id_type: pa.DataType):
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_order: int = 5, chunk_bytes: int = 48 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_order: int = 5, chunk_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose crc32(doc_id) mod ``modulus`` is not ``remainder``.
