@@ -8,6 +8,8 @@ slice is a slice of its own).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,6 +119,13 @@ def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(h + (end - start).astype(np.uint64)).view(np.int64)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and malloc hold unused: idle workers keep none."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each occurs (or its sum of weights)."""
     if weights is None:

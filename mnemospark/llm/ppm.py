@@ -75,7 +75,7 @@ class _Tally:
                 distinct, count = bw.counted(part)
                 self.parts.append((distinct, count * n))
                 self.held += len(distinct)
-        if self.held > 2_000_000:
+        if self.held > 1_000_000:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +110,8 @@ def _requests(order: int):
                 for at in range(0, len(keys), 200_000):
                     k, m = keys[at : at + 200_000], n[at : at + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(m.astype(np.int64))], schema=schema)
+        tallies.clear()
+        bw.give_back()
 
     return run
 
@@ -189,6 +191,8 @@ def _answers(order: int, pairs: np.ndarray):
             for lo in range(0, len(at), 500_000):
                 part, some = at[lo : lo + 500_000], inv[lo : lo + 500_000]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk[part]), pa.array(kind[part]), pa.array(key[part]), pa.array(value[some])], schema=schema)
+            del keys, inv, count, value
+        bw.give_back()
 
     return run
 
@@ -219,7 +223,7 @@ def _scores(order: int, id_type: pa.DataType):
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_order: int = 5, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_order: int = 5, chunk_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose crc32(doc_id) mod ``modulus`` is not ``remainder``.
@@ -238,7 +242,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
     for pair, n in asked.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(PAIR).alias("pair")).agg(F.sum("n")).collect():  # at most 257 x 257 rows
         pairs[pair >> BITS, pair & ((1 << BITS) - 1)] = n
     meet = F.when(F.col("kind") == WORD, F.col("key")).otherwise(F.shiftright("key", BITS).bitwiseAND(PAIR))
-    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition("kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(_answers(max_order, pairs), "chunk int, kind tinyint, key long, value double")
+    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(_answers(max_order, pairs), "chunk int, kind tinyint, key long, value double")
     id_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
