@@ -233,31 +233,39 @@ def train(docs: DataFrame, learn: Column, sample_per_label: int = 300, steps: in
     return model
 
 
-def _predict(model: ByteLabeller | None, kind: pa.DataType):
-    schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def _predict(model: ByteLabeller | None, carried: pa.Schema):
+    """Carries all columns but ``letter`` over and adds the prediction."""
+    schema = carried.append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64()))
 
     def run(batches):
         cache = _Labelled(model) if model else None
         for batch in batches:
             if model:
                 p = document_probabilities(model, batch.column("text"), cache)
-                known = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool) & (p.sum(1) > 0)
+                known = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & (p.sum(1) > 0)
                 best = p.argmax(1)
                 names = np.where(known, np.array(model.labels, dtype=object)[best], UNKNOWN)
                 score = np.where(known, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)
             else:
                 names, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in carried], pa.array(names, pa.string()), pa.array(score)], schema=schema)
 
     return run
 
 
-def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_per_label: int = 300, steps: int = 900) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learns from the rows that are not held out."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_per_label: int = 300, steps: int = 900, keep: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row; learns from the rows that
+    are not held out. ``keep``: all columns of ``docs`` instead of the first two."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     out = held_out("doc_id", modulus, remainder)
     model = train(docs, ~out, sample_per_label, steps)
-    kind = docs.schema["doc_id"].dataType
-    given = docs.select("doc_id", "text", out.alias("held_out"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
-    return given.mapInArrow(_predict(model, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double")
+    letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letter")
+    if keep:
+        given = docs.select("*", letter)
+        carried = docs.schema
+    else:
+        given = docs.select("doc_id", out.alias("held_out"), "text", letter)
+        carried = given.select("doc_id", "held_out").schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return given.mapInArrow(_predict(model, to_arrow_schema(carried)), f"{fields}, lang_pred string, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontam, fm, langid, licenses, linededup, mixing, ppm, rules, simhash
+from mnemospark.llm import decontam, fm, langid, licenses, linededup, mixing, ppm, rules, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve(warc.page_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return done.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,21 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d, TIMESTAMP '2023-11-14 22:13:20' + to_seconds(page_id * 60) AS t FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare, substr(d, 1, 1) AS lead_ FROM p),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM b),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+        || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM q),
+r AS (SELECT page_id * 2 AS record_id, canonical_url, t AS ts, 'response' AS kind, d AS tag, strftime(t, '%Y-%m-%d %H:%M:%S') AS stamp FROM c
+      UNION ALL
+      SELECT page_id * 2 + 1, canonical_url, CASE WHEN lead_ = '2' THEN t - INTERVAL 30 SECOND ELSE t + INTERVAL 90 SECOND END, 'revisit', CASE WHEN lead_ IN ('0', '1') THEN 'changed' ELSE d END,
+             strftime(CASE WHEN lead_ = '2' THEN t - INTERVAL 30 SECOND ELSE t + INTERVAL 90 SECOND END, '%Y-%m-%d %H:%M:%S') FROM c),
+f AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'tag': tag, 'stamp': stamp} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM r),
+s AS (SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN found.tag = tag THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM f WHERE kind = 'revisit')
+SELECT record_id, canonical_url, CASE WHEN status = 'resolved' THEN found.id END AS response_id, status,
+       CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || stamp || chr(10) || 'etag: W/"' || tag || '"' || chr(10) || 'last-modified: ' || found.stamp END AS headers FROM s"""
+
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
 s AS (SELECT n, doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -90,4 +111,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def oracle_sql() -> dict[str, str]:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
-    return {"op7_license_scan": licenses.oracle(), "op8_source_mix": OP8_SQL, "op9_quality_rules": OP9_SQL.replace("STOP_WORDS", stop)}
+    return {"op5_warc_revisits": OP5_SQL, "op7_license_scan": licenses.oracle(), "op8_source_mix": OP8_SQL, "op9_quality_rules": OP9_SQL.replace("STOP_WORDS", stop)}
