@@ -35,16 +35,24 @@ def _tokens(df: DataFrame, key: str) -> DataFrame:
     return words.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("t"))
 
 
-def _seeds(t: Column, mask: str) -> Column:
+def _seeds(t: Column, number: int, mask: str) -> Column:
     ones = [i for i, c in enumerate(mask) if c == "1"]
-    hashed = F.transform(F.sequence(F.lit(0), F.size(t) - len(mask)), lambda i: F.xxhash64(F.lit(mask), *[nt.at(t, i + j) for j in ones]))
+    hashed = F.transform(F.sequence(F.lit(0), F.size(t) - len(mask)), lambda i: F.xxhash64(F.lit(number), *[nt.at(t, i + j) for j in ones]))
     return F.when(F.size(t) >= len(mask), hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _hits(df: DataFrame, key: str, masks: tuple[str, ...], where: str) -> DataFrame:
-    """One row for each seed: key, t, the place ``where`` the seed stands, h."""
-    each = [F.transform(_seeds(F.col("t"), m), lambda h, i: F.struct(i.alias(where), h.alias("h"))) for m in masks]
-    return df.select(key, "t", F.explode(F.concat(*each)).alias("s")).select(key, "t", f"s.{where}", "s.h")
+def _hits(df: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
+    """One row for each seed: key, t, p (its place among the seeds of all masks), h."""
+    return df.select(key, "t", F.posexplode(F.concat(*[_seeds(F.col("t"), k, m) for k, m in enumerate(masks)])).alias("p", "h"))
+
+
+def _place(t: Column, p: Column, masks: tuple[str, ...]) -> Column:
+    """The token at which seed p starts; worked out for hits only."""
+    at, before = p, F.lit(0)
+    for m in masks[:-1]:
+        before = before + F.greatest(F.lit(0), F.size(t) - len(m) + 1)
+        at = F.when(p >= before, p - before).otherwise(at)
+    return at
 
 
 def _verified(hits: DataFrame, window: int, agree: float) -> DataFrame:
@@ -72,13 +80,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, agree:
     span = max(map(len, MASKS))
     short = [r[0] for r in items.where(F.size("t") < span).select(F.size("t").alias("n")).distinct().collect()]  # fewer than span numbers
     masks = MASKS + tuple(sorted("1" * n for n in short))
-    seeds = _hits(items, "item_id", masks, "item_at").where(F.col("h").isNotNull()).withColumnRenamed("t", "item_t")
+    seeds = _hits(items, "item_id", masks)
+    seeds = seeds.select("item_id", F.col("t").alias("item_t"), _place(F.col("t"), F.col("p"), masks).alias("item_at"), "h")
     tokens = _tokens(docs.select("doc_id", "text"), "doc_id")
-    ours = _hits(tokens, "doc_id", masks, "doc_at")
+    ours = _hits(tokens, "doc_id", masks)
+    doc_at = _place(F.col("t"), F.col("p"), masks).alias("doc_at")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = ours.join(F.broadcast(seeds), "h")
+        hits = ours.join(F.broadcast(seeds), "h").select("doc_id", "item_id", "t", "item_t", doc_at, "item_at")
     else:
-        met = ours.select("doc_id", "doc_at", "h").join(seeds.select("item_id", "item_at", "h"), "h").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "doc_at", "item_at").dropDuplicates(["doc_id", "item_id", "shift", "doc_at"])
+        met = ours.select("doc_id", doc_at, "h").join(seeds.select("item_id", "item_at", "h"), "h").select("doc_id", "item_id", "doc_at", "item_at").distinct()
         hits = met.join(tokens, "doc_id").join(items.withColumnRenamed("t", "item_t"), "item_id")
     good = _verified(hits.select("doc_id", "item_id", "t", "item_t", "doc_at", "item_at"), window, agree)
     best = F.max(F.struct(F.col("n_equal"), (-F.greatest("shift", F.lit(0))).alias("before"), F.col("win")))
