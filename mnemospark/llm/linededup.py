@@ -96,8 +96,12 @@ def _variants(id_type: pa.DataType):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1) -> DataFrame:
-    """(doc_id, no, near): the lines that go, and whether only a near copy is earlier."""
+def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, no, near): the lines that go, and whether only a near copy is earlier.
+
+    Up to ``broadcast_rows`` open classes (counted; some 30 bytes each) fetch
+    their texts by a broadcast, more by a shuffle.
+    """
     if max_edits != 1:
         raise ValueError("the keys are made for one edit")
     from pyspark.sql.pandas.types import to_arrow_type
@@ -116,6 +120,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1) ->
     is_short, both = F.col("n") == F.col("m"), (F.col("short") >= 1) & (F.col("long") >= 1)
     open_ = halves.join(shared, ["m", "key"]).groupBy("h1", "h2").agg(F.max(is_short & (F.col("short") >= 2)).alias("same"), F.max(is_short & both).alias("whole"), F.max(~is_short & both).alias("del"))
     open_ = open_.where("same OR whole OR del").join(classes.select("h1", "h2", "first"), ["h1", "h2"]).select("first.doc_id", "first.no", "same", "whole", "del")
+    open_ = materialize(open_, "halves")
+    if open_.count() <= broadcast_rows:
+        open_ = F.broadcast(open_)
     texts = materialize(lines.join(open_, ["doc_id", "no"]).dropDuplicates(["doc_id", "no"]), "open")
 
     kind = docs.schema["doc_id"].dataType
