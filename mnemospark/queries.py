@@ -1,15 +1,767 @@
-"""Named queries of the engine and their DuckDB oracles."""
+"""Named queries of the engine and their DuckDB oracles.
+
+Each query runs one operator over whole tables. Scores are nudged and rounded
+before they are ranked (``scalars.rounded``), so both engines order ties alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mnemospark.functions import scalars as S
+from mnemospark.operators import derive, graph, lexical, ranking, resolution, statements, vectors
+from mnemospark.operators.filters import FilterChain
+from mnemospark.plans.dsl import condition
+from mnemospark.plans.engine import Engine, Request
+from mnemospark.sources import records as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+CUE_TERMS = ["thanedble", "anea", "erinter"]
+NOW = "2024-02-01 00:00:00"
+MEM = """mem AS (SELECT doc_id AS memory_id, source AS agent, lang AS context, CASE doc_id % 3 WHEN 0 THEN 'Episodic' WHEN 1 THEN 'Semantic' ELSE 'Consolidated' END AS kind,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at, least(1.0::DOUBLE, n_chars / 10000.0::DOUBLE) AS salience, text FROM documents)"""
+VEC = "vec AS (SELECT vec_id AS memory_id, embedding::DOUBLE[] AS v, label FROM embeddings), cue AS (SELECT v AS c FROM vec WHERE memory_id = 0)"
+COS = "list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c))"
+ANN = f"""{VEC}, ann AS (SELECT memory_id, round({COS} + 1e-9::DOUBLE, 6) AS score FROM vec, cue),
+sem AS (SELECT memory_id, score, row_number() OVER (ORDER BY score DESC, memory_id) AS rank FROM ann QUALIFY rank <= 100)"""
+TOK = "tok AS (SELECT doc_id AS memory_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS toks FROM documents)"
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    return f"""terms AS (SELECT unnest({terms!r}::VARCHAR[]) AS term),
+tf AS (SELECT memory_id, len(toks) AS length, term, len(list_filter(toks, lambda t: t = term))::DOUBLE AS tf FROM tok, terms),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS mean FROM tok), df AS (SELECT term, (count(*) FILTER (WHERE tf > 0))::DOUBLE AS df FROM tf GROUP BY term),
+bm AS (SELECT memory_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) + 1e-9::DOUBLE, 6) AS score FROM tf JOIN df USING (term), n WHERE tf > 0 GROUP BY memory_id),
+lex AS (SELECT memory_id, score, row_number() OVER (ORDER BY score DESC, memory_id) AS rank FROM bm QUALIFY rank <= 100)"""
+
+
+BM25 = f"{TOK}, {_bm25_sql(CUE_TERMS)}"
+LANES = f"{ANN}, {BM25}, lists AS (SELECT 'semantic' AS lane, memory_id AS item_id, rank, score FROM sem UNION ALL SELECT 'lexical', memory_id, rank, score FROM lex)"
+
+
+def _cue(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(R.vectors(spark, sf_dir).where("memory_id = 0").first()["v"])
+
+
+def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sem = vectors.knn(R.vectors(spark, sf_dir), _cue(spark, sf_dir), 100)
+    lex = lexical.bm25_topk(R.memories(spark, sf_dir), CUE_TERMS, 100)
+    lane = lambda df, name: df.select(F.lit(name).alias("lane"), F.col("memory_id").alias("item_id"), "rank", "score")
+    return lane(sem, "semantic").unionByName(lane(lex, "lexical"))
+
+
+# --- vector search ------------------------------------------------------------
+@_query(f"WITH {ANN} SELECT memory_id, score, rank FROM sem WHERE rank <= 20")
+def ann_topk(spark, sf_dir):
+    return vectors.knn(R.vectors(spark, sf_dir), _cue(spark, sf_dir), 20)
+
+
+@_query(f"WITH {ANN}, f AS (SELECT memory_id, score FROM ann JOIN vec USING (memory_id) WHERE label IN (1, 3, 5) AND score >= 0.05) SELECT memory_id, score, row_number() OVER (ORDER BY score DESC, memory_id) AS rank FROM f QUALIFY rank <= 20")
+def ann_topk_filtered(spark, sf_dir):
+    return vectors.knn(R.vectors(spark, sf_dir), _cue(spark, sf_dir), 20, F.col("label").isin(1, 3, 5), 0.05)
+
+
+@_query(f"WITH {ANN} SELECT label, max(score) AS score FROM ann JOIN vec USING (memory_id) GROUP BY label ORDER BY score DESC, label LIMIT 5")
+def hype_best_per_owner(spark, sf_dir):
+    v = R.vectors(spark, sf_dir)
+    scored = v.select("label", S.rounded(S.cosine(F.col("v"), vectors.literal(_cue(spark, sf_dir)))).alias("score"))
+    return vectors.best_per_owner(scored, "label", "score", 5)
+
+
+@_query(f"""WITH {ANN}, d AS (SELECT * FROM sem WHERE rank <= 10), x AS (SELECT a.memory_id, round(1 - a.score + 1e-9::DOUBLE, 6) AS extra FROM ann a JOIN vec USING (memory_id) WHERE label IN (0, 2)),
+u AS (SELECT coalesce(d.memory_id, x.memory_id) AS memory_id, greatest(score, extra) AS score, d.rank AS dr FROM d FULL JOIN x ON d.memory_id = x.memory_id)
+SELECT memory_id, score, row_number() OVER (ORDER BY dr IS NULL, coalesce(dr, 0), score DESC, memory_id) AS rank FROM u QUALIFY rank <= 30""")
+def hype_merge(spark, sf_dir):
+    v = R.vectors(spark, sf_dir)
+    direct = vectors.knn(v, _cue(spark, sf_dir), 10)
+    extra = v.where("label IN (0, 2)").select("memory_id", S.rounded(1 - S.rounded(S.cosine(F.col("v"), vectors.literal(_cue(spark, sf_dir))))).alias("score"))
+    return vectors.merge_append(direct, extra, 30)
+
+
+@_query(f"""WITH {ANN}, d AS (SELECT * FROM sem WHERE rank <= 10), x AS (SELECT a.memory_id, round(1 - a.score + 1e-9::DOUBLE, 6) AS extra FROM ann a JOIN vec USING (memory_id) WHERE label IN (0, 2)),
+u AS (SELECT coalesce(d.memory_id, x.memory_id) AS memory_id, score, extra FROM d FULL JOIN x ON d.memory_id = x.memory_id)
+SELECT memory_id, coalesce(score, extra) AS score, row_number() OVER (ORDER BY score IS NULL, CASE WHEN score IS NULL THEN -extra ELSE -(score + 0.15::DOUBLE * coalesce(extra, 0)) END, memory_id) AS rank FROM u QUALIFY rank <= 30""")
+def hype_boost(spark, sf_dir):
+    v = R.vectors(spark, sf_dir)
+    direct = vectors.knn(v, _cue(spark, sf_dir), 10)
+    extra = v.where("label IN (0, 2)").select("memory_id", S.rounded(1 - S.rounded(S.cosine(F.col("v"), vectors.literal(_cue(spark, sf_dir))))).alias("score"))
+    return vectors.merge_boost(direct, extra, 30)
+
+
+_CENTROID = """s AS (SELECT label, i, sum(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) GROUP BY label, i), nrm AS (SELECT label, sqrt(sum(x * x)) AS n FROM s GROUP BY label)"""
+
+
+@_query(f"WITH {VEC}, {_CENTROID} SELECT label, (i - 1)::INT AS i, round(x / n + 1e-9::DOUBLE, 6) AS x FROM s JOIN nrm USING (label)")
+def centroid_by_label(spark, sf_dir):
+    return vectors.centroids(R.vectors(spark, sf_dir), "label").select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", S.rounded(F.col("x")).alias("x"))
+
+
+@_query(f"WITH {VEC}, {_CENTROID}, c AS (SELECT label, list(x / n ORDER BY i) AS c FROM s JOIN nrm USING (label) GROUP BY label) SELECT memory_id, round(list_dot_product(v, c.c) + 1e-9::DOUBLE, 6) AS score FROM vec JOIN c USING (label)")
+def cosine_to_centroid(spark, sf_dir):
+    v = R.vectors(spark, sf_dir)
+    return v.join(vectors.centroids(v, "label"), "label").select("memory_id", S.rounded(S.dot(F.col("v"), F.col("centroid"))).alias("score"))
+
+
+@_query(f"""WITH {VEC}, p AS (SELECT a.memory_id AS src, b.memory_id AS dst, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) + 1e-9::DOUBLE, 6) AS weight FROM vec a JOIN vec b ON a.memory_id <> b.memory_id)
+SELECT src, dst, weight FROM p WHERE weight >= 0.3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 5""")
+def knn_join_similar_to(spark, sf_dir):
+    return vectors.similar_to(R.vectors(spark, sf_dir), threshold=0.3, k=5)
+
+
+@_query(f"""WITH RECURSIVE {VEC}, e AS (SELECT a.memory_id AS u, b.memory_id AS v FROM vec a JOIN vec b ON a.memory_id <> b.memory_id WHERE round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) + 1e-9::DOUBLE, 6) >= 0.6),
+w AS (SELECT memory_id AS node, memory_id AS root FROM vec UNION SELECT e.v, w.root FROM w JOIN e ON e.u = w.node),
+c AS (SELECT node, min(root) AS cluster FROM w GROUP BY node)
+SELECT node AS memory_id, cluster, count(*) OVER (PARTITION BY cluster) AS members FROM c QUALIFY members >= 5""")
+def similarity_clusters(spark, sf_dir):
+    return vectors.similarity_clusters(R.vectors(spark, sf_dir), 0.6, 5)
+
+
+@_query()
+def ann_batch_search(spark, sf_dir):
+    """Cell-probing search for every row whose id is divisible by 100, against all rows (recall is tested)."""
+    v = R.vectors(spark, sf_dir)
+    return vectors.search(v, v.where("memory_id % 100 = 0"), 10, cells=32, probes=24)
+
+
+@_query()
+def pq_adc_search(spark, sf_dir):
+    """Product codes of all vectors, asymmetric distances, exact re-rank of the nearest 100."""
+    import numpy as np
+
+    v = R.vectors(spark, sf_dir)
+    sample = v.orderBy(F.xxhash64("memory_id")).limit(2000).select("v").collect()
+    book = vectors.train_codes(np.array([r[0] for r in sample]), 8)
+    cue = _cue(spark, sf_dir)
+    near = vectors.adc_search(vectors.encode_codes(v, book), book, cue, 100)
+    return vectors.knn(v.join(near.select("memory_id"), "memory_id", "left_semi"), cue, 10)
+
+
+# --- lexical search -----------------------------------------------------------
+@_query(f"WITH {BM25} SELECT memory_id, score, rank FROM lex WHERE rank <= 50")
+def bm25_topk(spark, sf_dir):
+    return lexical.bm25_topk(R.memories(spark, sf_dir), CUE_TERMS, 50)
+
+
+@_query(f"""WITH {TOK}, j AS (SELECT memory_id, ' ' || array_to_string(toks, '  ') || ' ' AS s FROM tok) SELECT memory_id, ((length(s) - length(replace(s, ' thanedble  the  anea ', ''))) / 22)::BIGINT AS times FROM j WHERE contains(s, ' thanedble  the  anea ')""")
+def bm25_phrase(spark, sf_dir):
+    return lexical.phrase(R.memories(spark, sf_dir), ["thanedble", "the", "anea"])
+
+
+_PRF = f"""w AS (SELECT memory_id, unnest(toks) AS term FROM tok JOIN lex USING (memory_id) WHERE rank <= 5),
+prf AS (SELECT term, count(DISTINCT memory_id) AS df, count(*) AS tf FROM w WHERE length(term) >= 3 AND term NOT IN ({", ".join(map(repr, CUE_TERMS))}) GROUP BY term HAVING count(DISTINCT memory_id) >= 2 ORDER BY df DESC, tf DESC, term LIMIT 5)"""
+
+
+@_query(f"WITH {BM25}, {_PRF} SELECT term, df, tf FROM prf")
+def prf_terms(spark, sf_dir):
+    docs = R.memories(spark, sf_dir)
+    hits = lexical.bm25_topk(docs, CUE_TERMS, 5)
+    return lexical.feedback_terms(docs, hits, CUE_TERMS)
+
+
+@_query(f"""WITH {BM25}, {_PRF}, terms2 AS (SELECT term FROM prf UNION ALL SELECT term FROM terms), tf2 AS (SELECT memory_id, len(toks) AS length, term, len(list_filter(toks, lambda t: t = term))::DOUBLE AS tf FROM tok, terms2),
+df2 AS (SELECT term, (count(*) FILTER (WHERE tf > 0))::DOUBLE AS df FROM tf2 GROUP BY term),
+bm2 AS (SELECT memory_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) + 1e-9::DOUBLE, 6) AS score FROM tf2 JOIN df2 USING (term), n WHERE tf > 0 GROUP BY memory_id),
+top2 AS (SELECT memory_id, score FROM bm2 ORDER BY score DESC, memory_id LIMIT 50), both_ AS (SELECT memory_id, score FROM lex WHERE rank <= 50 UNION ALL SELECT * FROM top2), m AS (SELECT memory_id, max(score) AS score FROM both_ GROUP BY memory_id)
+SELECT memory_id, score, row_number() OVER (ORDER BY score DESC, memory_id) AS rank FROM m QUALIFY rank <= 50""")
+def prf_bm25(spark, sf_dir):
+    return lexical.expanded(R.memories(spark, sf_dir), CUE_TERMS, 50)
+
+
+@_query(f"""WITH {TOK}, c AS (SELECT item_id AS cue_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS mean FROM tok), p AS (SELECT memory_id, length, term, count(*)::DOUBLE AS tf FROM (SELECT memory_id, len(toks) AS length, unnest(toks) AS term FROM tok) WHERE term IN (SELECT term FROM c) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
+s AS (SELECT cue_id, memory_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) + 1e-9::DOUBLE, 6) AS score FROM p JOIN df USING (term) JOIN c USING (term), n GROUP BY cue_id, memory_id)
+SELECT cue_id, memory_id, score, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, memory_id) AS rank FROM s QUALIFY rank <= 10""")
+def bm25_batch(spark, sf_dir):
+    cues = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cue_id"), "text")
+    return lexical.bm25_batch(R.memories(spark, sf_dir), cues, 10)
+
+
+@_query(f"WITH {TOK}, p AS (SELECT memory_id, unnest(toks) AS term FROM tok) SELECT term, count(DISTINCT memory_id) AS df, count(*) AS cf FROM p GROUP BY term")
+def postings_stats(spark, sf_dir):
+    return lexical.postings_stats(R.memories(spark, sf_dir))
+
+
+# --- fusion and what follows ----------------------------------------------------
+_RRF = f"{LANES}, fused AS (SELECT item_id, sum(1.0::DOUBLE / (CASE WHEN pool < 200 THEN 15 WHEN pool < 2000 THEN 30 ELSE 60 END + rank)) AS fused, list_sort(list(DISTINCT lane)) AS lanes FROM lists, (SELECT count(*) AS pool FROM lists) GROUP BY item_id)"
+
+
+@_query(f"WITH {_RRF} SELECT item_id, round(fused + 1e-9::DOUBLE, 6) AS fused, array_to_string(lanes, ',') AS lanes FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return ranking.rrf(_lanes(spark, sf_dir)).select("item_id", S.rounded(F.col("fused")).alias("fused"), F.array_join("lanes", ",").alias("lanes"))
+
+
+@_query(f"WITH {LANES} SELECT item_id, round(sum(CASE lane WHEN 'lexical' THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END / (60 + rank)) + 1e-9::DOUBLE, 6) AS fused FROM lists GROUP BY item_id")
+def rrf_weighted(spark, sf_dir):
+    return ranking.rrf(_lanes(spark, sf_dir), {"lexical": 2.0, "semantic": 0.5}, k=60).select("item_id", S.rounded(F.col("fused")).alias("fused"))
+
+
+@_query("SELECT label, count(*) AS pool, CASE WHEN count(*) < 200 THEN 15 WHEN count(*) < 2000 THEN 30 ELSE 60 END AS k FROM embeddings GROUP BY label")
+def adaptive_k(spark, sf_dir):
+    return R.vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("pool")).select("label", "pool", ranking.adaptive_k(F.col("pool")).alias("k"))
+
+
+@_query(f"WITH {LANES}, p AS (SELECT item_id, CASE WHEN max(score) OVER l = min(score) OVER l THEN 1.0::DOUBLE ELSE (score - min(score) OVER l) / (max(score) OVER l - min(score) OVER l) END AS part FROM lists WINDOW l AS (PARTITION BY lane)) SELECT item_id, round(sum(part) + 1e-9::DOUBLE, 6) AS fused FROM p GROUP BY item_id")
+def fuse_minmax(spark, sf_dir):
+    return ranking.fuse_relative(_lanes(spark, sf_dir), {}, "minmax").select("item_id", S.rounded(F.col("fused")).alias("fused"))
+
+
+@_query(f"WITH {LANES}, p AS (SELECT item_id, CASE WHEN stddev_pop(score) OVER l < 1e-12 THEN 0.0::DOUBLE ELSE (score - avg(score) OVER l) / stddev_pop(score) OVER l END AS part FROM lists WINDOW l AS (PARTITION BY lane)) SELECT item_id, round(sum(part) + 1e-9::DOUBLE, 6) AS fused FROM p GROUP BY item_id")
+def fuse_zscore(spark, sf_dir):
+    return ranking.fuse_relative(_lanes(spark, sf_dir), {}, "zscore").select("item_id", S.rounded(F.col("fused")).alias("fused"))
+
+
+@_query(f"WITH {_RRF}, {MEM} SELECT item_id, round(fused + 1.0::DOUBLE / 61 * pow(0.5::DOUBLE, greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (90 * 86400.0::DOUBLE)) + 1e-9::DOUBLE, 6) AS boosted FROM fused JOIN mem ON memory_id = item_id")
+def recency_boost(spark, sf_dir):
+    fused = ranking.rrf(_lanes(spark, sf_dir)).join(R.memories(spark, sf_dir).select(F.col("memory_id").alias("item_id"), "created_at"), "item_id")
+    age = derive.seconds_between(F.lit(NOW).cast("timestamp_ntz"), F.col("created_at"))
+    return fused.select("item_id", S.rounded(ranking.recency(F.col("fused"), age)).alias("boosted"))
+
+
+@_query(f"""WITH {_RRF}, g AS (SELECT item_id, round(fused + 1e-9::DOUBLE, 6) AS fused, len(lanes) / (1.0::DOUBLE + item_id % 7) AS logit FROM fused), t AS (SELECT * FROM g ORDER BY fused DESC, item_id LIMIT 50),
+b AS (SELECT item_id, CASE WHEN max(fused) OVER () = min(fused) OVER () THEN 1 ELSE (fused - min(fused) OVER ()) / (max(fused) OVER () - min(fused) OVER ()) END + 0.5::DOUBLE * CASE WHEN max(logit) OVER () = min(logit) OVER () THEN 1 ELSE (logit - min(logit) OVER ()) / (max(logit) OVER () - min(logit) OVER ()) END AS blend FROM t)
+SELECT item_id, round(coalesce(blend, 0) + 1e-9::DOUBLE, 6) AS blend FROM g LEFT JOIN b USING (item_id)""")
+def rerank_blend(spark, sf_dir):
+    """The scorer is a stand-in: any column can take its place."""
+    g = ranking.rrf(_lanes(spark, sf_dir)).select("item_id", S.rounded(F.col("fused")).alias("fused"), (F.size("lanes") / (1.0 + F.col("item_id") % 7)).alias("logit"))
+    return ranking.rerank_blend(g, "fused", "logit", "item_id").select("item_id", S.rounded(F.col("blend")).alias("blend"))
+
+
+_WITH_COS = f"{_RRF}, m AS (SELECT item_id, round(fused + 1e-9::DOUBLE, 6) AS fused, len(lanes) AS n_lanes, lanes = ['semantic'] AS only_sem, coalesce(score, 0.0::DOUBLE) AS cos FROM fused LEFT JOIN ann ON memory_id = item_id)"
+
+
+def _with_cosine(spark, sf_dir):
+    cos = R.vectors(spark, sf_dir).select(F.col("memory_id").alias("item_id"), S.rounded(S.cosine(F.col("v"), vectors.literal(_cue(spark, sf_dir)))).alias("cos"))
+    fused = ranking.rrf(_lanes(spark, sf_dir)).join(cos, "item_id", "left")
+    return fused.select("item_id", S.rounded(F.col("fused")).alias("fused"), F.size("lanes").alias("n_lanes"), (F.array_join("lanes", ",") == "semantic").alias("only_sem"), F.coalesce("cos", F.lit(0.0)).alias("cos"))
+
+
+@_query(f"WITH {_WITH_COS} SELECT item_id, CASE WHEN only_sem OR n_lanes > 1 THEN fused ELSE round(fused * greatest(0.0::DOUBLE, cos) + 1e-9::DOUBLE, 6) END AS fused FROM m")
+def cue_condition(spark, sf_dir):
+    """Hits of one lane that did not look at the cue's vector are weighed by their cosine to it."""
+    m = _with_cosine(spark, sf_dir)
+    return m.select("item_id", F.when(F.col("only_sem") | (F.col("n_lanes") > 1), F.col("fused")).otherwise(S.rounded(F.col("fused") * F.greatest(F.lit(0.0), F.col("cos")))).alias("fused"))
+
+
+@_query(f"WITH {_WITH_COS} SELECT item_id, fused, cos FROM m QUALIFY (cos >= 0.2 AND cos >= 0.85::DOUBLE * max(cos) OVER ()) OR n_lanes >= 2 OR NOT only_sem")
+def membership_band(spark, sf_dir):
+    return ranking.membership_band(_with_cosine(spark, sf_dir), "cos", "n_lanes", "only_sem").select("item_id", "fused", "cos")
+
+
+@_query(f"""WITH {_WITH_COS}, a AS (SELECT *, max(n_lanes) OVER () AS most, row_number() OVER (ORDER BY cos DESC, item_id) AS place FROM m),
+b AS (SELECT *, count(*) FILTER (WHERE n_lanes = most) OVER () AS same, max(CASE WHEN place = 1 AND n_lanes = most THEN 1 ELSE 0 END) OVER () AS lead_ FROM a)
+SELECT item_id, n_lanes::INT AS n_lanes FROM b WHERE NOT (most >= 2 AND same = 1 AND lead_ = 1) OR place = 1""")
+def consensus_collapse(spark, sf_dir):
+    return ranking.consensus(_with_cosine(spark, sf_dir), "n_lanes", "cos", "item_id").select("item_id", "n_lanes")
+
+
+@_query(f"WITH {_WITH_COS} SELECT item_id, fused FROM m WHERE (SELECT max(CASE WHEN NOT only_sem THEN 1 ELSE 0 END) FROM m) = 1")
+def anchor_abstention(spark, sf_dir):
+    """Nothing is returned unless some lane besides the semantic one confirms a hit."""
+    m = _with_cosine(spark, sf_dir)
+    return m.withColumn("_any", F.max(F.when(~F.col("only_sem"), 1).otherwise(0)).over(Window.partitionBy())).where("_any = 1").select("item_id", "fused")
+
+
+@_query(f"WITH {BM25}, a AS (SELECT memory_id, score, CASE WHEN score <= 0.8::DOUBLE * lag(score) OVER o THEN 1 ELSE 0 END AS fell FROM bm WINDOW o AS (ORDER BY score DESC, memory_id)) SELECT memory_id, score FROM a QUALIFY sum(fell) OVER (ORDER BY score DESC, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0")
+def autocut(spark, sf_dir):
+    top = lexical.bm25(R.memories(spark, sf_dir), CUE_TERMS)
+    return ranking.autocut(top, "score", "memory_id", 0.8)
+
+
+@_query()
+def mmr_diverse(spark, sf_dir):
+    """Diversity order of the lexical hits of every benchmark cue."""
+    docs = R.memories(spark, sf_dir)
+    cues = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cue_id"), "text")
+    hits = lexical.bm25_batch(docs, cues, 50).select("cue_id", "memory_id", "score").join(docs.select("memory_id", "text"), "memory_id")
+    return ranking.mmr(hits, "cue_id", "memory_id", "score", "text")
+
+
+# --- statements -----------------------------------------------------------------
+ST = """st AS (SELECT o_orderkey AS statement_id, o_custkey AS subject, o_orderpriority AS object, o_orderdate AS extracted_at FROM orders),
+sup AS (SELECT *, row_number() OVER c AS version, first_value(statement_id) OVER c AS chain_root, lead(statement_id) OVER c AS superseded_by, extracted_at AS valid_from, lead(extracted_at) OVER c AS valid_to FROM st WINDOW c AS (PARTITION BY subject ORDER BY extracted_at, statement_id))"""
+EV = "ev AS (SELECT l_orderkey AS statement_id, l_partkey AS memory_id, l_linenumber AS nth, round(1 - l_discount * 5, 3) AS confidence, l_shipdate AS ts FROM lineitem)"
+
+
+def _sup(spark, sf_dir):
+    return statements.supersede(R.statements(spark, sf_dir))
+
+
+@_query(f"WITH {ST} SELECT statement_id, version, chain_root, superseded_by, valid_to FROM sup")
+def statement_supersession(spark, sf_dir):
+    return _sup(spark, sf_dir).select("statement_id", "version", "chain_root", "superseded_by", "valid_to")
+
+
+@_query(f"WITH {ST} SELECT statement_id, chain_root, version, object FROM sup WHERE chain_root IN (SELECT chain_root FROM sup WHERE object = '1-URGENT' AND version >= 3)")
+def statement_history(spark, sf_dir):
+    return statements.history(_sup(spark, sf_dir), (F.col("object") == "1-URGENT") & (F.col("version") >= 3)).select("statement_id", "chain_root", "version", "object")
+
+
+@_query(f"WITH {ST} SELECT chain_root, arg_max(statement_id, version) AS head, max(version) AS versions FROM sup GROUP BY chain_root")
+def chain_head(spark, sf_dir):
+    return statements.chain_heads(_sup(spark, sf_dir))
+
+
+@_query(f"WITH {ST} SELECT statement_id, subject, object FROM sup WHERE superseded_by IS NULL AND valid_from <= TIMESTAMP '1997-01-01' ")
+def current_statements(spark, sf_dir):
+    now = F.lit("1997-01-01").cast("timestamp_ntz")
+    s = _sup(spark, sf_dir).where(S.is_current(F.col("valid_from"), F.col("valid_to"), F.col("superseded_by"), F.lit(False), now))
+    return s.select("statement_id", "subject", "object")
+
+
+@_query(f"WITH {ST} SELECT statement_id, subject, object FROM sup WHERE extracted_at <= TIMESTAMP '1997-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1997-01-01')")
+def as_of_statements(spark, sf_dir):
+    s = _sup(spark, sf_dir)
+    return s.where(S.as_of(F.col("extracted_at"), F.col("record_invalidated_at"), F.lit("1997-01-01").cast("timestamp_ntz"))).select("statement_id", "subject", "object")
+
+
+@_query(f"WITH {ST} SELECT statement_id, subject FROM sup WHERE valid_from <= TIMESTAMP '1996-06-30' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '1996-01-01')")
+def validity_overlap(spark, sf_dir):
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    return _sup(spark, sf_dir).where(S.open_overlap(F.col("valid_from"), F.col("valid_to"), t("1996-01-01"), t("1996-06-30"))).select("statement_id", "subject")
+
+
+@_query("SELECT o_custkey AS subject, 'order_status' AS predicate, count(DISTINCT o_orderstatus) AS n_objects, count(*) AS n_statements, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
+def contradictions(spark, sf_dir):
+    return statements.contradictions(R.facts(spark, sf_dir))
+
+
+_NOISY = "CASE WHEN max(x) >= 1 THEN 1.0::DOUBLE ELSE 1 - exp(sum(CASE WHEN x < 1 THEN ln(1 - x) END)) END"
+_X = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence * exp(-greatest(datesub('second', ts, TIMESTAMP '1999-01-01'), 0) / (365 * 86400.0::DOUBLE)))) AS x"
+
+
+@_query(f"WITH {EV}, y AS (SELECT statement_id, {_X} FROM ev) SELECT statement_id, round({_NOISY} + 1e-9::DOUBLE, 6) AS confidence, count(*) AS n_evidence FROM y GROUP BY statement_id")
+def noisy_or_confidence(spark, sf_dir):
+    return statements.confidence(R.evidence(spark, sf_dir), F.lit("Fact"), F.lit("1999-01-01").cast("timestamp_ntz"))
+
+
+@_query(f"WITH {EV}, y AS (SELECT statement_id, {_X} FROM ev), c AS (SELECT statement_id, round({_NOISY} + 1e-9::DOUBLE, 6) AS fresh FROM y GROUP BY statement_id) SELECT statement_id, round(CASE WHEN abs(fresh - 0.5::DOUBLE) < 0.001 THEN 0.5::DOUBLE ELSE greatest(0.48::DOUBLE, least(0.52::DOUBLE, fresh)) END + 1e-9::DOUBLE, 6) AS confidence FROM c")
+def confidence_sweep(spark, sf_dir):
+    fresh = statements.confidence(R.evidence(spark, sf_dir), F.lit("Fact"), F.lit("1999-01-01").cast("timestamp_ntz"))
+    return fresh.select("statement_id", S.rounded(statements.sweep(F.lit(0.5), F.col("confidence"))).alias("confidence"))
+
+
+@_query(f"""WITH {EV}, g AS (SELECT p_partkey AS memory_id FROM part WHERE p_size <= 10), y AS (SELECT statement_id, g.memory_id IS NULL AS stays, CASE WHEN g.memory_id IS NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence)) END AS x FROM ev LEFT JOIN g USING (memory_id))
+SELECT statement_id, round(coalesce({_NOISY}, 0) + 1e-9::DOUBLE, 6) AS confidence, count(*) FILTER (WHERE stays) AS "left", count(*) FILTER (WHERE NOT stays) AS lost, count(*) FILTER (WHERE stays) = 0 AS tombstoned FROM y GROUP BY statement_id HAVING count(*) FILTER (WHERE NOT stays) > 0""")
+def forget_cascade(spark, sf_dir):
+    gone = R.table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("memory_id"))
+    return statements.forget_cascade(R.evidence(spark, sf_dir), gone)
+
+
+@_query(f"WITH {EV}, {ST}, f AS (SELECT statement_id, arg_min(memory_id, (nth, memory_id)) AS memory_id FROM ev GROUP BY statement_id) SELECT memory_id, min(version) AS rank FROM sup JOIN f USING (statement_id) GROUP BY memory_id")
+def recall_projection(spark, sf_dir):
+    return statements.recall_projection(_sup(spark, sf_dir).select("statement_id", F.col("version").alias("rank")), R.evidence(spark, sf_dir))
+
+
+@_query("SELECT o_custkey AS src, o_orderstatus AS kind, count(*) AS n, min(o_orderkey) AS keeps FROM orders GROUP BY ALL HAVING count(*) > 1")
+def cardinality_conflicts(spark, sf_dir):
+    o = R.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("dst"))
+    return statements.cardinality_conflicts(o, "src")
+
+
+@_query("""WITH a AS (SELECT o_orderkey AS statement_id, o_custkey, o_orderstatus, o_totalprice, lag(o_orderstatus) OVER w AS prev, lag(o_totalprice) OVER w AS pp FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+b AS (SELECT *, least(o_totalprice, pp) / greatest(o_totalprice, pp) AS sim FROM a WHERE prev IS NOT NULL)
+SELECT statement_id, CASE WHEN prev = o_orderstatus AND o_orderstatus = 'O' THEN 'Supersede' WHEN prev = o_orderstatus THEN 'Contradicts' WHEN sim >= 0.92 THEN 'Supersede' WHEN sim >= 0.82 THEN 'Coexist' ELSE 'Coexist' END AS decision FROM b""")
+def supersede_decider(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    a = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("statement_id"), "o_orderstatus", "o_totalprice", F.lag("o_orderstatus").over(w).alias("prev"), F.lag("o_totalprice").over(w).alias("pp")).where("prev IS NOT NULL")
+    sim = F.least("o_totalprice", "pp") / F.greatest("o_totalprice", "pp")
+    return a.select("statement_id", statements.decide(F.col("prev") == F.col("o_orderstatus"), F.col("o_orderstatus") == "O", sim).alias("decision"))
+
+
+@_query(f"WITH {ST} SELECT statement_id, subject, object FROM sup WHERE object = '2-HIGH' AND superseded_by IS NULL ORDER BY statement_id LIMIT 1000")
+def statement_list(spark, sf_dir):
+    s = _sup(spark, sf_dir)
+    return statements.statement_list(s, (F.col("object") == "2-HIGH") & F.col("superseded_by").isNull()).select("statement_id", "subject", "object")
+
+
+@_query(f"WITH {ST}, p AS (SELECT * FROM sup WHERE object = '2-HIGH' ORDER BY statement_id LIMIT 1000) SELECT statement_id, subject FROM p WHERE valid_from <= TIMESTAMP '1996-12-31' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '1996-01-01')")
+def statement_list_page(spark, sf_dir):
+    """The verb's page: the limit comes before the time filter, so a page may be short."""
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    after = S.open_overlap(F.col("valid_from"), F.col("valid_to"), t("1996-01-01"), t("1996-12-31"))
+    return statements.statement_list(_sup(spark, sf_dir), F.col("object") == "2-HIGH", 1000, after).select("statement_id", "subject")
+
+
+@_query(f"WITH {EV} SELECT memory_id, count(DISTINCT statement_id) AS n_statements FROM ev GROUP BY memory_id")
+def evidence_reverse(spark, sf_dir):
+    return R.evidence(spark, sf_dir).groupBy("memory_id").agg(F.count_distinct("statement_id").alias("n_statements"))
+
+
+@_query("""WITH p AS (SELECT user_id AS agent, event_type AS line, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) SELECT agent, string_agg(line, chr(10) ORDER BY n) AS section, count(*) AS n FROM p WHERE n <= 20 GROUP BY agent""")
+def procedural_sections(spark, sf_dir):
+    e = R.table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), F.col("event_type").alias("line"), "event_id", "value")
+    return statements.procedural(e, "agent", 20, F.desc("value"), F.asc("event_id"))
+
+
+# --- filters --------------------------------------------------------------------
+_ITEMS = f"""{MEM}, {ST}, items AS (SELECT 'memory' AS tag, memory_id AS id, kind, NULL AS predicate, created_at, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, NULL::TIMESTAMP AS extracted_at, NULL::TIMESTAMP AS invalidated_at, salience, NULL::DOUBLE AS confidence, memory_id % 11 <> 0 AS active, NULL::BIGINT AS superseded_by FROM mem
+UNION ALL SELECT 'statement', statement_id, 'Attribute', 'order_priority', NULL, valid_from, valid_to, extracted_at, valid_to, NULL, (version % 10) / 10.0::DOUBLE, TRUE, superseded_by FROM sup)"""
+
+
+def _items(spark, sf_dir):
+    null = lambda t: F.lit(None).cast(t)
+    ts = "timestamp_ntz"
+    m = R.memories(spark, sf_dir).select(F.lit("memory").alias("tag"), F.col("memory_id").alias("id"), "kind", null("string").alias("predicate"), "created_at", null(ts).alias("event_at"), null(ts).alias("valid_from"), null(ts).alias("valid_to"), null(ts).alias("extracted_at"), null(ts).alias("invalidated_at"), "salience", null("double").alias("confidence"), (F.col("memory_id") % 11 != 0).alias("active"), null("bigint").alias("superseded_by"))
+    s = _sup(spark, sf_dir).select(F.lit("statement").alias("tag"), F.col("statement_id").alias("id"), "kind", "predicate", null(ts).alias("created_at"), null(ts).alias("event_at"), "valid_from", "valid_to", "extracted_at", F.col("record_invalidated_at").alias("invalidated_at"), null("double").alias("salience"), ((F.col("version") % 10) / 10.0).alias("confidence"), F.lit(True).alias("active"), "superseded_by")
+    return m.unionByName(s)
+
+
+
+def _chain() -> FilterChain:
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    return FilterChain(kinds=("Episodic", "Semantic", "Attribute"), predicates=("order_priority",), after=t("1996-01-01"), before=t("2024-01-15"), min_confidence=0.1, as_of=t("1998-06-01"))
+
+
+_S1 = "(CASE tag WHEN 'memory' THEN kind IN ('Episodic', 'Semantic', 'Attribute') ELSE kind IN ('Episodic', 'Semantic', 'Attribute') AND predicate = 'order_priority' END)"
+_S2 = "(CASE tag WHEN 'memory' THEN created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2024-01-15' ELSE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '1996-01-01') END)"
+_S3 = "(CASE tag WHEN 'memory' THEN salience ELSE confidence END >= 0.1)"
+_S5 = "(tag = 'memory' OR superseded_by IS NULL)"
+_S6 = "(tag = 'memory' OR (extracted_at <= TIMESTAMP '1998-06-01' AND (invalidated_at IS NULL OR invalidated_at > TIMESTAMP '1998-06-01')))"
+
+
+def _counts_sql() -> str:
+    so_far, parts = [], ["SELECT 'input' AS step, count(*) AS n FROM items"]
+    for name, step in (("type", _S1), ("temporal", _S2), ("confidence", _S3), ("tombstone", "active"), ("supersession", _S5), ("as_of", _S6)):
+        so_far.append(step)
+        parts.append(f"SELECT '{name}', count(*) FROM items WHERE {' AND '.join(so_far)}")
+    return f"WITH {_ITEMS} " + " UNION ALL ".join(parts)
+
+
+@_query(_counts_sql())
+def filter_chain_stats(spark, sf_dir):
+    return _chain().survivors(_items(spark, sf_dir))
+
+
+@_query(f"WITH {_ITEMS} SELECT tag, id FROM items WHERE {_S1} AND {_S2} AND {_S3} AND active AND {_S5} AND {_S6}")
+def filter_chain(spark, sf_dir):
+    return _chain().apply(_items(spark, sf_dir)).select("tag", "id")
+
+
+@_query(f"WITH {EV} SELECT least(10, floor(greatest(0.0, least(1.0, confidence)) * 10))::INT AS bucket, count(*) AS n FROM ev GROUP BY bucket")
+def confidence_buckets(spark, sf_dir):
+    return R.evidence(spark, sf_dir).groupBy(S.confidence_bucket(F.col("confidence")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {MEM} SELECT memory_id FROM mem WHERE (salience >= 0.2 AND context IN ('en', 'fr')) OR regexp_matches(text, 'idiot|clown')")
+def dsl_condition(spark, sf_dir):
+    return R.memories(spark, sf_dir).where(condition('(salience >= 0.2 and context in ["en", "fr"]) or text matches /idiot|clown/')).select("memory_id")
+
+
+# --- timeline and maintenance -----------------------------------------------------
+TL = "tl AS (SELECT event_id AS memory_id, user_id AS agent, event_type AS context, ts AS created_at, value FROM events)"
+_GAP = "datesub('second', lag(created_at) OVER o, created_at)"
+
+
+@_query(f"WITH {TL}, p AS (SELECT lag(memory_id) OVER o AS src, memory_id AS dst, {_GAP} AS gap FROM tl WINDOW o AS (PARTITION BY agent, context ORDER BY created_at, memory_id)) SELECT src, dst, round((1 - gap / 1800.0::DOUBLE) * 0.9::DOUBLE + 0.1::DOUBLE + 1e-9::DOUBLE, 6) AS weight FROM p WHERE gap <= 1800")
+def followed_by(spark, sf_dir):
+    return derive.followed_by(R.timeline(spark, sf_dir))
+
+
+@_query(f"WITH {TL}, p AS (SELECT *, {_GAP} AS gap FROM tl WINDOW o AS (PARTITION BY agent ORDER BY created_at, memory_id)), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY agent ORDER BY created_at, memory_id) AS session FROM p) SELECT agent, session::BIGINT AS session, count(*) AS n, min(created_at) AS started, max(created_at) AS ended FROM s GROUP BY ALL")
+def session_gap(spark, sf_dir):
+    return derive.sessions(R.timeline(spark, sf_dir))
+
+
+@_query(f"WITH {TL} SELECT memory_id, lag(memory_id) OVER o AS prev_id, {_GAP} AS gap FROM tl WINDOW o AS (PARTITION BY agent, context ORDER BY created_at, memory_id)")
+def timeline_predecessor(spark, sf_dir):
+    return derive.predecessors(R.timeline(spark, sf_dir)).select("memory_id", "prev_id", "gap")
+
+
+@_query(f"WITH {MEM} SELECT memory_id, round(salience * pow(2.0::DOUBLE, -greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (CASE kind WHEN 'Semantic' THEN 365 WHEN 'Consolidated' THEN 90 ELSE 30 END * 86400.0::DOUBLE)) + 1e-9::DOUBLE, 6) AS salience FROM mem")
+def salience_decay(spark, sf_dir):
+    age = derive.seconds_between(F.lit(NOW).cast("timestamp_ntz"), F.col("created_at"))
+    return R.memories(spark, sf_dir).select("memory_id", S.rounded(S.salience_decay(F.col("salience"), age, F.col("kind"))).alias("salience"))
+
+
+@_query(f"WITH {TL}, h AS (SELECT agent, context, count(*) AS hits FROM tl GROUP BY ALL) SELECT agent, context, round(least(1.0::DOUBLE, 0.3::DOUBLE * pow(1.1::DOUBLE, hits)) + 1e-9::DOUBLE, 6) AS salience FROM h")
+def access_boost(spark, sf_dir):
+    hits = R.timeline(spark, sf_dir).groupBy("agent", "context").agg(F.count("*").alias("hits"))
+    return hits.select("agent", "context", S.rounded(S.boosted(F.lit(0.3), F.col("hits"))).alias("salience"))
+
+
+@_query(f"WITH {MEM} SELECT context, least(9, floor(salience * 10))::INT AS bucket, count(*) AS n FROM mem GROUP BY ALL")
+def salience_histogram(spark, sf_dir):
+    return R.memories(spark, sf_dir).groupBy("context", F.least(F.lit(9), F.floor(F.col("salience") * 10)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {MEM} SELECT count(*) AS total, count(*) FILTER (WHERE memory_id % 11 <> 0) AS active, min(created_at) AS oldest, max(created_at) AS newest, round(avg(salience) + 1e-9::DOUBLE, 6) AS mean_salience FROM mem")
+def stats_summary(spark, sf_dir):
+    return R.memories(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("memory_id") % 11 != 0).alias("active"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"), S.rounded(F.avg("salience")).alias("mean_salience"))
+
+
+@_query(f"WITH {MEM} SELECT agent, context, sha256(coalesce(text, '')) AS hash, arg_min(memory_id, created_at) AS first_id, count(*) AS copies FROM mem GROUP BY ALL")
+def dedup_content_hash(spark, sf_dir):
+    return derive.first_by_hash(R.memories(spark, sf_dir))
+
+
+@_query("WITH r AS (SELECT user_id || ':' || date_trunc('hour', ts) AS request_id, event_type AS hash FROM events) SELECT request_id, count(*) AS n, CASE WHEN count(DISTINCT hash) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'cached' ELSE 'fresh' END AS outcome FROM r GROUP BY request_id")
+def idempotency(spark, sf_dir):
+    hour = F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    r = R.table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), hour).alias("request_id"), F.col("event_type").alias("hash"))
+    return derive.idempotency(r)
+
+
+@_query("WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS i FROM orders) SELECT o_custkey, o_orderkey FROM s WHERE i >= 7 OR datesub('second', o_orderdate, TIMESTAMP '1998-08-01') >= 86400 * 1000")
+def snapshot_retention(spark, sf_dir):
+    o = R.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return derive.retention(o, "o_custkey", "o_orderdate", "o_orderkey", F.lit("1998-08-01").cast("timestamp_ntz"), 86_400 * 1000, 7).select("o_custkey", "o_orderkey")
+
+
+@_query(f"WITH {MEM} SELECT context, count(*) AS n, md5(string_agg(memory_id::VARCHAR, ',' ORDER BY memory_id)) AS summary_id, 0.7::DOUBLE AS salience FROM mem WHERE kind = 'Episodic' AND created_at > TIMESTAMP '2024-01-01 00:00:00' AND created_at <= TIMESTAMP '2024-01-02 00:00:00' GROUP BY context HAVING count(*) >= 5")
+def consolidation_window(spark, sf_dir):
+    return derive.consolidate(R.memories(spark, sf_dir), F.lit("2024-01-02").cast("timestamp_ntz"))
+
+
+@_query("WITH e AS (SELECT l_orderkey AS memory_id, count(*) AS counted FROM lineitem GROUP BY 1), s AS (SELECT o_orderkey AS memory_id, o_orderkey % 7 AS stored FROM orders) SELECT coalesce(e.memory_id, s.memory_id) AS memory_id, coalesce(stored, 0) AS stored, coalesce(counted, 0) AS counted FROM s FULL JOIN e ON s.memory_id = e.memory_id WHERE coalesce(stored, 0) <> coalesce(counted, 0)")
+def counter_reconcile(spark, sf_dir):
+    edges = R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"))
+    return derive.reconcile(edges, R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("memory_id"), (F.col("o_orderkey") % 7).alias("stored")))
+
+
+@_query("WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), g AS (SELECT p_partkey AS node FROM part WHERE p_size > 5) SELECT DISTINCT src, dst FROM e WHERE dst NOT IN (SELECT node FROM g)")
+def edge_scrub(spark, sf_dir):
+    e = R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    left = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
+    parts = R.table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("node"))
+    return e.join(parts.withColumnRenamed("node", "dst"), "dst", "left_anti").unionByName(e.join(left.withColumnRenamed("node", "src"), "src", "left_anti").select("dst", "src")).select("src", "dst").distinct()
+
+
+@_query("""WITH eff AS (SELECT o_orderkey AS effect, o_custkey + 1 AS obj, 0.5::DOUBLE + (o_orderkey % 5) / 10.0::DOUBLE AS confidence FROM orders), p AS (SELECT effect, o_orderkey AS cause, confidence FROM eff JOIN orders ON o_custkey = obj WHERE confidence >= 0.6 AND effect <> o_orderkey QUALIFY row_number() OVER (PARTITION BY effect ORDER BY o_orderkey) <= 3),
+m AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS mem FROM lineitem), r AS (SELECT s, mem, row_number() OVER (PARTITION BY s ORDER BY mem) AS n FROM m)
+SELECT a.mem AS src, b.mem AS dst, max(confidence) AS weight FROM p JOIN r a ON a.s = cause AND a.n <= 3 JOIN r b ON b.s = effect AND b.n <= 5 WHERE a.mem <> b.mem GROUP BY ALL""")
+def causal_edges(spark, sf_dir):
+    o = R.table(spark, sf_dir, "orders")
+    effects = o.select(F.col("o_orderkey").alias("statement_id"), (F.col("o_custkey") + 1).alias("object_entity"), (0.5 + (F.col("o_orderkey") % 5) / 10.0).alias("confidence"))
+    causes = o.select(F.col("o_orderkey").alias("statement_id"), F.col("o_custkey").alias("subject"))
+    return derive.caused(effects, causes, R.evidence(spark, sf_dir))
+
+
+@_query("SELECT o_custkey AS subject, o_orderkey AS id FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200")
+def keyset_page(spark, sf_dir):
+    """Our extra: the page after a key."""
+    o = R.table(spark, sf_dir, "orders").where("o_orderkey > 1000")
+    return ranking.top_k(o.select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("id")), 200, F.asc("id"))
+
+
+@_query("WITH b AS (SELECT c_custkey AS id, c_mktsegment AS seg FROM customer), x AS (SELECT o_custkey AS id, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS seg, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) = 'F' AS deleted FROM orders GROUP BY o_custkey) SELECT coalesce(x.id, b.id) AS id, CASE WHEN x.id IS NOT NULL THEN x.seg ELSE b.seg END AS seg FROM b FULL JOIN x ON b.id = x.id WHERE x.id IS NULL OR NOT deleted")
+def link_upsert(spark, sf_dir):
+    base = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"))
+    changes = R.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("seg"), (F.col("o_orderstatus") == "F").alias("deleted"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return derive.upsert(base, changes, ("id",), "at")
+
+
+# --- graph ------------------------------------------------------------------------
+REL = """rel AS (SELECT 'c:' || c_custkey AS src, 'lives_in' AS kind, 'n:' || c_nationkey AS dst, 0.9::DOUBLE AS weight FROM customer UNION ALL SELECT 's:' || s_suppkey, 'based_in', 'n:' || s_nationkey, 0.8::DOUBLE FROM supplier UNION ALL SELECT 'n:' || n_nationkey, 'part_of', 'r:' || n_regionkey, 0.5::DOUBLE FROM nation),
+both_ AS (SELECT src, kind, dst, weight FROM rel UNION SELECT dst, kind, src, weight FROM rel)"""
+
+
+def _walk_sql(depth: int) -> str:
+    return f"w AS (SELECT 's:1' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM w JOIN both_ ON src = node WHERE hop < {depth}), m AS (SELECT node, min(hop) AS hop FROM w GROUP BY node)"
+
+
+def _starts(spark, *nodes):
+    return spark.createDataFrame([(n,) for n in nodes], "start string")
+
+
+@_query("WITH RECURSIVE " + REL + ", x AS (SELECT src, kind, dst FROM both_ WHERE src IN ('n:3', 'n:5')) SELECT * FROM x")
+def relation_list_both(spark, sf_dir):
+    return graph.directed(R.relations(spark, sf_dir), "both").where(F.col("src").isin("n:3", "n:5")).select("src", "kind", "dst")
+
+
+for _depth in (1, 2, 3):
+
+    def _traverse(spark, sf_dir, depth=_depth):
+        reached = graph.bfs(_starts(spark, "s:1"), graph.directed(R.relations(spark, sf_dir), "both"), depth)
+        return reached.where("hop > 0").select("node", F.col("hop").cast("int").alias("hop"))
+
+    _QUERIES[f"relation_traverse_d{_depth}"] = _traverse
+    _SQL[f"relation_traverse_d{_depth}"] = f"WITH RECURSIVE {REL}, {_walk_sql(_depth)} SELECT node, hop FROM m WHERE hop > 0"
+
+
+@_query(f"WITH RECURSIVE {REL}, {_walk_sql(2)} SELECT node, hop, round(1.0::DOUBLE / (hop + 1) * CASE WHEN hop = 0 THEN 1.0::DOUBLE ELSE (SELECT max(weight) FROM both_ b JOIN m p ON p.node = b.src WHERE b.dst = m.node AND p.hop = m.hop - 1) END + 1e-9::DOUBLE, 6) AS score FROM m")
+def graph_star(spark, sf_dir):
+    return graph.star(_starts(spark, "s:1"), R.relations(spark, sf_dir), 2).select("node", F.col("hop").cast("int").alias("hop"), "score")
+
+
+@_query("""WITH p AS (SELECT 's:' || s_suppkey AS a, 'n:' || s_nationkey AS b, 'r:' || n_regionkey AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1)
+SELECT a AS node, 0::BIGINT AS from_target, 1.0::DOUBLE AS score FROM p UNION ALL SELECT b, 1, 0.5::DOUBLE FROM p UNION ALL SELECT c, 0, 1.0::DOUBLE FROM p""")
+def graph_path(spark, sf_dir):
+    supplier = R.table(spark, sf_dir, "supplier").join(R.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey = 1").select("n_regionkey").first()
+    return graph.shortest_path(F.lit("s:1"), F.lit(f"r:{supplier[0]}"), R.relations(spark, sf_dir), 4)
+
+
+_FB = f"{TL}, fb AS (SELECT lag(memory_id) OVER o AS src, memory_id AS dst, {_GAP} AS gap FROM tl WINDOW o AS (PARTITION BY agent ORDER BY created_at, memory_id)), e AS (SELECT src, dst, round((1 - gap / 86400.0::DOUBLE) * 0.9::DOUBLE + 0.1::DOUBLE + 1e-9::DOUBLE, 6) AS weight FROM fb WHERE gap <= 86400)"
+
+
+def _feed_edges(spark, sf_dir):
+    return derive.followed_by(R.timeline(spark, sf_dir), ("agent",), 86_400).withColumn("kind", F.lit("FollowedBy"))
+
+
+@_query(f"""WITH RECURSIVE {_FB}, s AS (SELECT min(memory_id) AS start FROM tl GROUP BY agent), w AS (SELECT start, start AS node, 0 AS hop, [start] AS path FROM s UNION ALL SELECT start, dst, hop + 1, list_append(path, dst) FROM w JOIN e ON src = node WHERE hop < 3)
+SELECT start, node AS goal, array_to_string(path, '>') AS path, hop::BIGINT AS length FROM w WHERE hop = 3""")
+def plan_bfs_paths(spark, sf_dir):
+    """From each agent's first memory to what comes three steps later."""
+    edges = _feed_edges(spark, sf_dir)
+    starts = R.timeline(spark, sf_dir).groupBy("agent").agg(F.min("memory_id").alias("start")).select("start")
+    ends = graph.bfs(starts, graph.directed(edges, "out"), 3).where("hop = 3").select("start", F.col("node").alias("goal"))
+    paths = graph.meet_in_the_middle(starts, ends.select("goal").distinct(), edges, 3)
+    return paths.join(ends, ["start", "goal"], "left_semi").select("start", "goal", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
+
+
+@_query(f"""WITH RECURSIVE {_FB}, s AS (SELECT min(memory_id) AS node FROM tl GROUP BY agent), w AS (SELECT node, 0 AS hop, 1.0::DOUBLE AS c FROM s UNION ALL SELECT dst, hop + 1, c * abs(weight) FROM w JOIN e ON src = node WHERE hop < 3)
+SELECT node, hop::BIGINT AS hop, round(c / (hop + 1) + 1e-9::DOUBLE, 6) AS score FROM w WHERE hop > 0""")
+def reason_evidence(spark, sf_dir):
+    base = R.timeline(spark, sf_dir).groupBy("agent").agg(F.min("memory_id").alias("node")).select("node", F.lit(1.0).alias("sim"))
+    return graph.reason(base, _feed_edges(spark, sf_dir), 3, ("FollowedBy",))
+
+
+# --- resolution ---------------------------------------------------------------------
+NAME = "CASE WHEN regexp_replace(flat, '^(the|a|an|this|that) ', '') = '' THEN flat ELSE regexp_replace(flat, '^(the|a|an|this|that) ', '') END"
+ENT = f"""ent0 AS (SELECT 'c:' || c_custkey AS entity_id, 'customer' AS entity_type, c_name AS name FROM customer UNION ALL SELECT 's:' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'p:' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 'n:' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'r:' || r_regionkey, 'region', r_name FROM region),
+ent AS (SELECT entity_id, entity_type, name, {NAME} AS norm FROM (SELECT *, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS flat FROM ent0))"""
+
+
+@_query(f"WITH {ENT} SELECT entity_id, norm FROM ent")
+def normalize_name(spark, sf_dir):
+    return resolution.with_names(R.entities(spark, sf_dir)).select("entity_id", "norm")
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_transform(list_filter(regexp_split_to_array(norm, '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: '  ' || w || ' '), lambda p: list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))))"
+_SURF = "surf AS (SELECT DISTINCT replace(n_name, 'A', 'E') AS surface FROM nation UNION SELECT n_name FROM nation)"
+
+
+def _surfaces(spark, sf_dir):
+    n = R.table(spark, sf_dir, "nation")
+    return n.select(F.replace("n_name", F.lit("A"), F.lit("E")).alias("surface")).union(n.select("n_name")).distinct()
+
+
+_JAC = f"{ENT}, {_SURF}, sg AS (SELECT surface, {_GRAMS} AS g FROM (SELECT surface, lower(surface) AS norm FROM surf)), eg AS (SELECT entity_id, {_GRAMS} AS g FROM ent), jac AS (SELECT surface, entity_id, round(len(list_intersect(sg.g, eg.g)) / len(list_distinct(list_concat(sg.g, eg.g)))::DOUBLE + 1e-9::DOUBLE, 6) AS score FROM sg, eg WHERE list_has_any(sg.g, eg.g))"
+
+
+@_query(f"WITH {_JAC} SELECT surface, entity_id, score FROM jac WHERE score >= 0.3")
+def trigram_jaccard_names(spark, sf_dir):
+    return resolution.trigram_candidates(_surfaces(spark, sf_dir), R.entities(spark, sf_dir), 0.3)
+
+
+_RES = f"""{_JAC}, tok AS (SELECT surface, entity_id, list_distinct(string_split(lower(surface), ' ')) AS w, list_distinct(string_split(norm, ' ')) AS ew FROM surf, ent), sset AS (SELECT surface, entity_id, 0.9::DOUBLE AS score FROM tok WHERE list_has_all(ew, w) AND len(ew) > len(w) QUALIFY count(*) OVER (PARTITION BY surface) = 1),
+allr AS (SELECT surface, entity_id, 1.0::DOUBLE AS score FROM surf JOIN ent ON norm = lower(surface) UNION ALL SELECT * FROM jac WHERE score >= 0.5 UNION ALL SELECT * FROM sset), res AS (SELECT surface, entity_id, max(score) AS score FROM allr GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY score DESC, entity_id) AS rank FROM res)"""
+
+
+@_query(f"WITH {_RES} SELECT surface, entity_id, score, rank FROM rk")
+def resolve_scored(spark, sf_dir):
+    return resolution.resolve(_surfaces(spark, sf_dir), R.entities(spark, sf_dir))
+
+
+@_query(f"""WITH {_RES}, t AS (SELECT surface, max(CASE WHEN rank = 1 THEN entity_id END) AS first_, max(score) AS s1, min(CASE WHEN rank = 2 THEN score END) AS s2 FROM rk WHERE rank <= 2 GROUP BY surface),
+o AS (SELECT surface, first_, CASE WHEN s1 IS NULL OR s1 < 0.85 THEN 'Create' WHEN s2 IS NOT NULL AND s1 - s2 < 0.05::DOUBLE - 1e-9::DOUBLE THEN 'Ambiguous' ELSE 'Resolved' END AS outcome FROM surf LEFT JOIN t USING (surface)) SELECT surface, outcome, CASE WHEN outcome = 'Resolved' THEN first_ END AS entity_id FROM o""")
+def resolve_outcome(spark, sf_dir):
+    s = _surfaces(spark, sf_dir)
+    return resolution.outcome(resolution.resolve(s, R.entities(spark, sf_dir)), s)
+
+
+@_query("WITH RECURSIVE m AS (SELECT c_custkey AS e, c_custkey - (c_custkey & -c_custkey) AS t FROM customer WHERE c_custkey - (c_custkey & -c_custkey) > 0), w AS (SELECT e, t FROM m UNION SELECT w.e, m.t FROM w JOIN m ON m.e = w.t) SELECT e AS entity_id, min(t) AS survivor FROM w GROUP BY e")
+def merge_redirect(spark, sf_dir):
+    """Every customer is merged into the one whose key lacks its lowest bit, so chains have several links."""
+    key = F.col("c_custkey")
+    c = R.table(spark, sf_dir, "customer").select(key.alias("entity_id"), (key - key.bitwiseAND(-key)).alias("merged_into")).where("merged_into > 0")
+    return resolution.merge_targets(c)
+
+
+@_query("SELECT s_suppkey AS id, least(1.0, greatest(0.0, s_acctbal / 10000)) AS similarity, CASE WHEN least(1.0, greatest(0.0, s_acctbal / 10000)) >= 0.95 THEN 'apply' WHEN least(1.0, greatest(0.0, s_acctbal / 10000)) < 0.7 THEN 'reject' ELSE 'pending' END AS action FROM supplier")
+def merge_review(spark, sf_dir):
+    p = R.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.clamp01(F.col("s_acctbal") / 10000).alias("similarity"))
+    return resolution.review(p)
+
+
+# --- scalars over text ----------------------------------------------------------------
+@_query(
+    "SELECT conv_id, turn, regexp_matches(text, '{b}[A-Z][A-Z0-9]+-\\d+{e}') AS exact_id, regexp_matches(text, '{b}[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*{e}') AS title_case, "
+    "regexp_matches(text, '(?i){b}(list|all|every|which|what are|show me){e}') AS list_intent, "
+    "regexp_matches(text, '(?i){b}(yesterday|today|tomorrow|last|next|ago|since|before|after|when|(?:19|20)\\d{{2}}){e}') AS temporal FROM conversations".format(b="(^|[^\\p{L}\\p{N}_])", e="($|[^\\p{L}\\p{N}_])")
+)
+def router_features(spark, sf_dir):
+    return R.table(spark, sf_dir, "conversations").select("conv_id", "turn", S.router_features(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
+
+
+@_query(f"WITH {ENT} SELECT entity_id, trim(name) <> '' AND len(regexp_split_to_array(trim(name), '\\s+')) <= 6 AND length(trim(name)) <= 50 AND NOT regexp_matches(trim(name), '^\\d+ \\w+$') AND lower(trim(name)) NOT IN ({', '.join(map(repr, S.NON_REFERENTIAL))}) AS acceptable FROM ent")
+def mention_acceptable(spark, sf_dir):
+    return R.entities(spark, sf_dir).select("entity_id", S.mention_acceptable(F.col("name")).alias("acceptable"))
+
+
+@_query("WITH e AS (SELECT l_orderkey, l_linenumber, l_discount * 20 - 0.5::DOUBLE AS w, CASE l_returnflag WHEN 'R' THEN 'Contradicts' ELSE 'Supports' END AS kind FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN kind = 'Contradicts' THEN w BETWEEN -1 AND 1 ELSE w BETWEEN 0 AND 1 END AS valid FROM e")
+def edge_weight_valid(spark, sf_dir):
+    e = R.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 20 - 0.5).alias("w"), F.when(F.col("l_returnflag") == "R", "Contradicts").otherwise("Supports").alias("kind"))
+    return e.select("l_orderkey", "l_linenumber", S.edge_weight_valid(F.col("kind"), F.col("w")).alias("valid"))
+
+
+# --- change feed (batch form) -----------------------------------------------------------
+@_query("SELECT event_id AS lsn, ts, user_id AS agent, event_type AS kind FROM events WHERE event_id >= 100 AND event_type IN ('click', 'purchase') AND value >= 10")
+def subscribe_feed(spark, sf_dir):
+    from mnemospark.streaming.feed import Subscription, change_feed
+
+    sub = Subscription(from_lsn=100, kinds=("click", "purchase"), where=F.col("value") >= 10)
+    return sub.apply(change_feed(R.table(spark, sf_dir, "events"))).select("lsn", "ts", "agent", "kind")
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS kind, count(*) AS n, round(sum(value) + 1e-9::DOUBLE, 4) AS total FROM events GROUP BY ALL")
+def event_tumbling(spark, sf_dir):
+    e = R.table(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), S.rounded(F.sum("value"), 4).alias("total"))
+
+
+@_query(f"WITH {MEM} SELECT memory_id, agent FROM mem WHERE context <> 'de' UNION ALL SELECT -1 - event_id, 'pending' FROM events WHERE event_type = 'signup'")
+def txn_overlay(spark, sf_dir):
+    m = R.memories(spark, sf_dir).select("memory_id", "agent", "context")
+    gone, m = m.where("context = 'de'"), m.drop("context")
+    pending = R.table(spark, sf_dir, "events").where("event_type = 'signup'").select((-1 - F.col("event_id")).alias("memory_id"), F.lit("pending").alias("agent"))
+    return derive.overlay(m, pending, gone, "memory_id")
+
+
+@_query("SELECT event_id AS lsn, 'encode' AS type, event_id AS id FROM events UNION ALL SELECT event_id, 'link', json_extract(props, '$.k')::BIGINT FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def wal_projection(spark, sf_dir):
+    from mnemospark.streaming.feed import project_records
+
+    return project_records(R.table(spark, sf_dir, "events"))
+
+
+# --- the engine ---------------------------------------------------------------------------
+_ENGINE = f"""{_RRF}, {MEM}, kept AS (SELECT item_id, fused + 1.0::DOUBLE / 61 * pow(0.5::DOUBLE, greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (90 * 86400.0::DOUBLE)) AS f, lanes FROM fused JOIN mem ON memory_id = item_id WHERE context IN ('en', 'fr') AND salience >= 0.05)"""
+
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+def recall_request(spark: SparkSession, sf_dir: str) -> Request:
+    return Request(cue=_cue(spark, sf_dir), terms=CUE_TERMS, contexts=("en", "fr"), min_salience=0.05, now=NOW, limit=10, pool=100)
 
 
-def queries():
-    return {}
+@_query(f"WITH {_ENGINE} SELECT item_id, round(f + 1e-9::DOUBLE, 6) AS score, array_to_string(lanes, ',') AS lanes, row_number() OVER (ORDER BY round(f + 1e-9::DOUBLE, 6) DESC, item_id) AS rank FROM kept QUALIFY rank <= 10")
+def recall(spark, sf_dir):
+    return Engine(R.memories(spark, sf_dir), R.vectors(spark, sf_dir)).recall(recall_request(spark, sf_dir))
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall(spark, sf_dir)
