@@ -9,7 +9,9 @@ least ``agree`` of its tokens.
 
 The benchmark side is broadcast while it has at most ``broadcast_seeds``
 seeds (checked by a count); beyond that, seeds meet by a shuffle and the hits
-are joined with both texts afterwards.
+are joined with both texts afterwards. A token that no item has cannot be part
+of a hit, so while the items have at most ``vocabulary_most`` distinct tokens,
+seeds that hold another one are not hashed; with more, all are.
 
 Defined cases: tokens are words after lower-casing; items of fewer than
 ``MIN_TOKENS`` tokens are not searched for, items shorter than a mask are
@@ -29,67 +31,72 @@ MASKS = ("1101100101", "1011010011")
 MIN_TOKENS = 5
 
 
-def _tokens(df: DataFrame, key: str) -> DataFrame:
-    """key, t (64-bit hashes of the lower-cased words)."""
+def _tokens(df: DataFrame, key: str, known: list[int] | None = None) -> DataFrame:
+    """key, t: 64-bit hashes of the lower-cased words; 0 for a word that is not ``known``."""
     words = df.select(key, nt.words(nt.spaced(F.lower("text"))).alias("w"))
-    return words.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("t"))
+    hashed = words.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("t"))
+    if known is None:
+        return hashed
+    return hashed.select(key, F.transform("t", lambda h: F.when(h.isin(known), h).otherwise(F.lit(0).cast("bigint"))).alias("t"))
 
 
 def _seeds(t: Column, number: int, mask: str) -> Column:
+    """(p, h) of every seed without an unknown token under a one."""
     ones = [i for i, c in enumerate(mask) if c == "1"]
-    hashed = F.transform(F.sequence(F.lit(0), F.size(t) - len(mask)), lambda i: F.xxhash64(F.lit(number), *[nt.at(t, i + j) for j in ones]))
-    return F.when(F.size(t) >= len(mask), hashed).otherwise(F.array().cast("array<bigint>"))
-
-
-def _hits(df: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
-    """One row for each seed: key, t, p (its place among the seeds of all masks), h."""
-    return df.select(key, "t", F.posexplode(F.concat(*[_seeds(F.col("t"), k, m) for k, m in enumerate(masks)])).alias("p", "h"))
-
-
-def _place(t: Column, p: Column, masks: tuple[str, ...]) -> Column:
-    """The token at which seed p starts; worked out for hits only."""
-    at, before = p, F.lit(0)
-    for m in masks[:-1]:
-        before = before + F.greatest(F.lit(0), F.size(t) - len(m) + 1)
-        at = F.when(p >= before, p - before).otherwise(at)
-    return at
-
-
-def _verified(hits: DataFrame, window: int, agree: float) -> DataFrame:
-    """hits: doc_id, item_id, t, item_t, doc_at, item_at."""
-    shift = F.col("doc_at") - F.col("item_at")
-    low = F.greatest(shift, F.lit(0))
-    n = F.least(F.size("t") - F.col("low"), F.size("item_t") - F.col("low") + F.col("shift"))
-    laid = hits.select("doc_id", "item_id", "t", "item_t", "doc_at", shift.alias("shift"), low.alias("low"))
-    # no window can reach further from the hit than its own length
-    start = F.greatest(F.col("low"), F.col("doc_at") - window)
-    stop = F.least(F.col("low") + n, F.col("doc_at") + 2 * window)
-    laid = laid.select("doc_id", "item_id", "t", "item_t", "shift", start.alias("start"), stop.alias("stop"), F.least(F.lit(window), F.size("item_t")).alias("win"))
-    length = F.col("stop") - F.col("start")
-    equal = F.zip_with(F.slice("t", F.col("start") + 1, length), F.slice("item_t", F.col("start") - F.col("shift") + 1, length), lambda a, b: (a == b).cast("int"))
-    laid = laid.select("doc_id", "item_id", "shift", "start", "win", equal.alias("eq"))
+
+    def complete(i: Column) -> Column:
+        good = nt.at(t, i + ones[0]) != 0
+        for j in ones[1:]:
+            good = good & (nt.at(t, i + j) != 0)
+        return good
+
+    places = F.filter(F.sequence(F.lit(0), F.size(t) - len(mask)), complete)
+    hashed = F.transform(places, lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(number), *[nt.at(t, i + j) for j in ones]).alias("h")))
+    return F.when(F.size(t) >= len(mask), hashed).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+
+
+def _hits(df: DataFrame, key: str, masks: tuple[str, ...], place: str) -> DataFrame:
+    """One row for each seed: key, t, ``place`` (the token at which it starts), h."""
+    found = F.explode(F.concat(*[_seeds(F.col("t"), k, m) for k, m in enumerate(masks)])).alias("s")
+    return df.select(key, "t", found).select(key, "t", F.col("s.p").alias(place), "s.h")
+
+
+def _laid(hits: DataFrame) -> DataFrame:
+    """One row for each diagonal (doc_id, item_id, shift): the stretches of both
+    texts that lie on it. All hits of a diagonal give the same stretches, so they
+    fold before the shuffle."""
+    low = F.greatest(F.col("shift"), F.lit(0))
+    n = F.least(F.size("t") - low, F.size("item_t") - low + F.col("shift"))
+    ours, theirs = F.slice("t", low + 1, n), F.slice("item_t", low - F.col("shift") + 1, n)
+    cut = hits.select("doc_id", "item_id", "shift", F.size("item_t").alias("m"), ours.alias("ours"), theirs.alias("theirs"))
+    return cut.groupBy("doc_id", "item_id", "shift").agg(*[F.any_value(c).alias(c) for c in ("m", "ours", "theirs")])
+
+
+def _verified(laid: DataFrame, window: int, agree: float) -> DataFrame:
+    """Diagonals on which some window agrees well enough, with the best window's count."""
+    laid = laid.select("doc_id", "item_id", "shift", F.least(F.lit(window), F.col("m")).alias("win"), F.zip_with("ours", "theirs", lambda a, b: (a == b).cast("int")).alias("eq"))
     sums = F.transform(F.sequence(F.lit(1), F.size("eq") - F.col("win") + 1), lambda i: F.aggregate(F.slice("eq", i, F.col("win")), F.lit(0), lambda a, x: a + x))
     best = F.when(F.size("eq") >= F.col("win"), F.array_max(sums)).otherwise(0)
     laid = laid.select("doc_id", "item_id", "shift", "win", best.alias("n_equal"))
     return laid.where(F.col("n_equal") >= F.ceil(F.col("win") * agree))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, agree: float = 0.8, broadcast_seeds: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, agree: float = 0.8, broadcast_seeds: int = 500_000, vocabulary_most: int = 100_000) -> DataFrame:
     """(doc_id, item_id, doc_start, window, n_equal): one row for each document and item it holds."""
     items = _tokens(benchmark, "item_id").where(F.size("t") >= MIN_TOKENS)
     span = max(map(len, MASKS))
     short = [r[0] for r in items.where(F.size("t") < span).select(F.size("t").alias("n")).distinct().collect()]  # fewer than span numbers
     masks = MASKS + tuple(sorted("1" * n for n in short))
-    seeds = _hits(items, "item_id", masks)
-    seeds = seeds.select("item_id", F.col("t").alias("item_t"), _place(F.col("t"), F.col("p"), masks).alias("item_at"), "h")
-    tokens = _tokens(docs.select("doc_id", "text"), "doc_id")
-    ours = _hits(tokens, "doc_id", masks)
-    doc_at = _place(F.col("t"), F.col("p"), masks).alias("doc_at")
+    seeds = _hits(items, "item_id", masks, "item_at").withColumnRenamed("t", "item_t")
+    vocabulary = items.select(F.explode("t").alias("h")).distinct().limit(vocabulary_most + 1)
+    known = [r[0] for r in vocabulary.collect()]  # at most vocabulary_most + 1 numbers
+    tokens = _tokens(docs.select("doc_id", "text"), "doc_id", known if len(known) <= vocabulary_most else None)
+    ours = _hits(tokens, "doc_id", masks, "doc_at")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        hits = ours.join(F.broadcast(seeds), "h").select("doc_id", "item_id", "t", "item_t", doc_at, "item_at")
+        hits = ours.join(F.broadcast(seeds), "h").withColumn("shift", F.col("doc_at") - F.col("item_at"))
     else:
-        met = ours.select("doc_id", doc_at, "h").join(seeds.select("item_id", "item_at", "h"), "h").select("doc_id", "item_id", "doc_at", "item_at").distinct()
+        met = ours.select("doc_id", "doc_at", "h").join(seeds.select("item_id", "item_at", "h"), "h").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
         hits = met.join(tokens, "doc_id").join(items.withColumnRenamed("t", "item_t"), "item_id")
-    good = _verified(hits.select("doc_id", "item_id", "t", "item_t", "doc_at", "item_at"), window, agree)
+    good = _verified(_laid(hits), window, agree)
     best = F.max(F.struct(F.col("n_equal"), (-F.greatest("shift", F.lit(0))).alias("before"), F.col("win")))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.before")).cast("long").alias("doc_start"), F.col("b.win").cast("long").alias("window"), F.col("b.n_equal").cast("long").alias("n_equal"))
