@@ -119,11 +119,43 @@ def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(h + (end - start).astype(np.uint64)).view(np.int64)
 
 
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
+
+
+def _map_large_arrays() -> None:
+    """Arrays of 1 MB and more get pages of their own, which go back when they
+    are freed; by default malloc raises that bound and keeps them."""
+    with contextlib.suppress(AttributeError):
+        _libc().mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_map_large_arrays()
+
+
 def give_back() -> None:
-    """Return memory that Arrow and malloc hold unused: idle workers keep none."""
+    """Return memory that Arrow and malloc hold unused."""
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(AttributeError):
+        _libc().malloc_trim(0)
+
+
+def tidy(run):
+    """A batch function that gives its memory back when its task ends, so idle
+    Python workers do not hold what later stages need."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, trai
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, part.num_rows), *part.columns], names=["doc_id", *part.schema.names])
                 at += part.num_rows
 
-    got = rows.mapInArrow(featured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>, bucket array<int>, x array<float>").toArrow()
+    got = rows.mapInArrow(bw.tidy(featured), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>, bucket array<int>, x array<float>").toArrow()
     ids = got.column("doc_id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     stats = np.array(got.column("stats").to_pylist(), dtype=float).reshape(len(ids), len(STATS))
@@ -224,4 +224,4 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
     model = train(docs, labels, modulus, remainder, train_rows)
     kind = docs.schema["doc_id"].dataType
     given = docs.select("doc_id", "text", "n_chars", held_out("doc_id", modulus, remainder).alias("held_out"))
-    return given.mapInArrow(_score(model, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, score double, predicted int")
+    return given.mapInArrow(bw.tidy(_score(model, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, held_out boolean, score double, predicted int")

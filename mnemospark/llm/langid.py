@@ -268,4 +268,4 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_per_l
         given = docs.select("doc_id", out.alias("held_out"), "text", letter)
         carried = given.select("doc_id", "held_out").schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    return given.mapInArrow(_predict(model, to_arrow_schema(carried)), f"{fields}, lang_pred string, score double")
+    return given.mapInArrow(bw.tidy(_predict(model, to_arrow_schema(carried))), f"{fields}, lang_pred string, score double")

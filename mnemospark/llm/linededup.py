@@ -126,7 +126,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1, bro
     texts = materialize(lines.join(open_, ["doc_id", "no"]).dropDuplicates(["doc_id", "no"]), "open")
 
     kind = docs.schema["doc_id"].dataType
-    keys = texts.mapInArrow(_variants(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, no int, kind tinyint, key long")
+    keys = texts.mapInArrow(bw.tidy(_variants(to_arrow_type(kind))), f"doc_id {kind.simpleString()}, no int, kind tinyint, key long")
     place = F.struct("doc_id", "no")
     earliest = keys.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, place)).alias(f"f{k}") for k in (SAME_PLACE, WHOLE, DELETED)], F.count("*").alias("members")).where("members > 1").drop("members")
     partner = F.when(F.col("kind") == SAME_PLACE, F.col("f0")).when(F.col("kind") == WHOLE, F.col("f2")).otherwise(F.col("f1"))

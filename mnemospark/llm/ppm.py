@@ -110,8 +110,6 @@ def _requests(order: int):
                 for at in range(0, len(keys), 200_000):
                     k, m = keys[at : at + 200_000], n[at : at + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(m.astype(np.int64))], schema=schema)
-        tallies.clear()
-        bw.give_back()
 
     return run
 
@@ -192,7 +190,6 @@ def _answers(order: int, pairs: np.ndarray):
                 part, some = at[lo : lo + 500_000], inv[lo : lo + 500_000]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk[part]), pa.array(kind[part]), pa.array(key[part]), pa.array(value[some])], schema=schema)
             del keys, inv, count, value
-        bw.give_back()
 
     return run
 
@@ -218,6 +215,8 @@ def _scores(order: int, id_type: pa.DataType):
             gram, first = grams(raw, offsets, order)
             score.append(np.add.reduceat(tables[GRAM][1][tables[GRAM][0].find(gram)], first) if rows else np.zeros(0))
         whole = [np.concatenate(x) if x else np.zeros(0) for x in (n_words, n_known, logs, score)]
+        del tables, model, kind, key, value
+        bw.give_back()
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2]), pa.array(whole[3])], schema=schema)
 
     return run
@@ -234,7 +233,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-int(total) // chunk_bytes))
     given = docs.select("doc_id", "text", held_out("doc_id", modulus, remainder).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = given.repartition(chunks, "chunk").mapInArrow(_requests(max_order), "chunk int, kind tinyint, key long, n long")
+    asked = given.repartition(chunks, "chunk").mapInArrow(bw.tidy(_requests(max_order)), "chunk int, kind tinyint, key long, n long")
     asked = materialize(asked, "ppm")
     tokens, documents = (asked.where(F.col("kind") == k).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (TOKENS, DOCS))
     vocabulary = asked.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key").distinct().count() + (documents > 0)
@@ -242,7 +241,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
     for pair, n in asked.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(PAIR).alias("pair")).agg(F.sum("n")).collect():  # at most 257 x 257 rows
         pairs[pair >> BITS, pair & ((1 << BITS) - 1)] = n
     meet = F.when(F.col("kind") == WORD, F.col("key")).otherwise(F.shiftright("key", BITS).bitwiseAND(PAIR))
-    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(_answers(max_order, pairs), "chunk int, kind tinyint, key long, value double")
+    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(bw.tidy(_answers(max_order, pairs)), "chunk int, kind tinyint, key long, value double")
     id_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

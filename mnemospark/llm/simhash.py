@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bytewords import _splitmix
+from mnemospark.llm.bytewords import _splitmix, tidy
 from mnemospark.operators.components import connected_components
 from mnemospark.scratch import materialize
 
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(to_arrow_type(kind), size), f"doc_id {kind.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_fingerprints(to_arrow_type(kind), size)), f"doc_id {kind.simpleString()}, fp long")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -164,7 +164,7 @@ def link_fingerprints(fps: DataFrame, bound: int = 4, blocks: int = 7, group_mos
     pairs = left.join(right, ["choice", "bits"]).where((F.col("component") < F.col("component2")) & _pivots_allow("near", "near2", bound) & (_distance(F.col("fp"), F.col("fp2")) <= bound))
     edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b")))
     if large.take(1):
-        variants = large.select("fp").distinct().mapInArrow(_half_variants(bound), "fp long, key long")
+        variants = large.select("fp").distinct().mapInArrow(tidy(_half_variants(bound)), "fp long, key long")
         least = variants.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").drop("top")
         edges = edges.unionByName(variants.join(least, "key").select(F.col("fp").alias("a"), "b"))
     return connected_components(edges)
