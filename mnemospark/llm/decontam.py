@@ -14,8 +14,8 @@ of a hit, so while the items have at most ``vocabulary_most`` distinct tokens,
 seeds that hold another one are not hashed; with more, all are.
 
 Defined cases: tokens are words after lower-casing; items of fewer than
-``MIN_TOKENS`` tokens are not searched for, items shorter than a mask are
-searched with a full mask of their own length; null texts have no tokens;
+``MIN_TOKENS`` tokens are not searched for, items shorter than the masks are
+searched with two masks of their own length, one for each half; null texts have no tokens;
 repeated rows give one result; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import nativetext as nt
 
 #: The masks.
-MASKS = ("1101100101", "1011010011")
+MASKS = ("1101100101", "1011010011", "11100111", "110010111")
 MIN_TOKENS = 5
 
 
@@ -86,7 +86,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, agree:
     items = _tokens(benchmark, "item_id").where(F.size("t") >= MIN_TOKENS)
     span = max(map(len, MASKS))
     short = [r[0] for r in items.where(F.size("t") < span).select(F.size("t").alias("n")).distinct().collect()]  # fewer than span numbers
-    masks = MASKS + tuple(sorted("1" * n for n in short))
+    # two halves, so that one substitution in a short item leaves a seed whole
+    masks = MASKS + tuple(m for n in sorted(short) for m in ("1" * (n // 2) + "0" * (n - n // 2), "0" * (n // 2) + "1" * (n - n // 2)))
     seeds = _hits(items, "item_id", masks, "item_at").withColumnRenamed("t", "item_t")
     vocabulary = items.select(F.explode("t").alias("h")).distinct().limit(vocabulary_most + 1)
     known = [r[0] for r in vocabulary.collect()]  # at most vocabulary_most + 1 numbers
