@@ -76,7 +76,8 @@ def features(column, n_chars: np.ndarray):
         edge = np.flatnonzero(brk)
         at = np.sort(np.concatenate([offsets[:-1], edge + 1])) if len(raw) else np.zeros(0, np.int64)
         stop = np.concatenate([at[1:], [len(raw)]]) if len(at) else at
-        full = stop > at + 1
+        stop = stop - (brk[np.maximum(stop - 1, 0)] & (stop > at)) if len(at) else stop  # without the line end
+        full = stop > at
         line_row = np.searchsorted(offsets, at[full], side="right") - 1
         lines = bw.word_hash(raw, at[full], stop[full]) if full.any() else np.zeros(0, np.int64)
         n_lines = np.bincount(line_row, minlength=rows)

@@ -33,7 +33,7 @@ WEIGHTS = (3, 1, 2)
 
 def quality_weight(text: Column) -> Column:
     """1 for prose, less the more symbols a text has per character; at least 0.1."""
-    share = F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")) / F.length(text), F.lit(0.0))
+    share = F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
     return F.greatest(F.lit(0.1), 1.0 - 4.0 * share)
 
 
