@@ -108,3 +108,23 @@ def verdict(supports: Column, contradicts: Column) -> Column:
     """(S - C) / (S + C), 0 if both are empty."""
     total = supports + contradicts
     return F.when(total == 0, 0.0).otherwise((supports - contradicts) / total)
+
+
+def grounded_walk(anchor: Column, edges: DataFrame, kinds: DataFrame, hops: int = 3, beam: int = 4, fade: float = 0.9) -> DataFrame:
+    """node, hop, score: a walk that keeps the ``beam`` best edges of each hop by the
+    cue's cosine to the edge kind; what is further scores less.
+
+    ``kinds``: kind, cos.
+    """
+    spark = edges.sparkSession
+    now = spark.range(1).select(anchor.alias("node"))
+    scored = edges.join(kinds, "kind").select(F.col("src").alias("node"), "dst", "cos")
+    seen, found = materialize(now, "walk"), None
+    now = seen
+    for hop in range(1, hops + 1):
+        step = now.select("node").join(scored, "node").groupBy("dst").agg(F.max("cos").alias("cos")).withColumnRenamed("dst", "node").join(seen, "node", "left_anti")
+        now = materialize(step.orderBy(F.desc("cos"), F.asc("node")).limit(beam), "walk")
+        seen = seen.unionByName(now.select("node"))
+        level = now.select("node", F.lit(hop).cast("bigint").alias("hop"), S.rounded(F.col("cos") * fade**hop).alias("score"))
+        found = level if found is None else found.unionByName(level)
+    return found

@@ -111,3 +111,50 @@ def enrich(hits: DataFrame, key: str, sides: dict[str, tuple[DataFrame, str, int
         folded = head.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))), lambda s: s["v"]).alias(name))
         hits = hits.join(folded, key, "left")
     return hits
+
+
+def shape_errors(statements: DataFrame) -> DataFrame:
+    """Adds ``error``: the first rule a statement breaks (null for a good one)."""
+    c = F.col
+    rule = (
+        F.when(~c("confidence").between(0, 1), "confidence")
+        .when((c("kind") == "Event") & c("event_at").isNull(), "event_without_time")
+        .when((c("kind") != "Event") & c("event_at").isNotNull(), "time_without_event")
+        .when(c("valid_from") > c("valid_to"), "window")
+    )
+    return statements.withColumn("error", rule)
+
+
+def merge_bridge(direct: DataFrame, bridge: DataFrame, threshold: float, k: int, id_: str = "statement_id") -> DataFrame:
+    """Direct hits and hits of templated questions: the better score of each statement."""
+    from mnemospark.operators.ranking import ranked
+
+    both = direct.select(id_, "score").unionByName(bridge.select(id_, "score").where(F.col("score") >= threshold))
+    return ranked(both.groupBy(id_).agg(F.max("score").alias("score")), "score", id_, k=k)
+
+
+def questions(statements: DataFrame) -> DataFrame:
+    """statement_id, question: templated questions a statement answers."""
+    what = F.replace("predicate", F.lit("_"), F.lit(" "))
+    forms = F.array(F.concat(F.lit("What is the "), what, F.lit(" of "), "subject", F.lit("?")), F.concat("subject", F.lit(" "), what, F.lit("?")), F.concat(F.lit("Who has "), what, F.lit(" "), "object", F.lit("?")))
+    return statements.select("statement_id", F.explode(forms).alias("question"))
+
+
+def forget_relations(relation_evidence: DataFrame, forgotten: DataFrame) -> DataFrame:
+    """relation_id of relations whose only evidence is forgotten (relation_id, memory_id)."""
+    marked = relation_evidence.join(forgotten.select("memory_id", F.lit(True).alias("gone")), "memory_id", "left")
+    return marked.groupBy("relation_id").agg(F.count_if(F.col("gone").isNull()).alias("left"), F.count_if("gone").alias("lost")).where("left = 0").select("relation_id", "lost")
+
+
+def expired(rows: DataFrame, at: str, now: Column, grace_seconds: int, where: Column | None = None) -> DataFrame:
+    """Rows that a retention sweep deletes: past the grace period (and marked)."""
+    from mnemospark.operators.derive import seconds_between
+
+    old = seconds_between(now, F.col(at)) >= grace_seconds
+    return rows.where(old if where is None else old & where)
+
+
+def within_budget(costs: DataFrame, by: str, order: tuple[str, ...], cost: str, budget: float) -> DataFrame:
+    """Calls in order while their running cost stays within the budget of each ``by``."""
+    spent = F.sum(cost).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return costs.select("*", spent.alias("spent")).where(F.col("spent") <= budget)

@@ -765,3 +765,6 @@ def recall(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(spark, sf_dir)
+
+
+from mnemospark import queries_verbs  # noqa: E402, F401  (registers its queries)
