@@ -16,9 +16,9 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; a missing lang is filled in."""
-    labelled = langid.identify(docs, keep=True)
-    kept = labelled.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    labelled = langid.label_rows(docs)
+    kept = labelled.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE))
+    return kept.select(*[F.coalesce("lang", "_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in labelled.columns[:-2]])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = linededup.dedup(docs)
     changed = F.col("_exact") + F.col("_near") > 0
     kept = done.where(~changed | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return kept.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in done.columns[:-3]])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, trai
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, part.num_rows), *part.columns], names=["doc_id", *part.schema.names])
                 at += part.num_rows
 
-    got = rows.mapInArrow(bw.tidy(featured), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>, bucket array<int>, x array<float>").toArrow()
+    got = rows.mapInArrow(bw.tidy(featured), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>, bucket array<int>, x array<float>")
+    got = got.limit(4 * len(of)).toArrow()  # ids that many rows share are cut off at four rows each on average
     ids = got.column("doc_id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     stats = np.array(got.column("stats").to_pylist(), dtype=float).reshape(len(ids), len(STATS))

@@ -28,6 +28,7 @@ from mnemospark.llm import bytewords as bw
 from mnemospark.llm.ppm import held_out
 
 PIECE = 32
+LABELS_MOST = 1000
 UNKNOWN = "und"
 
 
@@ -210,10 +211,14 @@ def train(docs: DataFrame, learn: Column, sample_per_label: int = 300, steps: in
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ranked = labelled.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("nth"))
     chosen = ranked.where(F.col("nth") <= sample_per_label).select("doc_id").distinct()
-    ids = [r[0] for r in chosen.collect()]  # at most sample_per_label for each language
+    most = sample_per_label * LABELS_MOST
+    ids = [r[0] for r in chosen.limit(most + 1).collect()]
+    if len(ids) > most:
+        raise ValueError(f"more than {LABELS_MOST} languages")
     if not ids:
         return None
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").collect()
+    # ids that many rows share are cut off at four rows each on average
+    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").limit(4 * len(ids)).collect()
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     labels = sorted({r[1] for r in rows})
     rng = np.random.default_rng(3)
@@ -233,39 +238,54 @@ def train(docs: DataFrame, learn: Column, sample_per_label: int = 300, steps: in
     return model
 
 
-def _predict(model: ByteLabeller | None, carried: pa.Schema):
-    """Carries all columns but ``letter`` over and adds the prediction."""
-    schema = carried.append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64()))
+def _predict(model: ByteLabeller | None, carried: pa.Schema, names: tuple[str, str]):
+    """Carries columns over and adds the prediction; the text is the last but one given."""
+    schema = carried.append(pa.field(names[0], pa.string())).append(pa.field(names[1], pa.float64()))
 
     def run(batches):
         cache = _Labelled(model) if model else None
         for batch in batches:
+            text, letter = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             if model:
-                p = document_probabilities(model, batch.column("text"), cache)
-                known = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & (p.sum(1) > 0)
+                p = document_probabilities(model, text, cache)
+                known = letter.to_numpy(zero_copy_only=False).astype(bool) & (p.sum(1) > 0)
                 best = p.argmax(1)
-                names = np.where(known, np.array(model.labels, dtype=object)[best], UNKNOWN)
+                label = np.where(known, np.array(model.labels, dtype=object)[best], UNKNOWN)
                 score = np.where(known, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)
             else:
-                names, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in carried], pa.array(names, pa.string()), pa.array(score)], schema=schema)
+                label, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(label, pa.string()), pa.array(score)], schema=schema)
 
     return run
 
 
-def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_per_label: int = 300, steps: int = 900, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learns from the rows that
-    are not held out. ``keep``: all columns of ``docs`` instead of the first two."""
+def _predicted(df: DataFrame, carried: DataFrame, model: ByteLabeller | None, names: tuple[str, str]) -> DataFrame:
+    """``df``: the carried columns, the text, whether it has a letter."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
+    return df.mapInArrow(bw.tidy(_predict(model, to_arrow_schema(carried.schema), names)), f"{fields}, `{names[0]}` string, `{names[1]}` double")
+
+
+def _has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letter")
+
+
+def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_per_label: int = 300, steps: int = 900) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row; learns from the rows that are not held out."""
     out = held_out("doc_id", modulus, remainder)
     model = train(docs, ~out, sample_per_label, steps)
-    letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letter")
-    if keep:
-        given = docs.select("*", letter)
-        carried = docs.schema
-    else:
-        given = docs.select("doc_id", out.alias("held_out"), "text", letter)
-        carried = given.select("doc_id", "held_out").schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    return given.mapInArrow(bw.tidy(_predict(model, to_arrow_schema(carried))), f"{fields}, lang_pred string, score double")
+    given = docs.select("doc_id", out.alias("held_out"), F.col("text").alias("_text"), _has_letter())
+    return _predicted(given, given.select("doc_id", "held_out"), model, ("lang_pred", "score"))
+
+
+def label_rows(docs: DataFrame, names: tuple[str, str] = ("_lang_pred", "_lang_score"), modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """All columns of ``docs`` and the prediction (columns of the same names give way)."""
+    carried = docs.drop(*names)
+    model = train(docs, ~held_out("doc_id", modulus, remainder))
+    # the text itself is carried, as the last column, so it crosses to Python once; names may hold anything
+    order = [c for c in carried.columns if c != "text"] + ["text"]
+    given = carried.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(order)], _has_letter())
+    done = _predicted(given, given.drop("_letter"), model, ("_label", "_share"))
+    back = [F.col(f"_c{order.index(c)}").alias(c) for c in carried.columns]
+    return done.select(*back, F.col("_label").alias(names[0]), F.col("_share").alias(names[1]))

@@ -142,13 +142,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1, bro
 
 
 def dedup(docs: DataFrame, min_chars: int = 30) -> DataFrame:
-    """The columns of ``docs`` with the repeated lines taken out of text, and
-    ``_lines``, ``_exact``, ``_near``: lines before, and lines that went."""
-    gone = repeated_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("no").alias("_gone"), F.count_if(~F.col("near")).alias("_e"), F.count_if(F.col("near")).alias("_n"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
-    cut = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_cut"), i)), "\n"))
-    joined = joined.withColumn("_cut", cut)
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("_lines"), F.coalesce("_e", F.lit(0)).cast("long").alias("_exact"), F.coalesce("_n", F.lit(0)).cast("long").alias("_near"))
+    """The columns of ``docs`` with the repeated lines taken out of text, then
+    ``_lines``, ``_exact``, ``_near``: lines before, and lines that went (columns
+    of these names in ``docs`` give way)."""
+    docs = docs.drop("_lines", "_exact", "_near")
+    gone = repeated_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("no").alias("gone"), F.count_if(~F.col("near")).alias("exact"), F.count_if(F.col("near")).alias("near"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # no name of docs meets one of ours
+    joined = whole.join(gone, F.col("doc.doc_id") == F.col("id"), "left").withColumn("cut", F.split("doc.text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("cut"), i)), "\n"))
+    kept = [(text if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return joined.select(*kept, count(F.size("cut")).alias("_lines"), count(F.col("exact")).alias("_exact"), count(F.col("near")).alias("_near"))

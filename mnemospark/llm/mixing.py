@@ -119,7 +119,9 @@ def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, seed: str = "mi
 
 def mix_texts(docs: DataFrame, budget: float = 1.5, most: float = 2.0, seed: str = "mix", levels: int = 2, broadcast_sources: int = 100_000) -> DataFrame:
     """The mix itself: the columns of ``docs`` and ``copy`` (1, 2), a row for every
-    copy taken; the text of a copy that is cut ends after its last word taken."""
+    copy taken; the text of a copy that is cut ends after its last word taken.
+    A column of ``docs`` named copy gives way."""
+    docs = docs.drop("copy")
     slim = materialize(_keyed(docs, seed), "mix")
     each, small = _cuts(slim, budget, most, levels, broadcast_sources)
     columns = [F.col(f"`{c}`") for c in docs.columns]

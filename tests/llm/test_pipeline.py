@@ -44,3 +44,20 @@ def test_near_copies_leave_one(spark, sf):
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_oracles(spark, sf, name):
     assert spark_rows(q.queries()[name](spark, sf)) == duck_rows(q.oracle_sql()[name], sf)
+
+
+def test_clashing_columns(spark, sf):
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    names = ["id", "gone", "exact", "near", "cut", "doc", "_doc", "_lines", "copy", "score", "lang_pred", "_lang_pred", "held_out", "chunk", "fp", "component_id", "size", "place", "mix_key", "taken", "target", "low", "width", "t", "p", "h", "no", "line", "component", "letter", "_letter2", "a.b"]
+    from pyspark.sql import functions as F
+
+    docs = base.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+        assert set(base.columns) <= set(docs.columns) and len(set(docs.columns)) == len(docs.columns)
+        assert docs.count() > 0
+    from mnemospark.llm import fm, langid, ppm, rules, simhash
+
+    docs = base.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for frame in (ppm.score_documents(docs), langid.identify(docs), simhash.near_duplicates(docs), rules.judge(docs), fm.classify(docs, spark.read.parquet(f"{sf}/labels.parquet").withColumn("score", F.lit(1)))):
+        assert frame.count() == 40
