@@ -4,7 +4,7 @@ has; the lanes, their fusion and everything after are one DataFrame plan."""
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +126,20 @@ class Engine:
         top = ranking.top_k(scored, todo.limit, F.desc("score"), F.asc("item_id"))
         return top.select("*", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("item_id"))).cast("bigint").alias("rank"))
 
+    def recall_deep(self, request: Request, ceiling: int = 400) -> DataFrame:
+        """One retry with a pool at the ceiling if fewer than the limit came back."""
+        todo = plan(request)
+        first = self.recall(request).cache()
+        if first.count() >= todo.limit or todo.pool >= ceiling:
+            return first
+        return self.recall(replace(request, pool=ceiling))
+
+    def trace(self, request: Request) -> dict:
+        """The rendered plan, the length of each lane, and the rows returned."""
+        todo = plan(request)
+        lanes = {name: self.lane(name, request, todo.pool).count() for name in todo.lanes}
+        return {"plan": todo.render(), "lanes": lanes, "returned": self.recall(request).count()}
+
     def explain(self, request: Request) -> str:
         return plan(request).render()
 

@@ -64,3 +64,10 @@ def test_anchored_recall(spark, sf):
     out = Engine(m, v, edges).recall(Request(text="of the", anchor=3, limit=1000, pool=200)).collect()
     by = {r.item_id: r.lanes for r in out}
     assert "graph" in by[4] and "graph" in by[3] and "graph" not in by.get(5, "")
+
+
+def test_trace_and_deepening(spark, sf):
+    engine = Engine(R.memories(spark, sf), R.vectors(spark, sf))
+    request = Request(text="thanedble anea erinter", contexts=("es",), limit=5, pool=3)
+    assert engine.trace(request)["lanes"] == {"lexical": 3}
+    assert engine.recall_deep(request).count() >= engine.recall(request).count()
