@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scalars as S
 from mnemospark.operators.ranking import ranked, top_k
+from mnemospark.scratch import materialize, spread
 
 K1, B = 1.2, 0.75
 STOP = frozenset("a an and are as at be by do does for from how i in is it me my of on or our that the this to was we what when where which who whom why will with you your".split())
@@ -37,7 +38,7 @@ def _equals(word: str):
 
 def term_counts(docs: DataFrame, terms: list[str], id_: str = "memory_id", text: str = "text") -> DataFrame:
     """id, length, tf (count of each term, in order)."""
-    toks = docs.select(id_, S.tokens(F.coalesce(text, F.lit(""))).alias("toks"))
+    toks = spread(docs.select(id_, text)).select(id_, S.tokens(F.coalesce(text, F.lit(""))).alias("toks"))
     return toks.select(id_, F.size("toks").alias("length"), F.array(*[F.size(F.filter("toks", _equals(w))) for w in terms]).alias("tf"))
 
 
@@ -45,7 +46,7 @@ def bm25(docs: DataFrame, terms: list[str], id_: str = "memory_id", text: str =
     """id, score of every document that holds a term."""
     if not terms:
         return docs.select(id_, F.lit(0.0).alias("score")).limit(0)
-    counts = term_counts(docs, terms, id_, text)
+    counts = materialize(term_counts(docs, terms, id_, text), "terms")  # read twice: statistics, then scores
     stats = counts.agg(F.count("*"), F.avg("length"), *[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).first()
     n, mean, dfs = stats[0], stats[1] or 1.0, stats[2:]
     score = F.lit(0.0)
@@ -70,12 +71,12 @@ def phrase(docs: DataFrame, words: list[str], id_: str = "memory_id", text: str
 def bm25_batch(docs: DataFrame, cues: DataFrame, k: int, id_: str = "memory_id") -> DataFrame:
     """cue_id, id, score, rank for many cues (cue_id, text) at once."""
     terms = cues.select("cue_id", F.explode(F.array_distinct(S.tokens("text"))).alias("term"))
-    toks = docs.select(id_, S.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    lengths = toks.select(id_, F.size("toks").alias("length"))
-    total = lengths.agg(F.count("*"), F.avg("length")).first()
-    n, mean = total[0], total[1] or 1.0
+    toks = spread(docs.select(id_, "text")).select(id_, S.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
     wanted = terms.select("term").distinct()
-    postings = toks.select(id_, F.size("toks").alias("length"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi").groupBy("term", id_, "length").agg(F.count("*").alias("tf"))
+    tokens = toks.select(id_, F.size("toks").alias("length"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
+    postings = materialize(tokens.groupBy("term", id_, "length").agg(F.count("*").alias("tf")), "postings")
+    total = spread(docs.select("text")).agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(S.TOKEN)))).first()
+    n, mean = total[0], (total[1] or 0) / max(total[0], 1) or 1.0
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     scored = postings.join(df, "term").select("term", id_, part.alias("part")).join(terms, "term").groupBy("cue_id", id_).agg(S.rounded(F.sum("part")).alias("score"))
@@ -104,7 +105,7 @@ def merged(a: DataFrame, b: DataFrame, k: int, id_: str = "memory_id") -> DataFr
 
 def postings_stats(docs: DataFrame, id_: str = "memory_id") -> DataFrame:
     """term, df, cf over all documents."""
-    words = docs.select(id_, F.explode(S.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    words = spread(docs.select(id_, "text")).select(id_, F.explode(S.tokens(F.coalesce("text", F.lit("")))).alias("term"))
     return words.groupBy("term", id_).agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -55,3 +55,15 @@ def _at_exit() -> None:
 
 
 atexit.register(_at_exit)
+
+
+def spread(df: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
+    """Deals out a table too small to give every core a split.
+
+    A small file is one task however heavy the work on its rows is. The plan's
+    own size estimate decides (nothing runs); anything that has ``split_bytes``
+    for each core keeps its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split_bytes else df
