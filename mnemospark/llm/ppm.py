@@ -231,7 +231,8 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
     if not 2 <= max_order <= 6:
         raise ValueError("max_order: 2 to 6 symbols fit a 64-bit gram")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-int(total) // chunk_bytes))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-int(total) // chunk_bytes), min(cores, -(-int(total) // (1 << 20))))  # a small table keeps all cores busy
     given = docs.select("doc_id", "text", held_out("doc_id", modulus, remainder).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
     asked = given.repartition(chunks, "chunk").mapInArrow(bw.tidy(_requests(max_order)), "chunk int, kind tinyint, key long, n long")
     asked = materialize(asked, "ppm")

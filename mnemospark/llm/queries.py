@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import decontam, fm, langid, licenses, linededup, mixing, ppm, rules, simhash, warc
+from mnemospark.scratch import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
