@@ -16,11 +16,17 @@ SALIENCE_HALF_LIFE = {"Episodic": 30 * DAY, "Semantic": 365 * DAY, "Consolidated
 RECENCY_HALF_LIFE = 90 * DAY
 EXACT_ID = r"\b[A-Z][A-Z0-9]+-\d+\b"
 TITLE_CASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
-LIST_INTENT = r"(?i)\b(list|all|every|which|what are|show me)\b"
-TEMPORAL = r"(?i)\b(yesterday|today|tomorrow|last|next|ago|since|before|after|when|(?:19|20)\d{2})\b"
+LIST_INTENT = r"\b(list|every|enumerate|how many|how much|all of|name (all|every|the)|which of|what are|what were|what kinds? of|what types? of)\b"  # on lower-case text
+TEMPORAL = r"\b(yesterday|today|tomorrow|last\s+(week|month|year|\d+\s+days?|\d+\s+weeks?|\d+\s+months?)|next\s+(week|month|year)|\d{4}-\d{2}-\d{2})\b"  # on lower-case text
+ALL_CAPS = r"^(?=.*[A-Z0-9])[A-Z0-9_-]+(\s+[A-Z0-9_-]*[A-Z0-9][A-Z0-9_-]*)*$"
 TOKEN = r"[\p{L}\p{N}]+"
 LEADING_ARTICLE = r"^(the|a|an|this|that) "
-NON_REFERENTIAL = ("i", "you", "we", "they", "he", "she", "it", "me", "him", "her", "us", "them", "this", "that", "these", "those", "someone", "something", "anyone", "anything", "everyone", "everything", "nobody", "nothing")
+NON_REFERENTIAL = (
+    "i you we they he she it me us him her them "
+    "myself yourself himself herself itself ourselves yourselves themselves "
+    "my your our their his its this that these those the a an "
+    "who whom whose someone something anyone everyone nobody"
+).split()
 
 
 # --- numbers ----------------------------------------------------------------
@@ -100,7 +106,7 @@ def normalize_name(name: Column) -> Column:
 
 def trigrams(normalized: Column) -> Column:
     """Distinct three-character windows of each word, padded with two spaces before and one after."""
-    padded = F.transform(F.filter(F.split(normalized, "[^\\p{L}\\p{N}]+"), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(F.filter(F.split(normalized, "\\s+"), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))))
 
 
@@ -114,18 +120,28 @@ def capitalized_runs(text: Column) -> Column:
 
 
 def router_features(text: Column) -> Column:
+    lower = F.lower(text)
     return F.struct(
         text.rlike(EXACT_ID).alias("exact_id"),
+        text.rlike(ALL_CAPS).alias("all_caps"),
         text.rlike(TITLE_CASE).alias("title_case"),
-        text.rlike(LIST_INTENT).alias("list_intent"),
-        text.rlike(TEMPORAL).alias("temporal"),
+        lower.rlike(LIST_INTENT).alias("list_intent"),
+        lower.rlike(TEMPORAL).alias("temporal"),
     )
 
 
 def mention_acceptable(text: Column) -> Column:
-    """Not empty, at most six words and 50 characters, not ``<number> <word>``, not a pronoun."""
+    """Not empty, at most six words and 50 characters, not a quantity (a number and one or two words)."""
     t = F.trim(text)
-    return (t != "") & (F.size(F.split(t, "\\s+")) <= 6) & (F.length(t) <= 50) & ~t.rlike("^\\d+ \\w+$") & ~F.lower(t).isin(*NON_REFERENTIAL)
+    words = F.split(t, "\\s+")
+    quantity = F.get(words, F.lit(0)).rlike("^[0-9,.]+$") & (F.size(words) <= 3)
+    return (t != "") & (F.size(words) <= 6) & (F.length(t) <= 50) & ~quantity
+
+
+def non_referential(text: Column) -> Column:
+    """Pronouns, determiners and the like, or nothing at all."""
+    t = F.lower(F.trim(text))
+    return (t == "") | t.isin(*NON_REFERENTIAL)
 
 
 def edge_weight_valid(kind: Column, weight: Column) -> Column:

@@ -27,6 +27,13 @@ def followed_by(timeline: DataFrame, by: tuple[str, ...] = ("agent", "context"),
     return near.select(F.col("prev_id").alias("src"), F.col("memory_id").alias("dst"), S.rounded((1 - F.col("gap") / gap_seconds) * 0.9 + 0.1).alias("weight"))
 
 
+def topical(edges: DataFrame, vectors: DataFrame, least: float = 0.4) -> DataFrame:
+    """Edges whose ends are alike enough (``vectors``: memory_id, v); a missing vector counts as unlike."""
+    a = vectors.select(F.col("memory_id").alias("src"), F.col("v").alias("_a"))
+    b = vectors.select(F.col("memory_id").alias("dst"), F.col("v").alias("_b"))
+    return edges.join(a, "src").join(b, "dst").where(S.rounded(S.cosine(F.col("_a"), F.col("_b"))) >= least).drop("_a", "_b")
+
+
 def sessions(timeline: DataFrame, by: str = "agent", gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """by, session (from 1), n, started, ended."""
     order = Window.partitionBy(by).orderBy("created_at", "memory_id")
@@ -36,7 +43,7 @@ def sessions(timeline: DataFrame, by: str = "agent", gap_seconds: int = GAP_SECO
     return numbered.groupBy(by, "session").agg(F.count("*").alias("n"), F.min("created_at").alias("started"), F.max("created_at").alias("ended"))
 
 
-def caused(effects: DataFrame, causes: DataFrame, evidence: DataFrame, min_confidence: float = 0.6, caps: tuple[int, int, int] = (3, 3, 5)) -> DataFrame:
+def caused(effects: DataFrame, causes: DataFrame, evidence: DataFrame, min_confidence: float = 0.6, caps: tuple[int, int, int] = (5, 3, 3)) -> DataFrame:
     """src, dst, weight: memories of the statements about an effect's object cause the effect's memories.
 
     effects: statement_id, object_entity, confidence. causes: statement_id, subject.

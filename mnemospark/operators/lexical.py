@@ -8,6 +8,7 @@ postings of the asked terms only.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,22 @@ from mnemospark.operators.ranking import ranked, top_k
 from mnemospark.scratch import materialize, spread
 
 K1, B = 1.2, 0.75
-STOP = frozenset("a an and are as at be by do does for from how i in is it me my of on or our that the this to was we what when where which who whom why will with you your".split())
+#: Words that a lexical query drops.
+STOP = frozenset(
+    (
+        "when what where who whom whose why how which "
+        "did does do is are was were be been being am has have had will would shall should can could may might must "
+        "the a an this that these those some any no "
+        "of to in on at for and or with about from as by into over after before between out up down off than then so but if because "
+        "it its i you he she they we his her hers their theirs your yours my mine our ours me him them us"
+    ).split()
+)
 
 
 def content_terms(text: str) -> list[str]:
-    """Query terms without function words; all terms if nothing else is left."""
-    import re
-
-    found = list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
-    return [t for t in found if t not in STOP] or found
+    """Query terms without function words and outer punctuation; the raw words if nothing else is left."""
+    bare = (w.strip(string.punctuation).lower() for w in text.split())
+    return list(dict.fromkeys(w for w in bare if w and w not in STOP)) or text.split()
 
 
 def _idf(n: int, df: int) -> float:

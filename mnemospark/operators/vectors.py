@@ -249,6 +249,24 @@ def cleanup(noisy: np.ndarray, fillers: dict[str, np.ndarray]) -> tuple[str, flo
     return best, score[best]
 
 
+def role_query(triples: DataFrame, codebook: list[str], dim: int = 512) -> DataFrame:
+    """id, filler, score: the object of each triple (id, subject, object), bound and
+    bundled as one vector, read back through its role and cleaned up against the
+    codebook. Fillers get vectors from a hash of their name."""
+    import zlib
+
+    def run(it):
+        vector = lambda name: unitary(zlib.crc32(name.encode()), dim)
+        subject, object_ = unitary(1, dim), unitary(2, dim)
+        fillers = {name: vector(name) for name in codebook}
+        for pdf in it:
+            found = [cleanup(unbind(bundle(bind(subject, vector(s)), bind(object_, vector(o))), object_), fillers) for s, o in zip(pdf["subject"], pdf["object"])]
+            yield pd.DataFrame({"id": pdf["id"], "filler": [f for f, _ in found], "score": [x for _, x in found]})
+
+    kind = triples.schema["id"].dataType.simpleString()
+    return triples.select("id", "subject", "object").mapInPandas(run, f"id {kind}, filler string, score double")
+
+
 def train_codes(sample: np.ndarray, parts: int, centroids_: int = 16, rounds: int = 10, seed: int = 1) -> np.ndarray:
     """Product-quantiser codebook (part, centroid, width) from a bounded sample."""
     rng = np.random.default_rng(seed)

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scalars as S
 from mnemospark.operators import derive, lexical, ranking, vectors
 
-#: Lane weights of the query classes.
+#: Lane weights and pool of each query class.
 PROFILES = {
-    "EntityAnchored": {"semantic": 1.0, "lexical": 0.7, "graph": 2.0},
-    "ExactTerm": {"semantic": 0.5, "lexical": 2.0, "graph": 0.5},
-    "Paraphrase": {"semantic": 1.5, "lexical": 0.5, "graph": 0.5},
-    "ListAggregation": {"semantic": 1.0, "lexical": 1.0, "graph": 1.0},
-    "Default": {"semantic": 1.0, "lexical": 1.0, "graph": 1.0},
+    "EntityAnchored": ({"semantic": 1.0, "lexical": 0.7, "graph": 2.0}, 50),
+    "ExactTerm": ({"semantic": 1.0, "lexical": 2.0, "graph": 0.7}, 100),
+    "Paraphrase": ({"semantic": 1.5, "lexical": 1.0, "graph": 0.5}, 200),
+    "ListAggregation": ({"semantic": 1.5, "lexical": 1.0, "graph": 0.5}, 400),
+    "Default": ({"semantic": 1.0, "lexical": 1.0, "graph": 1.0}, 100),
 }
+LEAST_POOL, MOST_POOL, MOST_POOL_LIST = 100, 200, 400
 DEFAULT_LIMIT = 20
 
 
@@ -54,32 +55,42 @@ class Plan:
 
 
 def classify(text: str, anchored: bool) -> str:
-    """By features of the text: anchor or proper name, exact id, list intent, long prose."""
-    if re.search(S.LIST_INTENT, text):
-        return "ListAggregation"
-    if re.search(S.EXACT_ID, text) or re.search(r"\b[A-Z]{2,}\b", text):
-        return "ExactTerm"
-    if anchored or re.search(S.TITLE_CASE, text[1:]):
+    """An anchor or a proper name, an exact id or capitals only, a list intent, prose, nothing."""
+    text = text.strip()
+    if anchored or re.search(S.TITLE_CASE, text):
         return "EntityAnchored"
-    return "Paraphrase" if len(text.split()) > 8 else "Default"
+    if re.search(S.EXACT_ID, text) or re.search(S.ALL_CAPS, text):
+        return "ExactTerm"
+    if not text:
+        return "Default"
+    return "ListAggregation" if re.search(S.LIST_INTENT, text.lower()) else "Paraphrase"
+
+
+def routed(text: str, anchored: bool) -> dict[str, float]:
+    """Lane to weight: the union of the rules that match, or both text lanes."""
+    found: dict[str, float] = {}
+    if anchored:
+        found = {"graph": 2.0, "semantic": 1.0} | ({"lexical": 0.5} if text else {})
+    if re.search(S.EXACT_ID, text) or re.search(S.ALL_CAPS, text.strip()):
+        found = {"graph": found["graph"]} if "graph" in found else {}
+        found |= {"lexical": 2.0, "semantic": 1.0 if anchored else 0.5}
+    return found or ({"semantic": 1.0, "lexical": 1.0} if text else {})
 
 
 def plan(request: Request) -> Plan:
-    """At most three lanes; weights are the greatest of request, router and class."""
-    text = request.text or " ".join(request.terms or [])
-    kind = classify(text, request.anchor is not None) if request.text else "Default"
-    lanes = [lane for lane, on in (("semantic", request.cue), ("lexical", text), ("graph", request.anchor)) if on]
+    """At most three lanes; a lane's weight is the greatest of request (1 if not given), router and class."""
+    text = request.text if request.text is not None else " ".join(request.terms or [])
+    kind = classify(text, request.anchor is not None)
+    router = routed(text, request.anchor is not None) or {"semantic": 1.0}
+    given = {"semantic": request.cue is not None, "lexical": bool(text), "graph": request.anchor is not None}
+    lanes = [lane for lane in ("semantic", "lexical", "graph") if lane in router and given[lane]]
     if not lanes:
         raise ValueError("a request needs a cue, text or an anchor")
-    router = {"semantic": 1.0, "lexical": 1.0, "graph": 1.0}
-    if request.anchor is not None:
-        router = {"semantic": 1.0, "lexical": 0.5, "graph": 2.0}
-    elif kind == "ExactTerm":
-        router = {"semantic": 0.5, "lexical": 2.0, "graph": 0.0}
-    weights = {lane: max(request.weights.get(lane, 0.0), router[lane], PROFILES[kind][lane]) for lane in lanes}
-    ceiling = 400 if kind == "ListAggregation" else 200
+    profile, pool = PROFILES[kind]
+    weights = {lane: max(request.weights.get(lane, 1.0), router[lane], profile[lane]) for lane in lanes}
     limit = request.limit or DEFAULT_LIMIT
-    pool = request.pool or min(max(3 * limit, 100), ceiling)
+    ceiling = MOST_POOL_LIST if re.search(S.LIST_INTENT, text.lower()) else MOST_POOL
+    pool = request.pool or min(max(3 * limit, pool, LEAST_POOL), ceiling)
     return Plan(kind, tuple(lanes), weights, pool, limit, request.now is not None)
 
 

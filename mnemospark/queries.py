@@ -552,9 +552,9 @@ def edge_scrub(spark, sf_dir):
     return e.join(parts.withColumnRenamed("node", "dst"), "dst", "left_anti").unionByName(e.join(left.withColumnRenamed("node", "src"), "src", "left_anti").select("dst", "src")).select("src", "dst").distinct()
 
 
-@_query("""WITH eff AS (SELECT o_orderkey AS effect, o_custkey + 1 AS obj, 0.5::DOUBLE + (o_orderkey % 5) / 10.0::DOUBLE AS confidence FROM orders), p AS (SELECT effect, o_orderkey AS cause, confidence FROM eff JOIN orders ON o_custkey = obj WHERE confidence >= 0.6 AND effect <> o_orderkey QUALIFY row_number() OVER (PARTITION BY effect ORDER BY o_orderkey) <= 3),
+@_query("""WITH eff AS (SELECT o_orderkey AS effect, o_custkey + 1 AS obj, 0.5::DOUBLE + (o_orderkey % 5) / 10.0::DOUBLE AS confidence FROM orders), p AS (SELECT effect, o_orderkey AS cause, confidence FROM eff JOIN orders ON o_custkey = obj WHERE confidence >= 0.6 AND effect <> o_orderkey QUALIFY row_number() OVER (PARTITION BY effect ORDER BY o_orderkey) <= 5),
 m AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS mem FROM lineitem), r AS (SELECT s, mem, row_number() OVER (PARTITION BY s ORDER BY mem) AS n FROM m)
-SELECT a.mem AS src, b.mem AS dst, max(confidence) AS weight FROM p JOIN r a ON a.s = cause AND a.n <= 3 JOIN r b ON b.s = effect AND b.n <= 5 WHERE a.mem <> b.mem GROUP BY ALL""")
+SELECT a.mem AS src, b.mem AS dst, max(confidence) AS weight FROM p JOIN r a ON a.s = cause AND a.n <= 3 JOIN r b ON b.s = effect AND b.n <= 3 WHERE a.mem <> b.mem GROUP BY ALL""")
 def causal_edges(spark, sf_dir):
     o = R.table(spark, sf_dir, "orders")
     effects = o.select(F.col("o_orderkey").alias("statement_id"), (F.col("o_custkey") + 1).alias("object_entity"), (0.5 + (F.col("o_orderkey") % 5) / 10.0).alias("confidence"))
@@ -652,7 +652,7 @@ def normalize_name(spark, sf_dir):
     return resolution.with_names(R.entities(spark, sf_dir)).select("entity_id", "norm")
 
 
-_GRAMS = "list_distinct(flatten(list_transform(list_transform(list_filter(regexp_split_to_array(norm, '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: '  ' || w || ' '), lambda p: list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))))"
+_GRAMS = "list_distinct(flatten(list_transform(list_transform(list_filter(regexp_split_to_array(norm, '\\s+'), lambda w: w <> ''), lambda w: '  ' || w || ' '), lambda p: list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))))"
 _SURF = "surf AS (SELECT DISTINCT replace(n_name, 'A', 'E') AS surface FROM nation UNION SELECT n_name FROM nation)"
 
 
@@ -701,15 +701,16 @@ def merge_review(spark, sf_dir):
 
 # --- scalars over text ----------------------------------------------------------------
 @_query(
-    "SELECT conv_id, turn, regexp_matches(text, '{b}[A-Z][A-Z0-9]+-\\d+{e}') AS exact_id, regexp_matches(text, '{b}[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*{e}') AS title_case, "
-    "regexp_matches(text, '(?i){b}(list|all|every|which|what are|show me){e}') AS list_intent, "
-    "regexp_matches(text, '(?i){b}(yesterday|today|tomorrow|last|next|ago|since|before|after|when|(?:19|20)\\d{{2}}){e}') AS temporal FROM conversations".format(b="(^|[^\\p{L}\\p{N}_])", e="($|[^\\p{L}\\p{N}_])")
+    "SELECT conv_id, turn, regexp_matches(text, '{b}[A-Z][A-Z0-9]+-\\d+{e}') AS exact_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: NOT (regexp_matches(w, '^[A-Z0-9_-]+$') AND regexp_matches(w, '[A-Z0-9]')))) = 0 AS all_caps, "
+    "regexp_matches(text, '{b}[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*{e}') AS title_case, "
+    "regexp_matches(lower(text), '{b}(list|every|enumerate|how many|how much|all of|name (all|every|the)|which of|what are|what were|what kinds? of|what types? of){e}') AS list_intent, "
+    "regexp_matches(lower(text), '{b}(yesterday|today|tomorrow|last\\s+(week|month|year|\\d+\\s+days?|\\d+\\s+weeks?|\\d+\\s+months?)|next\\s+(week|month|year)|\\d{{4}}-\\d{{2}}-\\d{{2}}){e}') AS temporal FROM conversations".format(b="(^|[^\\p{L}\\p{N}_])", e="($|[^\\p{L}\\p{N}_])")
 )
 def router_features(spark, sf_dir):
     return R.table(spark, sf_dir, "conversations").select("conv_id", "turn", S.router_features(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
 
 
-@_query(f"WITH {ENT} SELECT entity_id, trim(name) <> '' AND len(regexp_split_to_array(trim(name), '\\s+')) <= 6 AND length(trim(name)) <= 50 AND NOT regexp_matches(trim(name), '^\\d+ \\w+$') AND lower(trim(name)) NOT IN ({', '.join(map(repr, S.NON_REFERENTIAL))}) AS acceptable FROM ent")
+@_query(f"WITH {ENT}, w AS (SELECT entity_id, trim(name) AS t, regexp_split_to_array(trim(name), '\\s+') AS w FROM ent) SELECT entity_id, t <> '' AND len(w) <= 6 AND length(t) <= 50 AND NOT (regexp_matches(w[1], '^[0-9,.]+$') AND len(w) <= 3) AS acceptable FROM w")
 def mention_acceptable(spark, sf_dir):
     return R.entities(spark, sf_dir).select("entity_id", S.mention_acceptable(F.col("name")).alias("acceptable"))
 
@@ -751,7 +752,7 @@ def wal_projection(spark, sf_dir):
 
 
 # --- the engine ---------------------------------------------------------------------------
-_ENGINE = f"""{_RRF}, {MEM}, kept AS (SELECT item_id, fused + 1.0::DOUBLE / 61 * pow(0.5::DOUBLE, greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (90 * 86400.0::DOUBLE)) AS f, lanes FROM fused JOIN mem ON memory_id = item_id WHERE context IN ('en', 'fr') AND salience >= 0.05)"""
+_ENGINE = f"""{LANES}, fused AS (SELECT item_id, sum(CASE lane WHEN 'semantic' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (CASE WHEN pool < 200 THEN 15 WHEN pool < 2000 THEN 30 ELSE 60 END + rank)) AS fused, list_sort(list(DISTINCT lane)) AS lanes FROM lists, (SELECT count(*) AS pool FROM lists) GROUP BY item_id), {MEM}, kept AS (SELECT item_id, fused + 1.0::DOUBLE / 61 * pow(0.5::DOUBLE, greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (90 * 86400.0::DOUBLE)) AS f, lanes FROM fused JOIN mem ON memory_id = item_id WHERE context IN ('en', 'fr') AND salience >= 0.05)"""
 
 
 def recall_request(spark: SparkSession, sf_dir: str) -> Request:

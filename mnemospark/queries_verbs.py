@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import analyzer, scalars as S
-from mnemospark.operators import graph, lexical, ranking, statements, vectors
+from mnemospark.operators import derive, graph, lexical, ranking, statements, vectors
 from mnemospark.plans import dsl
 from mnemospark.plans.engine import Engine
-from mnemospark.queries import ANN, BM25, CUE_TERMS, EV, LANES, MEM, REL, ST, _cue, _lanes, _query, _sup
+from mnemospark.queries import ANN, BM25, CUE_TERMS, EV, LANES, MEM, REL, ST, VEC, _cue, _lanes, _query, _sup
 from mnemospark.sources import records as R
 
 _ENTS = "e AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS seg FROM customer), m AS (SELECT o_custkey AS id, count(*) AS mentions FROM orders GROUP BY 1)"
@@ -188,6 +188,24 @@ def audit_recent(spark, sf_dir):
     return R.memories(spark, sf_dir).select("agent", "memory_id", "kind", place.alias("n")).where("n <= 10").drop("n")
 
 
+@_query(f"""WITH {VEC}, {MEM}, p AS (SELECT lag(memory_id) OVER o AS src, memory_id AS dst, datesub('second', lag(created_at) OVER o, created_at) AS gap FROM mem WINDOW o AS (PARTITION BY agent ORDER BY created_at, memory_id)),
+e AS (SELECT src, dst, round((1 - gap / 7200.0::DOUBLE) * 0.9::DOUBLE + 0.1::DOUBLE + 1e-9::DOUBLE, 6) AS weight FROM p WHERE gap <= 7200)
+SELECT src, dst, weight FROM e JOIN vec a ON a.memory_id = src JOIN vec b ON b.memory_id = dst WHERE round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) + 1e-9::DOUBLE, 6) >= 0.1""")
+def followed_by_topical(spark, sf_dir):
+    """Predecessors within two hours that are also alike."""
+    edges = derive.followed_by(R.memories(spark, sf_dir), ("agent",), 7200)
+    return derive.topical(edges, R.vectors(spark, sf_dir), 0.1)
+
+
+@_query("SELECT n_nationkey AS id, r_name AS filler FROM nation JOIN region ON n_regionkey = r_regionkey")
+def hrr_analogy(spark, sf_dir):
+    """Each nation's region, read back from one bundled vector."""
+    n, r = R.table(spark, sf_dir, "nation"), R.table(spark, sf_dir, "region")
+    names = sorted(x.r_name for x in r.collect())  # the codebook: a handful of regions
+    triples = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("subject"), F.col("r_name").alias("object"))
+    return vectors.role_query(triples, names).select("id", "filler")
+
+
 @_query()
 def analyzed_terms(spark, sf_dir):
     """Stemmed document frequencies (the analyzer is tested against golden stems)."""

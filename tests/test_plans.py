@@ -6,7 +6,7 @@ from mnemospark.sources import records as R
 
 GOOD = """
 namespace demo
-use brain
+use base
 entity_type Person { name: text, age: number, home: ref<City>, mood: enum["good", "bad"] }
 entity_type City { name: text }
 kind Habit { cardinality: set }
@@ -46,18 +46,27 @@ def test_extract(spark):
 
 
 def test_router():
-    assert classify("list all tickets", False) == "ListAggregation"
-    assert classify("status of ABC-123", False) == "ExactTerm"
-    assert classify("where does Alice work", False) == "EntityAnchored"
-    assert classify("hello there", False) == "Default"
+    assert classify("list all tickets", False) == "ListAggregation" and classify("how many tickets", False) == "ListAggregation"
+    assert classify("status of ABC-123", False) == "ExactTerm" and classify("FOO BAR_9", False) == "ExactTerm"
+    assert classify("where does Alice work", False) == "EntityAnchored" and classify("hello", True) == "EntityAnchored"
+    assert classify("hello there", False) == "Paraphrase" and classify("", False) == "Default"
     p = plan(Request(cue=[1.0], text="where does Alice work"))
-    assert p.lanes == ("semantic", "lexical") and p.weights["lexical"] == 1.0 and p.pool == 100
-    assert plan(Request(cue=[1.0], text="x", anchor=5)).lanes == ("semantic", "lexical", "graph")
-    assert "top 200" in plan(Request(text="x", limit=90)).render()
+    assert p.lanes == ("semantic", "lexical") and p.weights == {"semantic": 1.0, "lexical": 1.0} and p.pool == 100
+    p = plan(Request(cue=[1.0], text="x", anchor=5))
+    assert p.lanes == ("semantic", "lexical", "graph") and p.weights == {"semantic": 1.0, "lexical": 1.0, "graph": 2.0}
+    assert plan(Request(cue=[1.0], text="see ABC-1")).weights == {"semantic": 1.0, "lexical": 2.0}
+    assert plan(Request(text="how many x", limit=200)).pool == 400 and "top 200" in plan(Request(text="x", limit=90)).render()
     with pytest.raises(ValueError):
         plan(Request())
 
 
+def test_terms():
+    from mnemospark.operators.lexical import content_terms
+
+    assert content_terms("When did Caroline go to the LGBTQ support group?") == ["caroline", "go", "lgbtq", "support", "group"]
+    assert content_terms("who are you") == ["who", "are", "you"] and content_terms("") == []
+
+
 def test_anchored_recall(spark, sf):
     m, v = R.memories(spark, sf), R.vectors(spark, sf)
     edges = spark.createDataFrame([(3, "SimilarTo", 4, 0.9), (3, "FollowedBy", 5, 0.9)], "src long, kind string, dst long, weight double")
