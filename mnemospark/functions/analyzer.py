@@ -126,28 +126,45 @@ def embedded(text: Column, dim: int = 384) -> Column:
 # --- temporal expressions ----------------------------------------------------------
 ISO = r"\b((?:19|20)\d{2}-\d{2}-\d{2})\b"
 YEAR = r"(?:^|[^\d-])((?:19|20)\d{2})(?:$|[^\d-])"
+DEICTIC = r"(?i)\b(yesterday|today|tomorrow)\b"
+PERIOD = r"(?i)\b(last|this|next) (week|month|year)\b"
 AGO = r"(?i)\b(\d{1,4}) (day|week|month|year)s? ago\b"
-
-
-def event_dates(text: Column, now: Column, most: int = 8) -> Column:
-    """Distinct dates a text speaks of, at most ``most``: ISO dates, bare years,
-    yesterday / today / tomorrow, last / next week, month, year, N units ago."""
-    t = F.coalesce(text, F.lit(""))
-    today = now.cast("date")
-    iso = F.transform(F.regexp_extract_all(t, F.lit(ISO), F.lit(1)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
-    years = F.transform(F.regexp_extract_all(t, F.lit(YEAR), F.lit(1)), lambda y: F.make_date(y.cast("int"), F.lit(1), F.lit(1)))
-    said = lambda pattern, date: F.when(t.rlike(f"(?i)\\b{pattern}\\b"), date)
-    relative = F.array(
-        said("yesterday", F.date_sub(today, 1)), said("today", today), said("tomorrow", F.date_add(today, 1)),
-        said("last week", F.date_sub(today, 7)), said("next week", F.date_add(today, 7)),
-        said("last month", F.add_months(today, -1)), said("next month", F.add_months(today, 1)),
-        said("last year", F.add_months(today, -12)), said("next year", F.add_months(today, 12)),
-    )
-    n, unit = F.regexp_extract_all(t, F.lit(AGO), F.lit(1)), F.regexp_extract_all(t, F.lit(AGO), F.lit(2))
-
-    def back(count: Column, what: Column) -> Column:
-        k, what = count.cast("int"), F.lower(what)
-        return F.when(what == "day", F.date_sub(today, k)).when(what == "week", F.date_sub(today, k * 7)).when(what == "month", F.add_months(today, -k)).otherwise(F.add_months(today, k * -12))
-
-    every = F.concat(iso, years, relative, F.zip_with(n, unit, back))
-    return F.slice(F.array_distinct(F.filter(every, lambda d: d.isNotNull())), 1, most)
+AHEAD = r"(?i)\bin (\d{1,4}) (day|week|month|year)s?\b"
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+WEEKDAY = rf"(?i)\b({'|'.join(WEEKDAYS)})\b"
+
+
+def event_dates(text: Column, anchor: Column, most: int = 8) -> Column:
+    """Distinct dates a text speaks of, at most ``most``, seen from ``anchor``: ISO
+    dates, bare years, yesterday / today / tomorrow, last / this / next week, month
+    or year, N units ago, in N units, a weekday (the nearest before the anchor).
+    Months are clamped to their last day."""
+    t, today = F.coalesce(text, F.lit("")), anchor.cast("date")
+    every = lambda pattern, group=1: F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+
+    def moved(n: Column, unit: Column) -> Column:
+        unit = F.lower(unit)
+        return F.when(unit == "day", F.date_add(today, n)).when(unit == "week", F.date_add(today, n * 7)).when(unit == "month", F.add_months(today, n)).otherwise(F.add_months(today, n * 12))
+
+    def deictic(word: Column) -> Column:
+        word = F.lower(word)
+        return F.date_add(today, F.when(word == "yesterday", -1).when(word == "tomorrow", 1).otherwise(0))
+
+    def period(direction: Column, unit: Column) -> Column:
+        direction = F.lower(direction)
+        return moved(F.when(direction == "last", -1).when(direction == "next", 1).otherwise(0), unit)
+
+    def weekday(name: Column) -> Column:
+        wanted = F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.lower(name)).cast("int") - 1
+        return F.date_sub(today, F.pmod(F.weekday(today) - wanted - 1, F.lit(7)) + 1)
+
+    found = F.concat(
+        F.transform(every(ISO), lambda d: F.try_to_date(d, "yyyy-MM-dd")),
+        F.transform(every(YEAR), lambda y: F.make_date(y.cast("int"), F.lit(1), F.lit(1))),
+        F.transform(every(DEICTIC), deictic),
+        F.zip_with(every(PERIOD), every(PERIOD, 2), period),
+        F.zip_with(every(AGO), every(AGO, 2), lambda n, unit: moved(-n.cast("int"), unit)),
+        F.zip_with(every(AHEAD), every(AHEAD, 2), lambda n, unit: moved(n.cast("int"), unit)),
+        F.transform(every(WEEKDAY), weekday),
+    )
+    return F.slice(F.array_distinct(F.filter(found, lambda d: d.isNotNull())), 1, most)

@@ -31,6 +31,7 @@ def test_event_dates(spark):
 
     assert of("on 2023-05-06, in 1999; last month") == ["2023-05-06", "1999-01-01", "2024-02-29"]
     assert of("3 weeks ago and 2 years ago, 2023-02-30") == ["2024-03-10", "2022-03-31"]
+    assert of("this week, in 2 days; on Sunday and Monday, NEXT YEAR") == ["2024-03-31", "2025-03-31", "2024-04-02", "2024-03-24", "2024-03-25"]
     assert of("nothing") == [] and of(None) == []
 
 
