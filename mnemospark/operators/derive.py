@@ -27,6 +27,14 @@ def followed_by(timeline: DataFrame, by: tuple[str, ...] = ("agent", "context"),
     return near.select(F.col("prev_id").alias("src"), F.col("memory_id").alias("dst"), S.rounded((1 - F.col("gap") / gap_seconds) * 0.9 + 0.1).alias("weight"))
 
 
+def mirrored(edges: DataFrame, most: int = 16) -> DataFrame:
+    """Symmetric edges from both ends, at most ``most`` of a source, the heaviest first."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    once = both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return once.select("*", place.alias("_n")).where(F.col("_n") <= most).drop("_n")
+
+
 def topical(edges: DataFrame, vectors: DataFrame, least: float = 0.4) -> DataFrame:
     """Edges whose ends are alike enough (``vectors``: memory_id, v); a missing vector counts as unlike."""
     a = vectors.select(F.col("memory_id").alias("src"), F.col("v").alias("_a"))

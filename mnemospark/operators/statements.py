@@ -9,21 +9,30 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scalars as S
 
 
-def supersede(statements: DataFrame, key: tuple[str, ...] = ("subject", "predicate", "kind")) -> DataFrame:
+#: Kinds of which a key has one current statement.
+SINGLE_KINDS = ("Attribute", "Directive")
+
+
+def supersede(statements: DataFrame, key: tuple[str, ...] = ("subject", "predicate", "kind"), stateful: tuple[str, ...] = ()) -> DataFrame:
     """Single-valued statements: each retires its predecessor of the same key.
 
     Adds version, chain_root, superseded_by, valid_from, valid_to (the successor's
-    extraction) and record_invalidated_at.
+    extraction, unless a column ``pinned_to`` holds an end) and
+    record_invalidated_at. Kinds with several values stay chains of one, but for
+    predicates declared ``stateful``; events are never superseded.
     """
-    chain = Window.partitionBy(*key).orderBy("extracted_at", "statement_id")
+    single = F.col("kind").isin(*SINGLE_KINDS) | ((F.col("kind") != "Event") & F.col("predicate").isin(*stateful))
+    alone = F.when(~single, F.col("statement_id"))
+    chain = Window.partitionBy(*key, alone).orderBy("extracted_at", "statement_id")
+    after = F.lead("extracted_at").over(chain)
     return statements.select(
         "*",
         F.row_number().over(chain).cast("bigint").alias("version"),
         F.first("statement_id").over(chain).alias("chain_root"),
         F.lead("statement_id").over(chain).alias("superseded_by"),
         F.col("extracted_at").alias("valid_from"),
-        F.lead("extracted_at").over(chain).alias("valid_to"),
-        F.lead("extracted_at").over(chain).alias("record_invalidated_at"),
+        (F.coalesce("pinned_to", after) if "pinned_to" in statements.columns else after).alias("valid_to"),
+        after.alias("record_invalidated_at"),
     )
 
 

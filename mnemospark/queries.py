@@ -327,9 +327,9 @@ def chain_head(spark, sf_dir):
     return statements.chain_heads(_sup(spark, sf_dir))
 
 
-@_query(f"WITH {ST} SELECT statement_id, subject, object FROM sup WHERE superseded_by IS NULL AND valid_from <= TIMESTAMP '1997-01-01' ")
+@_query(f"WITH {ST} SELECT statement_id, subject, object FROM sup WHERE superseded_by IS NULL AND valid_from <= TIMESTAMP '1998-06-01'")
 def current_statements(spark, sf_dir):
-    now = F.lit("1997-01-01").cast("timestamp_ntz")
+    now = F.lit("1998-06-01").cast("timestamp_ntz")
     s = _sup(spark, sf_dir).where(S.is_current(F.col("valid_from"), F.col("valid_to"), F.col("superseded_by"), F.lit(False), now))
     return s.select("statement_id", "subject", "object")
 

@@ -116,8 +116,24 @@ def test_noisy_or_is_bounded_and_monotone(spark, xs):
 
 
 def test_supersession_has_one_current_row(spark):
-    rows = [(i, i % 3, "p", "k", str(i), f"2024-01-{1 + i % 5:02d}") for i in range(30)]
+    rows = [(i, i % 3, "p", "Attribute", str(i), f"2024-01-{1 + i % 5:02d}") for i in range(30)]
     st_ = spark.createDataFrame(rows, "statement_id long, subject int, predicate string, kind string, object string, extracted_at string")
     out = statements.supersede(st_)
     assert out.where("superseded_by IS NULL").count() == 3
     assert out.groupBy("chain_root").agg(F.max("version").alias("v"), F.count("*").alias("n")).where("v <> n").count() == 0
+
+
+def test_supersession_by_kind(spark):
+    rows = [(1, 7, "a", "Fact", 1), (2, 7, "a", "Fact", 2), (3, 7, "s", "Preference", 1), (4, 7, "s", "Preference", 2), (5, 7, "s", "Event", 1), (6, 7, "s", "Event", 2), (7, 7, "d", "Directive", 1), (8, 7, "d", "Directive", 2)]
+    df = spark.createDataFrame(rows, "statement_id long, subject int, predicate string, kind string, extracted_at int")
+    pinned = df.withColumn("pinned_to", F.when(F.col("statement_id") == 7, 99))
+    got = {r.statement_id: (r.superseded_by, r.valid_to) for r in statements.supersede(pinned, stateful=("s",)).collect()}
+    assert {k for k, v in got.items() if v[0]} == {3, 7} and got[3] == (4, 2) and got[7] == (8, 99)
+
+
+def test_mirrored_edges_have_a_cap(spark):
+    from mnemospark.operators import derive
+
+    edges = spark.createDataFrame([(1, i, 1.0 / i) for i in range(2, 30)] + [(2, 1, 0.4)], "src long, dst long, weight double")
+    got = derive.mirrored(edges).collect()
+    assert sum(r.src == 1 for r in got) == 16 and sum(r.dst == 1 for r in got) == 28 and len({(r.src, r.dst) for r in got}) == len(got)
