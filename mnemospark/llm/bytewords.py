@@ -119,6 +119,15 @@ def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(h + (end - start).astype(np.uint64)).view(np.int64)
 
 
+def bounded_batches(spark, rows: int = 2000) -> None:
+    """Arrow batches of ``rows`` rows, unless the session chose a number itself:
+    at the default of 10,000 long texts make batches of many MB, of which the
+    JVM, its pools and Python each hold some."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def _libc():
     try:
         return ctypes.CDLL(None)

@@ -223,6 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bw.bounded_batches(docs.sparkSession)
     model = train(docs, labels, modulus, remainder, train_rows)
     kind = docs.schema["doc_id"].dataType
     given = docs.select("doc_id", "text", "n_chars", held_out("doc_id", modulus, remainder).alias("held_out"))

@@ -263,6 +263,7 @@ def _predicted(df: DataFrame, carried: DataFrame, model: ByteLabeller | None, na
     """``df``: the carried columns, the text, whether it has a letter."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bw.bounded_batches(df.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
     return df.mapInArrow(bw.tidy(_predict(model, to_arrow_schema(carried.schema), names)), f"{fields}, `{names[0]}` string, `{names[1]}` double")
 

@@ -106,6 +106,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1, bro
         raise ValueError("the keys are made for one edit")
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bw.bounded_batches(docs.sparkSession)
     lines = _lines(docs.select("doc_id", "text"), min_chars)
     n = F.length("line")
     slim = lines.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), n.alias("n"), F.array(*_half_keys(F.col("line"), n)).alias("halves"))

@@ -230,6 +230,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
     """
     if not 2 <= max_order <= 6:
         raise ValueError("max_order: 2 to 6 symbols fit a 64-bit gram")
+    bw.bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, -(-int(total) // chunk_bytes), min(cores, -(-int(total) // (1 << 20))))  # a small table keeps all cores busy

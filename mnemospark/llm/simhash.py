@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bytewords import _splitmix, tidy
+from mnemospark.llm.bytewords import _splitmix, bounded_batches, tidy
 from mnemospark.operators.components import connected_components
 from mnemospark.scratch import materialize
 
@@ -98,6 +98,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id, fp (signed 64-bit) of every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     return docs.select("doc_id", "text").mapInArrow(tidy(_fingerprints(to_arrow_type(kind), size)), f"doc_id {kind.simpleString()}, fp long")
 
