@@ -39,12 +39,8 @@ def rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: int | None
     w = F.lit(1.0)
     for lane, weight in (weights or {}).items():
         w = F.when(F.col("lane") == lane, weight).otherwise(w)
-    if k is None:
-        pool = F.count("*").over(Window.partitionBy(*by)) if by else None
-        if pool is None:
-            k_col = adaptive_k(F.lit(lists.count()))
-        else:
-            lists, k_col = lists.withColumn("_k", adaptive_k(pool)), F.col("_k")
+    if k is None:  # lanes are bounded lists, so counting them in a window costs nothing and runs no lane twice
+        lists, k_col = lists.withColumn("_k", adaptive_k(F.count("*").over(Window.partitionBy(*by)))), F.col("_k")
     else:
         k_col = F.lit(k)
     return lists.groupBy(*by, "item_id").agg(F.sum(w / (k_col + F.col("rank"))).alias("fused"), F.array_sort(F.collect_set("lane")).alias("lanes"))

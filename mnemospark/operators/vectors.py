@@ -37,22 +37,26 @@ def best_per_owner(scored: DataFrame, owner: str, score: str, k: int) -> DataFra
     return top_k(scored.groupBy(owner).agg(F.max(score).alias(score)), k, F.desc(score), F.asc(owner))
 
 
+def _placed(both: DataFrame, score: Column, k: int, *order: Column) -> DataFrame:
+    """memory_id, score, rank of the first k rows: a partial top-k, then ranks of k rows."""
+    keyed = both.select("memory_id", score.alias("score"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    by = [F.asc(f"_o{i}") for i in range(len(order))] + [F.asc("memory_id")]
+    return top_k(keyed, k, *by).select("memory_id", "score", F.row_number().over(Window.orderBy(*by)).cast("bigint").alias("rank"))
+
+
 def merge_append(direct: DataFrame, extra: DataFrame, k: int) -> DataFrame:
     """direct (memory_id, rank, score) keeps its order, scores rise to the greater
     one; what only ``extra`` (memory_id, score) has follows by score."""
-    e = extra.select("memory_id", F.col("score").alias("extra"))
-    both = direct.join(e, "memory_id", "full").select("memory_id", F.greatest("score", "extra").alias("score"), F.col("rank").alias("_direct"))
-    order = Window.orderBy(F.col("_direct").isNull(), F.coalesce("_direct", F.lit(0)), F.desc("score"), F.asc("memory_id"))
-    return both.select("memory_id", "score", F.row_number().over(order).cast("bigint").alias("rank")).where(F.col("rank") <= k)
+    both = direct.join(extra.select("memory_id", F.col("score").alias("extra")), "memory_id", "full")
+    best = F.greatest("score", "extra")
+    return _placed(both, best, k, F.col("rank").isNull(), F.coalesce("rank", F.lit(0)), -best)
 
 
 def merge_boost(direct: DataFrame, extra: DataFrame, k: int, weight: float = 0.15) -> DataFrame:
     """direct is re-sorted by score + weight * extra; the rest follows by score."""
-    e = extra.select("memory_id", F.col("score").alias("extra"))
-    both = direct.join(e, "memory_id", "full")
-    key = F.coalesce("score", F.lit(0.0)) + weight * F.coalesce("extra", F.lit(0.0))
-    order = Window.orderBy(F.col("score").isNull(), F.when(F.col("score").isNull(), -F.col("extra")).otherwise(-key), F.asc("memory_id"))
-    return both.select("memory_id", F.coalesce("score", "extra").alias("score"), F.row_number().over(order).cast("bigint").alias("rank")).where(F.col("rank") <= k)
+    both = direct.join(extra.select("memory_id", F.col("score").alias("extra")), "memory_id", "full")
+    key = F.coalesce(F.col("score") + weight * F.coalesce("extra", F.lit(0.0)), F.col("extra"))
+    return _placed(both, F.coalesce("score", "extra"), k, F.col("score").isNull(), -key)
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:

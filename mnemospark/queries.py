@@ -287,10 +287,10 @@ def anchor_abstention(spark, sf_dir):
     return m.withColumn("_any", F.max(F.when(~F.col("only_sem"), 1).otherwise(0)).over(Window.partitionBy())).where("_any = 1").select("item_id", "fused")
 
 
-@_query(f"WITH {BM25}, a AS (SELECT memory_id, score, CASE WHEN score <= 0.8::DOUBLE * lag(score) OVER o THEN 1 ELSE 0 END AS fell FROM bm WINDOW o AS (ORDER BY score DESC, memory_id)) SELECT memory_id, score FROM a QUALIFY sum(fell) OVER (ORDER BY score DESC, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0")
+@_query(f"WITH {BM25}, page AS (SELECT * FROM bm ORDER BY score DESC, memory_id LIMIT 1000), a AS (SELECT memory_id, score, CASE WHEN score <= 0.8::DOUBLE * lag(score) OVER o THEN 1 ELSE 0 END AS fell FROM page WINDOW o AS (ORDER BY score DESC, memory_id)) SELECT memory_id, score FROM a QUALIFY sum(fell) OVER (ORDER BY score DESC, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0")
 def autocut(spark, sf_dir):
-    top = lexical.bm25(R.memories(spark, sf_dir), CUE_TERMS)
-    return ranking.autocut(top, "score", "memory_id", 0.8)
+    top = lexical.bm25_topk(R.memories(spark, sf_dir), CUE_TERMS, 1000)  # a result list has a ceiling of 1000
+    return ranking.autocut(top.select("memory_id", "score"), "score", "memory_id", 0.8)
 
 
 @_query()
