@@ -133,12 +133,12 @@ def knn_join_similar_to(spark, sf_dir):
     return vectors.similar_to(R.vectors(spark, sf_dir), threshold=0.3, k=5)
 
 
-@_query(f"""WITH RECURSIVE {VEC}, e AS (SELECT a.memory_id AS u, b.memory_id AS v FROM vec a JOIN vec b ON a.memory_id <> b.memory_id WHERE round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) + 1e-9::DOUBLE, 6) >= 0.6),
+@_query(f"""WITH RECURSIVE {VEC}, e AS (SELECT a.memory_id AS u, b.memory_id AS v FROM vec a JOIN vec b ON a.memory_id <> b.memory_id WHERE round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) + 1e-9::DOUBLE, 6) >= 0.35),
 w AS (SELECT memory_id AS node, memory_id AS root FROM vec UNION SELECT e.v, w.root FROM w JOIN e ON e.u = w.node),
 c AS (SELECT node, min(root) AS cluster FROM w GROUP BY node)
 SELECT node AS memory_id, cluster, count(*) OVER (PARTITION BY cluster) AS members FROM c QUALIFY members >= 5""")
 def similarity_clusters(spark, sf_dir):
-    return vectors.similarity_clusters(R.vectors(spark, sf_dir), 0.6, 5)
+    return vectors.similarity_clusters(R.vectors(spark, sf_dir), 0.35, 5)
 
 
 @_query()
