@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and with them documents of which no word is left."""
-    done = linededup.dedup(docs)
+    done = linededup.dedup(docs, linededup.EVERY_LINE)
     changed = F.col("_exact") + F.col("_near") > 0
     kept = done.where(~changed | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return kept.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in done.columns[:-3]])

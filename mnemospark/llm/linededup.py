@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join (edit bound 1).
 
-A line (lower-cased, trimmed, at least ``min_chars`` characters) goes if an
-earlier line, in the order of (doc_id, line number), equals it or lies within
+A line (lower-cased, trimmed, with a letter or digit, at least ``min_chars``
+characters) goes if an earlier line, in the order of (doc_id, line number), equals it or lies within
 one edit: one character inserted, deleted or substituted.
 
 Equal lines are one class, named by its earliest line. A class emits, as
@@ -17,8 +17,8 @@ or the last half of a line as it was, so a class whose halves no other class
 of a fitting length shares is settled. Halves and classes travel as hashes;
 texts are read again for the rest.
 
-Defined cases: null and empty texts stay as they are; shorter and blank lines
-always stay; a document whose lines all go keeps an empty text; rows of one
+Defined cases: null and empty texts stay as they are; shorter lines and lines
+without a letter or digit always stay (with ``EVERY_LINE`` none is shorter); a document whose lines all go keeps an empty text; rows of one
 doc_id count as one document, and rows without doc_id are passed through; a
 very long line costs time in proportion to its length; other columns ride along.
 """
@@ -35,12 +35,14 @@ from mnemospark.scratch import materialize
 
 SAME_PLACE, WHOLE, DELETED = 0, 1, 2
 _BATCH = 200_000
+#: The ``min_chars`` of the query and the pipeline: every line with a letter or digit counts.
+EVERY_LINE = 1
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, no (line number from 0), line (normalised) of the lines that count."""
     cut = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return cut.select("doc_id", "no", F.lower(F.btrim("line", F.lit(" \t\x0b\x0c\r"))).alias("line")).where(F.length("line") >= min_chars)
+    return cut.select("doc_id", "no", F.lower(F.btrim("line", F.lit(" \t\x0b\x0c\r"))).alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike("[\\p{L}\\p{N}]"))
 
 
 def _half_keys(line: Column, n: Column) -> list[Column]:

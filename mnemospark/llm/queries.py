@@ -23,7 +23,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup(_table(spark, sf_dir, "documents"))
+    done = linededup.dedup(_table(spark, sf_dir, "documents"), linededup.EVERY_LINE)
     return done.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"))
 
 

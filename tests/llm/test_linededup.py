@@ -65,3 +65,19 @@ def test_long_line(spark):
 def test_only_one_edit(spark):
     with pytest.raises(ValueError):
         linededup.repeated_lines(spark.createDataFrame([], SCHEMA), max_edits=2)
+
+
+def test_short_lines_as_the_query_and_the_pipeline_call_it(spark, tmp_path):
+    import corpus_pipeline as cp
+    from mnemospark.llm import queries
+
+    rnd = random.Random(3)
+    words = ["all rights reserved.", "les.", "ok", "7", "licensed under cc by-nc 4.0.", "a line that is long enough to count here"]
+    docs = [(d, "\n".join(_mutated(rnd, rnd.choice(words)) if rnd.random() < 0.7 else rnd.choice(["--", "", "}", "other %d" % rnd.randrange(99)]) for _ in range(4))) for d in range(40)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], SCHEMA)
+    gone = {(d, n) for d, n in _plain(docs, 1) if any(c.isalnum() for c in docs[d][1].split("\n")[n])}
+    want = {d: "\n".join(s for n, s in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in docs}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == want and len(gone) > 60
+    kept = {r.doc_id: r.text for r in cp.line_dedup(spark, df, "").collect()}
+    assert kept and kept == {d: t for d, t in want.items() if t.strip() or t == dict(docs)[d]}
