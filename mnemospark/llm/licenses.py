@@ -1,11 +1,18 @@
 """Licence scans by sentence rules, with built-in functions only.
 
-A text is cut into sentences (line ends, and white space after ``.``, ``!`` or
-``?``), each normalised to lower-case ASCII words. Known licence sentences map
+A text is cut into pieces, each normalised to lower-case ASCII words: at hard
+ends (white space after ``.``, ``!`` or ``?``, and blank lines) and at soft
+ones (line ends, ``;`` and ``:`` within a line, web addresses). Consecutive
+pieces with only soft ends between them that together spell a known sentence
+are a hit, the longest that starts at a place, so wrapped and reflowed texts
+are read alike; comment leaders at line starts fall away. Known sentences map
 to identifiers; the text's sequence of identifiers is then matched against
 ordered rules: an earlier rule consumes its identifiers before a later one
 sees them. What no rule consumes is reported as loose.
 
+The SQL oracle knows line and sentence ends only: it agrees where every known
+sentence stands on a line, or part of a line cut at a sentence end, of its own.
+
 Only texts that hold one of ``TRIGGERS`` are cut: every known sentence holds
 one (checked on import), so no match can be missed.
 
@@ -91,13 +98,20 @@ def normalise(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip(" ")
 
 
+#: A known sentence over one or more pieces, the longest first.
+_KNOWN = "(?m)^(?:" + "|".join(s.replace(" ", "[ \\n]") for _, s in sorted(SENTENCES, key=lambda x: -len(x[1]))) + ")$"
+
+
 def _sequence(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order: ``<One><Two>``."""
-    sentences = F.split(F.regexp_replace(text, "([.!?])[\\x20\\x09-\\x0D]+", "$1\n"), "\n")
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    hits = F.filter(plain, lambda s: s.isin([s for _, s in SENTENCES]))
+    cut = F.regexp_replace(text, "(?m)^[\\x20\\x09]*@?(?i:dnl|rem)(?=[\\x20\\x09\\r\\n]|$)", "")
+    cut = F.regexp_replace(cut, "([.!?])[\\x20\\x09-\\x0D]+", "$1\n\n")
+    cut = F.regexp_replace(cut, "(?<=[^\\s;:])[;:](?=[\\x20\\x09]+[^\\s])", "\n")
+    cut = F.regexp_replace(cut, "\\s*<?(?i:https?)://[^\\s]+\\s*", "\n\n")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(cut), "[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    hits = F.regexp_extract_all(F.trim(plain), F.lit(_KNOWN), F.lit(0))
     names = F.create_map(*[F.lit(x) for name, s in SENTENCES for x in (s, f"<{name}>")])
-    return F.concat_ws("", F.transform(hits, lambda s: F.element_at(names, s)))
+    return F.concat_ws("", F.transform(hits, lambda s: F.element_at(names, F.translate(s, "\n", " "))))
 
 
 def _consume(state: Column, rule: Column) -> Column:

@@ -45,3 +45,66 @@ def test_against_plain_rules(spark):
 def test_every_sentence_finds_itself(spark):
     df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(licenses.SENTENCES)], "doc_id long, text string")
     assert all(r.n_sentences == 1 for r in licenses.scan(df).collect())
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def test_wrapped_and_reflowed_texts(spark):
+    import re
+    import textwrap
+
+    lines = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in re.split("\n+", t.strip()))
+    flow = lambda t: "\n\n".join(" ".join(p.split()) for p in re.split("\n\n+", t))
+    forms = {"Apache-2.0": APACHE, "MIT": lines(MIT, 76) + "\n\n" + AS_IS, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL, "ISC": ISC + "\n\n" + AS_IS}
+    texts, want = [], []
+    for name, t in forms.items():
+        for lead in (None, "", " * ", "# ", "// ", ";; ", "dnl ", "REM "):
+            texts.append(flow(t) if lead is None else "\n".join(lead + x for x in t.split("\n")))
+            want.append((len(texts) - 1, name, ""))
+        texts += [t.replace("\n", "\r\n"), t.replace("\n", " \n")]
+        want += [(len(texts) - 2, name, ""), (len(texts) - 1, name, "")]
+    texts += [" ".join(APACHE.split()), "A title\nReleased under\nthe MIT License\nOther words", "Released under\n\nthe MIT License"]
+    want += [(len(texts) - 3, "Apache-2.0", ""), (len(texts) - 2, "MIT", ""), (len(texts) - 1, "", "")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.licences, r.loose) for r in licenses.scan(df).collect()) == want
