@@ -303,3 +303,49 @@ def adc_search(coded: DataFrame, book: np.ndarray, cue: list[float], k: int) ->
     tables = F.array(*[F.array(*[F.lit(x) for x in row]) for row in table])
     distance = F.aggregate(F.zip_with("codes", tables, lambda c, t: F.get(t, c)), F.lit(0.0), lambda a, x: a + x)
     return top_k(coded.select("memory_id", distance.alias("distance")), k, F.asc("distance"), F.asc("memory_id"))
+
+
+def adc_join(vectors: DataFrame, queries: DataFrame, book: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, memory_id, score, rank: the k nearest other rows of each query row
+    by cosine, exact for any codebook (of unit vectors).
+
+    A row is coded once and keeps its distance to its decoded self. In a block of
+    rows the k nearest by asymmetric distance set a radius; a row whose
+    asymmetric distance less that error lies beyond it cannot be among the k
+    (triangle inequality), and every other row is scored on its vector.
+    """
+    kind = vectors.schema["memory_id"].dataType.simpleString()
+    part = np.arange(len(book))
+
+    def code(it):
+        for pdf in it:
+            if len(pdf):
+                x = _unit(pdf["v"])
+                codes = np.stack([((p[:, None, :] - c[None]) ** 2).sum(2).argmin(1) for p, c in zip(np.split(x, len(book), axis=1), book)], axis=1)
+                error = np.linalg.norm(x - book[part, codes].reshape(len(x), -1), axis=1)
+                yield pd.DataFrame({"memory_id": pdf["memory_id"], "v": x.tolist(), "codes": codes.tolist(), "error": error})
+
+    usable, asks = (d.select("memory_id", "v").where("v IS NOT NULL") for d in (vectors, queries))
+    blocks, parts = (-(-max(d.count(), 1) // block_rows) for d in (usable, asks))
+    hashed = lambda n: F.pmod(F.xxhash64("memory_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = usable.mapInPandas(code, f"memory_id {kind}, v array<double>, codes array<int>, error double").withColumn("block", hashed(blocks)).withColumn("part", every(parts))
+    asks = asks.withColumn("part", hashed(parts)).withColumn("block", every(blocks)).withColumnRenamed("memory_id", "query_id")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            y, ids, codes, error = _unit(right["v"]), right["memory_id"].to_numpy(), np.array(right["codes"].tolist()), right["error"].to_numpy()
+            for q, x in zip(left["query_id"], _unit(left["v"])):
+                table = ((np.split(x, len(book)) - book.transpose(1, 0, 2)) ** 2).sum(2).T
+                near = np.where(ids == q, np.inf, np.sqrt(table[part, codes].sum(1)))
+                first = np.argsort(near, kind="stable")[:k]
+                least = np.round(y[first] @ x + 1e-9, 6).min() if len(first) == k and np.isfinite(near[first]).all() else -1.0
+                some = np.flatnonzero(np.isfinite(near) & (near - error <= np.sqrt(max(0.0, 2 - 2 * (least - 2e-6))) + 1e-6))
+                score = np.round(y[some] @ x + 1e-9, 6)
+                best = np.lexsort((ids[some], -score))[:k]
+                out.append(pd.DataFrame({"query_id": q, "memory_id": ids[some[best]], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "memory_id": [], "score": []})
+
+    found = asks.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(meet, f"query_id {kind}, memory_id {kind}, score double")
+    return ranked(found, "score", "memory_id", ("query_id",), k)

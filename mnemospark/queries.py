@@ -150,15 +150,14 @@ def ann_batch_search(spark, sf_dir):
 
 @_query()
 def pq_adc_search(spark, sf_dir):
-    """Product codes of all vectors, asymmetric distances, exact re-rank of the nearest 100."""
+    """Product codes of all vectors, asymmetric distances with an exact bound: the 10
+    nearest other rows of every row whose id is divisible by 100."""
     import numpy as np
 
     v = R.vectors(spark, sf_dir)
-    sample = v.orderBy(F.xxhash64("memory_id")).limit(2000).select("v").collect()
-    book = vectors.train_codes(np.array([r[0] for r in sample]), 8)
-    cue = _cue(spark, sf_dir)
-    near = vectors.adc_search(vectors.encode_codes(v, book), book, cue, 100)
-    return vectors.knn(v.join(near.select("memory_id"), "memory_id", "left_semi"), cue, 10)
+    sample = np.array([r[0] for r in v.where("v IS NOT NULL").orderBy(F.xxhash64("memory_id")).limit(2000).select("v").collect()])
+    book = vectors.train_codes(sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12), 8, 64)
+    return vectors.adc_join(v, v.where("memory_id % 100 = 0"), book, 10)
 
 
 # --- lexical search -----------------------------------------------------------

@@ -55,6 +55,39 @@ def test_product_codes_rank_near_vectors_first(spark, sf):
     assert 7 in near
 
 
+def _nearest(rows, k=10):
+    """Brute force: {query: {memory: score}} for ids divisible by 100, ties by id."""
+    ids, x = np.array([r.memory_id for r in rows]), np.array([r.v for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for i in np.flatnonzero(ids % 100 == 0):
+        score = np.where(ids == ids[i], -2, np.round(x @ x[i] + 1e-9, 6))
+        found[ids[i]] = {ids[j] for j in np.lexsort((ids, -score))[:k]}
+    return found
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_product_code_search_recall(spark, size):
+    from mnemospark.queries import queries
+
+    path = f"/root/testdata/{size}"
+    want, got = _nearest(R.vectors(spark, path).collect()), {}
+    for r in queries()["pq_adc_search"](spark, path).collect():
+        got.setdefault(r.query_id, set()).add(r.memory_id)
+    recall = sum(len(got.get(q, set()) & best) for q, best in want.items()) / sum(map(len, want.values()))
+    print(size, "recall@10", recall)
+    assert recall >= 0.99 and set(got) == set(want)
+
+
+def test_product_code_search_over_small_blocks(spark, sf):
+    v = R.vectors(spark, sf)
+    book = V.train_codes(np.array([r.v for r in v.limit(50).collect()]), 8, 4)
+    got = {}
+    for r in V.adc_join(v, v.where("memory_id % 100 = 0"), book, 10, block_rows=30).collect():
+        got.setdefault(r.query_id, set()).add(r.memory_id)
+    assert got == _nearest(v.collect())
+
+
 def test_centroid_is_a_unit_vector(spark, sf):
     for r in V.centroids(R.vectors(spark, sf), "label").collect():
         assert sum(c * c for c in r.centroid) == pytest.approx(1.0)
