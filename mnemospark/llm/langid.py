@@ -1,20 +1,26 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
 The network is written and trained here in numpy (backpropagation through
-time, Adam). Every byte of a text gets a label distribution; a document's
-distribution is the mean over all its bytes outside whitespace. The recurrence
-runs over pieces: words, those above ``PIECE`` bytes cut into pieces of that
-length, so state never spans whitespace, a sequence has a bounded length, and a
-piece that was labelled once need not be labelled again. All bytes of whole
-texts are pooled.
+time, Adam). Both directions run over a whole text, state carried from the
+first byte to the last and back, and every byte, white space included, gets a
+label distribution; a document's distribution is the mean over all its bytes.
 
-Training takes at most ``sample_per_label`` labelled documents of each language
-(those with the smallest hash of their id) and ``steps`` batches; that bound is
-the only one. Prediction reads nothing but the text.
+Texts of similar length run side by side, ``BATCH`` bytes at a time. A text
+above ``SEGMENT`` bytes runs alone: a first pass ahead keeps the state at each
+segment's start, then segments are labelled from the last to the first, so
+memory is bounded by the segment and the result is that of one run.
+
+Training takes excerpts of at most ``sample_rows`` labelled documents, shared
+out evenly over the languages (those with the smallest hash of id and text;
+``EXCERPTS`` stretches of ``EXCERPT`` characters of each, at places given by
+that hash), and ``steps`` batches; that bound is the only one. Prediction reads
+nothing but the text, all of it.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with
 no training row every document is ``und``; ties go to the label that sorts
-first; repeated rows are predicted each; other columns are ignored.
+first; rows that share an id are separate, repeated rows are predicted each and
+may all be learned from; a null id counts as the empty string for the hold-out
+rule; any number of languages is learned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ from pyspark.sql import functions as F
 from mnemospark.llm import bytewords as bw
 from mnemospark.llm.ppm import held_out
 
-PIECE = 32
-LABELS_MOST = 1000
+BATCH, WINDOW, SEGMENT = 1 << 20, 16 << 20, 1 << 18
+EXCERPTS, EXCERPT = 6, 128
+#: Bytes of a training sequence.
+STRETCH = 64
 UNKNOWN = "und"
 
 
@@ -126,7 +134,7 @@ class ByteLabeller:
         of_w = lambda dp: np.tensordot(x, dp, axes=([0, 1], [0, 1]))
         return loss, [dembed, of_w(dxa), dua, dxa.sum((0, 1)), of_w(dxb), dub, dxb.sum((0, 1)), dout, dbias]
 
-    def fit(self, pieces: list[bytes], label: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 11) -> None:
+    def fit(self, pieces: list[bytes], label: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
         """Adam over batches of pieces of one length, drawn by how common the length is."""
         rng = np.random.default_rng(seed)
         lengths = np.array([len(p) for p in pieces])
@@ -146,91 +154,137 @@ class ByteLabeller:
                 p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
-def pieces_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row): words, cut into pieces of at most ``PIECE`` bytes."""
-    start, end, row = bw.spans(raw, offsets)
-    parts = -(-(end - start) // PIECE)
-    if len(parts) and parts.max() > 1:
-        at = np.repeat(np.arange(len(start)), parts)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, row = start[at] + nth * PIECE, np.minimum(end[at], start[at] + (nth + 1) * PIECE), row[at]
-    return start, end, row
-
-
-class _Labelled:
-    """Summed position distributions of the pieces seen so far."""
-
-    MOST = 1_000_000
+class Reader:
+    """The trained network over whole texts: gates in tables of their own, both directions in one step."""
 
     def __init__(self, model: ByteLabeller):
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.sums = bw.Index(np.zeros(0, np.int64)), np.zeros((0, len(self.model.labels)), np.float32)
-
-    def of(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Row in ``sums`` of every piece."""
-        key = bw.word_hash(raw, start, end)
-        at = self.index.find(key)
-        new = np.flatnonzero(at < 0)
-        if not len(new):
-            return at
-        if len(self.index.keys) > self.MOST:
-            self.clear()
-            new = np.arange(len(key))
-        _, some = np.unique(key[new], return_index=True)
-        some = new[some]
-        sums = np.empty((len(some), len(self.model.labels)), np.float32)
-        length = end[some] - start[some]
-        for n in np.unique(length):
-            same = np.flatnonzero(length == n)
-            for lo in range(0, len(same), 4096):
-                part = same[lo : lo + 4096]
-                codes = raw[start[some[part]][None, :] + np.arange(n)[:, None]]
-                sums[part] = self.model.positions(codes).sum(0)
-        self.index = bw.Index(np.concatenate([self.index.keys, key[some]]))
-        self.sums = np.concatenate([self.sums, sums])
-        return self.index.find(key)
-
-
-def document_probabilities(model: ByteLabeller, column, cache: _Labelled | None = None) -> np.ndarray:
-    """(row, label): mean over all bytes of each text's pieces; 0 where there is none."""
-    cache, out = cache or _Labelled(model), []
-    for _, _, raw, offsets in bw.slices(column):
-        raw, rows = bw.LOWER[raw], len(offsets) - 1
-        start, end, row = pieces_of(raw, offsets)
-        at = cache.of(raw, start, end)
-        total = np.stack([bw.per_row(cache.sums[at, j], row, rows) for j in range(len(model.labels))], axis=1)
+        size = len(model.ahead.u)
+        sides = (model.ahead, model.back)
+        inputs = np.stack([model.embedding @ g.w + g.b for g in sides])  # (2, 256, 3 * size)
+        state = np.stack([g.u for g in sides])
+        cut = lambda a, i, scale: np.ascontiguousarray(a[..., i * size : (i + 1) * size] * np.float32(scale))
+        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2: the half goes into the weights of both gates
+        self.inputs = [cut(inputs, 0, 0.5), cut(inputs, 1, 0.5), cut(inputs, 2, 1)]
+        self.state = [cut(state, 0, 0.5), cut(state, 1, 0.5), cut(state, 2, 1)]
+        self.size, self.bias, self.out = size, model.bias, (model.out[:size], model.out[size:])
+
+    def scan(self, codes: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = True):
+        """Runs len(codes) directions. codes: (direction, position), the positions of one step after those of
+        another, ``active`` of them a step, never growing. Returns the states of all positions and the last one."""
+        sides = len(codes)
+        inputs, state = [x[:sides].reshape(-1, self.size) for x in self.inputs], [u[:sides] for u in self.state]
+        codes = codes.astype(np.int32) + (256 * np.arange(sides, dtype=np.int32))[:, None]
+        out = np.empty((sides, codes.shape[1], self.size), np.float32) if keep else None
+        lo = 0
+        for k in active.tolist():
+            if h.shape[1] != k:
+                h = np.ascontiguousarray(h[:, :k])
+            at = codes[:, lo : lo + k]
+            r, z, n = np.matmul(h, state[0]), np.matmul(h, state[1]), np.matmul(h, state[2])
+            r += inputs[0].take(at, 0)
+            z += inputs[1].take(at, 0)
+            np.tanh(r, out=r)
+            np.tanh(z, out=z)
+            r *= 0.5
+            r += 0.5
+            z *= 0.5
+            z += 0.5
+            n *= r
+            n += inputs[2].take(at, 0)
+            np.tanh(n, out=n)
+            h = h - n
+            h *= z
+            h += n
+            if keep:
+                out[:, lo : lo + k] = h
+            lo += k
+        return out, h
+
+    def _distributions(self, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+        logits = ahead @ self.out[0] + back @ self.out[1] + self.bias
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        return logits / logits.sum(1, keepdims=True)
+
+    def _side_by_side(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Summed distributions of texts in descending order of length."""
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # texts longer than each step
+        first = np.concatenate(([0], np.cumsum(active)))
+        step = np.repeat(np.arange(length[0]), active)
+        text = np.arange(first[-1]) - first[step]
+        turned = length[text] - 1 - step
+        states, _ = self.scan(np.stack([raw[start[text] + step], raw[start[text] + turned]]), active, np.zeros((2, len(length), self.size), np.float32))
+        p = self._distributions(states[0], states[1][first[turned] + text])
+        return np.stack([np.bincount(text, weights=p[:, j], minlength=len(length)) for j in range(p.shape[1])], axis=1)
+
+    def _alone(self, raw: np.ndarray) -> np.ndarray:
+        """Summed distributions of one long text, a segment at a time."""
+        cuts = range(0, len(raw), SEGMENT)
+        ahead, starts = np.zeros((1, 1, self.size), np.float32), []
+        for lo in cuts:
+            starts.append(ahead)
+            part = raw[lo : lo + SEGMENT]
+            _, ahead = self.scan(part[None], np.ones(len(part), np.int64), ahead, keep=False)
+        back, total = np.zeros((1, 1, self.size), np.float32), np.zeros(len(self.bias))
+        for lo, ahead in zip(reversed(cuts), reversed(starts)):
+            part = raw[lo : lo + SEGMENT]
+            states, last = self.scan(np.stack([part, part[::-1]]), np.ones(len(part), np.int64), np.concatenate([ahead, back]))
+            back = last[1:]
+            total += self._distributions(states[0], states[1][::-1]).sum(0, dtype=np.float64)
+        return total
+
+    def sums(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(text, label): the distributions of all bytes of each text, summed."""
+        length = np.diff(offsets)
+        out = np.zeros((len(length), len(self.bias)))
+        order = np.argsort(-length, kind="stable")
+        order, at = order[length[order] > 0], 0
+        while at < len(order):
+            if length[order[at]] > SEGMENT:
+                out[order[at]] = self._alone(raw[offsets[order[at]] : offsets[order[at] + 1]])
+                at += 1
+                continue
+            many = max(1, int(np.searchsorted(np.cumsum(length[order[at:]]), BATCH, side="right")))
+            some = order[at : at + many]
+            out[some] = self._side_by_side(raw, offsets[some], length[some])
+            at += many
+        return out
+
+
+def document_probabilities(reader: Reader, column) -> np.ndarray:
+    """(row, label): mean over all bytes of each text; 0 where there is none."""
+    out = []
+    for _, _, raw, offsets in bw.slices(column, WINDOW):
+        total = reader.sums(bw.LOWER[raw], offsets)
         out.append(total / np.maximum(total.sum(1, keepdims=True), 1e-12))
-    return np.concatenate(out) if out else np.zeros((0, len(model.labels)))
-
-
-def train(docs: DataFrame, learn: Column, sample_per_label: int = 300, steps: int = 900, tokens: int = 120_000) -> ByteLabeller | None:
-    """Fit on at most ``sample_per_label`` documents of each language of the rows that ``learn`` admits."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ranked = labelled.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("nth"))
-    chosen = ranked.where(F.col("nth") <= sample_per_label).select("doc_id").distinct()
-    most = sample_per_label * LABELS_MOST
-    ids = [r[0] for r in chosen.limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {LABELS_MOST} languages")
-    if not ids:
-        return None
-    # ids that many rows share are cut off at four rows each on average
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").limit(4 * len(ids)).collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    labels = sorted({r[1] for r in rows})
-    rng = np.random.default_rng(3)
+    return np.concatenate(out) if out else np.zeros((0, len(reader.bias)))
+
+
+def _sample(docs: DataFrame, learn: Column, sample_rows: int) -> list:
+    """(lang, excerpts) of the documents to learn from."""
+    labelled = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    labels = labelled.select("lang").distinct().count()
+    if not labels:
+        return []
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    room = F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))
+    place = lambda i: (F.pmod(F.xxhash64(F.lit(i), "h"), room) + 1).cast("int")
+    marked = labelled.select("lang", "text", h.alias("h")).select("lang", "h", F.array(*[F.substring(F.col("text"), place(i), F.lit(EXCERPT)) for i in range(EXCERPTS)]).alias("parts"))
+    ranked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "parts")))
+    return ranked.where(F.col("nth") <= max(1, sample_rows // labels)).select("lang", "h", "parts").collect()  # at most sample_rows (or one a language)
+
+
+def train(docs: DataFrame, learn: Column, sample_rows: int = 1200, steps: int = 700) -> ByteLabeller | None:
+    """Fit on excerpts of at most ``sample_rows`` documents of the rows that ``learn`` admits."""
+    rows = sorted(_sample(docs, learn, sample_rows), key=lambda r: (r[0], r[1], r[2]))
+    labels = sorted({r[0] for r in rows})
     pieces, label = [], []
-    for j, name in enumerate(labels):
-        raw, offsets = bw.utf8(pa.array([r[2] for r in rows if r[1] == name], pa.large_string()))
-        raw = bw.LOWER[raw]
-        start, end, _ = pieces_of(raw, offsets)
-        if len(start):
-            some = np.sort(rng.choice(len(start), size=min(len(start), tokens // len(labels)), replace=False))
-            pieces += [raw[start[i] : end[i]].tobytes() for i in some]
-            label += [j] * len(some)
+    for name, _, parts in rows:
+        for part in dict.fromkeys(parts):
+            raw = bw.LOWER[np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)].tobytes()
+            found = [raw[i : i + STRETCH] for i in range(0, max(1, len(raw) - STRETCH // 2), STRETCH)]
+            pieces += found
+            label += [labels.index(name)] * len(found)
     if not pieces:
         return None
     model = ByteLabeller(labels)
@@ -238,55 +292,75 @@ def train(docs: DataFrame, learn: Column, sample_per_label: int = 300, steps: in
     return model
 
 
-def _predict(model: ByteLabeller | None, carried: pa.Schema, names: tuple[str, str]):
-    """Carries columns over and adds the prediction; the text is the last but one given."""
-    schema = carried.append(pa.field(names[0], pa.string())).append(pa.field(names[1], pa.float64()))
+def _predict(model: ByteLabeller | None, carried: pa.Schema, names: tuple[str, ...]):
+    """Carries columns over and adds label, score and margin over the second label; the text is the last but one given."""
+    schema = carried
+    for name, kind in zip(names, (pa.string(), pa.float64(), pa.float64())):
+        schema = schema.append(pa.field(name, kind))
 
     def run(batches):
-        cache = _Labelled(model) if model else None
-        for batch in batches:
+        reader = Reader(model) if model else None
+        for batch in _gathered(batches):
             text, letter = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            if model:
-                p = document_probabilities(model, text, cache)
+            n = batch.num_rows
+            label, score, margin = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.zeros(n)
+            if reader:
+                p = document_probabilities(reader, text)
                 known = letter.to_numpy(zero_copy_only=False).astype(bool) & (p.sum(1) > 0)
                 best = p.argmax(1)
                 label = np.where(known, np.array(model.labels, dtype=object)[best], UNKNOWN)
-                score = np.where(known, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0)
-            else:
-                label, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(label, pa.string()), pa.array(score)], schema=schema)
+                score = np.where(known, np.minimum(p[np.arange(n), best], 1.0), 0.0)
+                second = np.partition(p, -2, axis=1)[:, -2] if p.shape[1] > 1 else np.zeros(n)
+                margin = np.where(known, score - second, 0.0)
+            more = [pa.array(label, pa.string()), pa.array(score), pa.array(margin)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *more[: len(names)]], schema=schema)
 
     return run
 
 
-def _predicted(df: DataFrame, carried: DataFrame, model: ByteLabeller | None, names: tuple[str, str]) -> DataFrame:
+def _gathered(batches):
+    """Batches put together up to about ``WINDOW`` bytes, so that many texts run side by side."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= WINDOW:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held and (rest := [b for b in held if b.num_rows]):
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def _predicted(df: DataFrame, carried: DataFrame, model: ByteLabeller | None, names: tuple[str, ...]) -> DataFrame:
     """``df``: the carried columns, the text, whether it has a letter."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     bw.bounded_batches(df.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
-    return df.mapInArrow(bw.tidy(_predict(model, to_arrow_schema(carried.schema), names)), f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    added = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double")))
+    return df.mapInArrow(bw.tidy(_predict(model, to_arrow_schema(carried.schema), names)), f"{fields}, {added}")
 
 
 def _has_letter() -> Column:
     return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letter")
 
 
-def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_per_label: int = 300, steps: int = 900) -> DataFrame:
+def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_rows: int = 1200, steps: int = 700) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from the rows that are not held out."""
     out = held_out("doc_id", modulus, remainder)
-    model = train(docs, ~out, sample_per_label, steps)
+    model = train(docs, ~out, sample_rows, steps)
     given = docs.select("doc_id", out.alias("held_out"), F.col("text").alias("_text"), _has_letter())
     return _predicted(given, given.select("doc_id", "held_out"), model, ("lang_pred", "score"))
 
 
-def label_rows(docs: DataFrame, names: tuple[str, str] = ("_lang_pred", "_lang_score"), modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """All columns of ``docs`` and the prediction (columns of the same names give way)."""
+def label_rows(docs: DataFrame, names: tuple[str, str, str] = ("_lang_pred", "_lang_score", "_lang_margin"), modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """All columns of ``docs``, the prediction, its score and its margin over the
+    second label (columns of the same names give way)."""
     carried = docs.drop(*names)
     model = train(docs, ~held_out("doc_id", modulus, remainder))
     # the text itself is carried, as the last column, so it crosses to Python once; names may hold anything
     order = [c for c in carried.columns if c != "text"] + ["text"]
     given = carried.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(order)], _has_letter())
-    done = _predicted(given, given.drop("_letter"), model, ("_label", "_share"))
+    done = _predicted(given, given.drop("_letter"), model, ("_label", "_share", "_lead"))
     back = [F.col(f"_c{order.index(c)}").alias(c) for c in carried.columns]
-    return done.select(*back, F.col("_label").alias(names[0]), F.col("_share").alias(names[1]))
+    return done.select(*back, *[F.col(c).alias(n) for c, n in zip(("_label", "_share", "_lead"), names)])
