@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join (edit bound 1).
 
 A line (lower-cased, trimmed, with a letter or digit, at least ``min_chars``
-characters) goes if an earlier line, in the order of (doc_id, line number), equals it or lies within
-one edit: one character inserted, deleted or substituted.
+characters: 1 unless asked otherwise) goes if an earlier line, in the order of
+(doc_id, row key, line number), equals it or lies within one edit: one
+character inserted, deleted or substituted.
 
 Equal lines are one class, named by its earliest line. A class emits, as
 hashed keys, the variants that one deletion makes of it: with the place of the
@@ -15,12 +16,16 @@ each candidate pair is then verified on the texts.
 Only classes that can have a partner emit variants: an edit leaves the first
 or the last half of a line as it was, so a class whose halves no other class
 of a fitting length shares is settled. Halves and classes travel as hashes;
-texts are read again for the rest.
-
-Defined cases: null and empty texts stay as they are; shorter lines and lines
-without a letter or digit always stay (with ``EVERY_LINE`` none is shorter); a document whose lines all go keeps an empty text; rows of one
-doc_id count as one document, and rows without doc_id are passed through; a
-very long line costs time in proportion to its length; other columns ride along.
+texts are read again for the rest. Every join of a long side to one row a key
+is between two written tables, so the engine splits a key that holds much of
+the long side at run time.
+
+Defined cases: a row is known by a hash of its id and text (the row key), so
+rows that share an id are documents of their own, and rows equal in both are
+one document; a null id sorts first; null and empty texts stay as they are;
+shorter lines and lines without a letter or digit always stay; a document whose
+lines all go keeps an empty text; a very long line costs time in proportion to
+its length; other columns ride along.
 """
 
 from __future__ import annotations
@@ -31,28 +36,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm import bytewords as bw
+from mnemospark.llm import nativetext as nt
 from mnemospark.scratch import materialize
 
 SAME_PLACE, WHOLE, DELETED = 0, 1, 2
 _BATCH = 200_000
-#: The ``min_chars`` of the query and the pipeline: every line with a letter or digit counts.
-EVERY_LINE = 1
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, no (line number from 0), line (normalised) of the lines that count."""
-    cut = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return cut.select("doc_id", "no", F.lower(F.btrim("line", F.lit(" \t\x0b\x0c\r"))).alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike("[\\p{L}\\p{N}]"))
+    """doc_id, row, no (line number from 0), line (normalised) of the lines that count."""
+    cut = docs.select("doc_id", nt.row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return cut.select("doc_id", "row", "no", F.lower(F.btrim("line", F.lit(" \t\x0b\x0c\r"))).alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike("[\\p{L}\\p{N}]"))
 
 
 def _half_keys(line: Column, n: Column) -> list[Column]:
-    """Keys tagged by the shorter length of the pair they can join: m = n and m = n - 1."""
+    """Keys of both halves, tagged by the shorter length of the pair they can join: n (the first two) and n - 1."""
     keys = []
     for short in (0, 1):
         m = n - short
         half = F.floor(m / 2).cast("int")
-        keys.append(F.struct(m.alias("m"), F.xxhash64(F.lit("first"), m, F.substring(line, F.lit(1), half)).alias("key")))
-        keys.append(F.struct(m.alias("m"), F.xxhash64(F.lit("last"), m, F.substring(line, n - (m - half) + 1, m - half)).alias("key")))
+        keys.append(F.xxhash64(F.lit("first"), m, F.substring(line, F.lit(1), half)))
+        keys.append(F.xxhash64(F.lit("last"), m, F.substring(line, n - (m - half) + 1, m - half)))
     return keys
 
 
@@ -69,19 +73,19 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _variants(id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("no", pa.int32()), ("kind", pa.int8()), ("key", pa.int64())])
+    schema = pa.schema([("doc_id", id_type), ("row", pa.int64()), ("no", pa.int32()), ("kind", pa.int8()), ("key", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "no", "line", "same", "whole", "del")]
+            columns = [batch.column(c).to_pylist() for c in ("line", "same", "whole", "del")]
             ids, kinds, keys, held = [], [], [], 0
 
             def flush():
                 at = np.repeat(np.array([i for i, _ in ids]), [n for _, n in ids])
                 rows = pa.array(at)
-                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("no").take(rows), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys))], schema=schema)
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ("doc_id", "row", "no")], pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys))], schema=schema)
 
-            for i, (_, _, line, same, whole, deleted) in enumerate(zip(*columns)):
+            for i, (line, same, whole, deleted) in enumerate(zip(*columns)):
                 placed, bare, key = deletion_keys(line)
                 for kind, wanted, part in ((SAME_PLACE, same, placed), (WHOLE, whole, np.array([key])), (DELETED, deleted, np.unique(bare))):
                     if wanted:
@@ -98,8 +102,8 @@ def _variants(id_type: pa.DataType):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, no, near): the lines that go, and whether only a near copy is earlier.
+def repeated_lines(docs: DataFrame, min_chars: int = 1, max_edits: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
+    """(row, no, near): the lines that go, and whether only a near copy is earlier.
 
     Up to ``broadcast_rows`` open classes (counted; some 30 bytes each) fetch
     their texts by a broadcast, more by a shuffle.
@@ -110,48 +114,48 @@ def repeated_lines(docs: DataFrame, min_chars: int = 30, max_edits: int = 1, bro
 
     bw.bounded_batches(docs.sparkSession)
     lines = _lines(docs.select("doc_id", "text"), min_chars)
-    n = F.length("line")
-    slim = lines.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), n.alias("n"), F.array(*_half_keys(F.col("line"), n)).alias("halves"))
+    n, place = F.length("line"), F.struct("doc_id", "row", "no")
+    slim = lines.select("doc_id", "row", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.array(*_half_keys(F.col("line"), n)).alias("halves"))
     slim = materialize(slim, "lines")
-    first = F.min(F.struct("doc_id", "no")).alias("first")
-    classes = slim.groupBy("h1", "h2").agg(first, F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
+    classes = slim.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.any_value("halves").alias("halves"))
     classes = materialize(classes, "classes")
 
-    halves = classes.select("h1", "h2", "n", F.explode("halves").alias("half")).select("h1", "h2", "n", "half.m", "half.key")
-    short, long_ = F.count_if(F.col("n") == F.col("m")), F.count_if(F.col("n") > F.col("m"))
-    shared = halves.groupBy("m", "key").agg(short.alias("short"), long_.alias("long")).where("short >= 2 OR (short >= 1 AND long >= 1)")
-    is_short, both = F.col("n") == F.col("m"), (F.col("short") >= 1) & (F.col("long") >= 1)
-    open_ = halves.join(shared, ["m", "key"]).groupBy("h1", "h2").agg(F.max(is_short & (F.col("short") >= 2)).alias("same"), F.max(is_short & both).alias("whole"), F.max(~is_short & both).alias("del"))
-    open_ = open_.where("same OR whole OR del").join(classes.select("h1", "h2", "first"), ["h1", "h2"]).select("first.doc_id", "first.no", "same", "whole", "del")
+    # half of the class's hash is enough here: a collision opens a class for nothing, no more
+    halves = classes.select("h1", F.posexplode("halves").alias("i", "key")).select("h1", "key", (F.col("i") < 2).alias("is_short"))
+    shared = halves.groupBy("key").agg(F.count_if("is_short").alias("short"), F.count_if(~F.col("is_short")).alias("long")).where("short >= 2 OR (short >= 1 AND long >= 1)")
+    shared = materialize(shared.select("key", (F.col("short") >= 2).alias("twins"), ((F.col("short") >= 1) & (F.col("long") >= 1)).alias("both")), "shared")
+    is_short = F.col("is_short")
+    open_ = halves.join(shared, "key").groupBy("h1").agg(F.max(is_short & F.col("twins")).alias("same"), F.max(is_short & F.col("both")).alias("whole"), F.max(~is_short & F.col("both")).alias("del"))
+    open_ = open_.where("same OR whole OR del").join(classes.select("h1", "first"), "h1").select("first.row", "first.no", "same", "whole", "del")
     open_ = materialize(open_, "halves")
     if open_.count() <= broadcast_rows:
         open_ = F.broadcast(open_)
-    texts = materialize(lines.join(open_, ["doc_id", "no"]).dropDuplicates(["doc_id", "no"]), "open")
+    texts = materialize(lines.join(open_, ["row", "no"]).dropDuplicates(["row", "no"]), "open")
 
     kind = docs.schema["doc_id"].dataType
-    keys = texts.mapInArrow(bw.tidy(_variants(to_arrow_type(kind))), f"doc_id {kind.simpleString()}, no int, kind tinyint, key long")
-    place = F.struct("doc_id", "no")
+    keys = texts.mapInArrow(bw.tidy(_variants(to_arrow_type(kind))), f"doc_id {kind.simpleString()}, row long, no int, kind tinyint, key long")
     earliest = keys.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, place)).alias(f"f{k}") for k in (SAME_PLACE, WHOLE, DELETED)], F.count("*").alias("members")).where("members > 1").drop("members")
+    earliest = materialize(earliest, "earliest")
     partner = F.when(F.col("kind") == SAME_PLACE, F.col("f0")).when(F.col("kind") == WHOLE, F.col("f2")).otherwise(F.col("f1"))
-    candidates = keys.join(earliest, "key").select("doc_id", "no", partner.alias("partner")).where(F.col("partner") < place).distinct()
-    own = texts.select("doc_id", "no", "line")
-    other = texts.select(F.col("doc_id").alias("p_doc"), F.col("no").alias("p_no"), F.col("line").alias("p_line"))
-    pairs = candidates.select("doc_id", "no", F.col("partner.doc_id").alias("p_doc"), F.col("partner.no").alias("p_no")).join(own, ["doc_id", "no"]).join(other, ["p_doc", "p_no"])
-    near = pairs.where(F.levenshtein("line", "p_line", 1) >= 0).select("doc_id", "no").distinct().withColumn("near", F.lit(True))
+    candidates = keys.join(earliest, "key").select("doc_id", "row", "no", partner.alias("partner")).where(F.col("partner") < place).select("row", "no", "partner.row", "partner.no").toDF("row", "no", "p_row", "p_no").distinct()
+    own = texts.select("row", "no", "line")
+    pairs = candidates.join(own, ["row", "no"]).join(own.toDF("p_row", "p_no", "p_line"), ["p_row", "p_no"])
+    near = pairs.where(F.levenshtein("line", "p_line", 1) >= 0).select("row", "no").distinct().withColumn("near", F.lit(True))
 
-    named = classes.select("h1", "h2", "times", "first.doc_id", "first.no").join(near, ["doc_id", "no"], "left").where("times > 1 OR near")
-    gone = slim.select("doc_id", "no", "h1", "h2").join(named.select("h1", "h2", F.struct("doc_id", "no").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), ["h1", "h2"])
-    return gone.where((place != F.col("first")) | F.col("near")).select("doc_id", "no", (place == F.col("first")).alias("near"))
+    named = classes.select("h1", "h2", "times", "first.row", "first.no").join(near, ["row", "no"], "left").where("times > 1 OR near")
+    named = materialize(named.select("h1", "h2", F.col("row").alias("f_row"), F.col("no").alias("f_no"), F.coalesce("near", F.lit(False)).alias("near")), "named")
+    first = (F.col("row") == F.col("f_row")) & (F.col("no") == F.col("f_no"))
+    return slim.select("row", "no", "h1", "h2").join(named, ["h1", "h2"]).where(~first | F.col("near")).select("row", "no", first.alias("near"))
 
 
-def dedup(docs: DataFrame, min_chars: int = 30) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The columns of ``docs`` with the repeated lines taken out of text, then
     ``_lines``, ``_exact``, ``_near``: lines before, and lines that went (columns
     of these names in ``docs`` give way)."""
     docs = docs.drop("_lines", "_exact", "_near")
-    gone = repeated_lines(docs, min_chars).distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("no").alias("gone"), F.count_if(~F.col("near")).alias("exact"), F.count_if(F.col("near")).alias("near"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # no name of docs meets one of ours
-    joined = whole.join(gone, F.col("doc.doc_id") == F.col("id"), "left").withColumn("cut", F.split("doc.text", "\n"))
+    gone = repeated_lines(docs, min_chars).distinct().groupBy("row").agg(F.collect_list("no").alias("gone"), F.count_if(~F.col("near")).alias("exact"), F.count_if(F.col("near")).alias("near"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), nt.row_key().alias("row"))  # no name of docs meets one of ours
+    joined = whole.join(gone, "row", "left").withColumn("cut", F.split("doc.text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("cut"), i)), "\n"))
     kept = [(text if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
