@@ -102,6 +102,25 @@ def _variants(id_type: pa.DataType):
     return run
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether at most one edit lies between two lines, in time linear in their length."""
+    a, b = sorted((a, b), key=len)
+    if len(b) - len(a) > 1:
+        return False
+    low, high = 0, len(a)  # the common start, by halving
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
+
+
+def _verified(batches):
+    schema = pa.schema([("row", pa.int64()), ("no", pa.int32())])
+    for batch in batches:
+        near = [within_one(a, b) for a, b in zip(batch.column("line").to_pylist(), batch.column("p_line").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(near, pa.bool_())), batch.column("no").filter(pa.array(near, pa.bool_()))], schema=schema)
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = 1, max_edits: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
     """(row, no, near): the lines that go, and whether only a near copy is earlier.
 
@@ -140,7 +159,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 1, max_edits: int = 1, broa
     candidates = keys.join(earliest, "key").select("doc_id", "row", "no", partner.alias("partner")).where(F.col("partner") < place).select("row", "no", "partner.row", "partner.no").toDF("row", "no", "p_row", "p_no").distinct()
     own = texts.select("row", "no", "line")
     pairs = candidates.join(own, ["row", "no"]).join(own.toDF("p_row", "p_no", "p_line"), ["p_row", "p_no"])
-    near = pairs.where(F.levenshtein("line", "p_line", 1) >= 0).select("row", "no").distinct().withColumn("near", F.lit(True))
+    near = pairs.select("row", "no", "line", "p_line").mapInArrow(bw.tidy(_verified), "row long, no int").distinct().withColumn("near", F.lit(True))
 
     named = classes.select("h1", "h2", "times", "first.row", "first.no").join(near, ["row", "no"], "left").where("times > 1 OR near")
     named = materialize(named.select("h1", "h2", F.col("row").alias("f_row"), F.col("no").alias("f_no"), F.coalesce("near", F.lit(False)).alias("near")), "named")

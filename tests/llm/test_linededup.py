@@ -83,6 +83,13 @@ def test_long_line(spark):
     assert [(r.no, r.near) for r in linededup.repeated_lines(df).collect()] == [(0, True)]
 
 
+def test_one_edit_by_trying():
+    rnd = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choice("ab") for _ in range(rnd.randrange(6))) for _ in range(2))
+        assert linededup.within_one(a, b) == (_edits(a, b) <= 1)
+
+
 def test_only_one_edit(spark):
     with pytest.raises(ValueError):
         linededup.repeated_lines(spark.createDataFrame([], SCHEMA), max_edits=2)
