@@ -71,14 +71,16 @@ b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z]
 q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM b),
 c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM q),
-r AS (SELECT page_id * 2 AS record_id, canonical_url, t AS ts, 'response' AS kind, d AS tag, strftime(t, '%Y-%m-%d %H:%M:%S') AS stamp FROM c
+v AS (SELECT *, CASE WHEN lead_ = '2' THEN t - INTERVAL 30 SECOND ELSE t + INTERVAL 90 SECOND END AS again,
+        CASE WHEN lead_ IN ('0', '1') THEN '"changed"' WHEN lead_ NOT BETWEEN '3' AND '6' THEN 'W/"' || d || '"' END AS tag2, CASE WHEN lead_ IN ('3', '4', '5') THEN t WHEN lead_ = '6' THEN t - INTERVAL 1 DAY END AS since FROM c),
+r AS (SELECT page_id * 2 AS record_id, canonical_url, t AS ts, 'response' AS kind, '"' || d || '"' AS tag, t AS since, strftime(t, '%a, %d %b %Y %H:%M:%S GMT') AS said FROM v
       UNION ALL
-      SELECT page_id * 2 + 1, canonical_url, CASE WHEN lead_ = '2' THEN t - INTERVAL 30 SECOND ELSE t + INTERVAL 90 SECOND END, 'revisit', CASE WHEN lead_ IN ('0', '1') THEN 'changed' ELSE d END,
-             strftime(CASE WHEN lead_ = '2' THEN t - INTERVAL 30 SECOND ELSE t + INTERVAL 90 SECOND END, '%Y-%m-%d %H:%M:%S') FROM c),
-f AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'tag': tag, 'stamp': stamp} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM r),
-s AS (SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN found.tag = tag THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM f WHERE kind = 'revisit')
+      SELECT page_id * 2 + 1, canonical_url, again, 'revisit', tag2, since,
+             CASE lead_ WHEN '4' THEN strftime(since, '%A, %d-%b-%y %H:%M:%S GMT') WHEN '5' THEN strftime(since, '%a %b ') || lpad(day(since)::VARCHAR, 2, ' ') || strftime(since, ' %H:%M:%S %Y') ELSE strftime(since, '%a, %d %b %Y %H:%M:%S GMT') END FROM v),
+f AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'tag': tag, 'since': since, 'said': said} END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM r),
+s AS (SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN CASE WHEN tag IS NOT NULL THEN found.tag = replace(tag, 'W/', '') ELSE found.since <= since END THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM f WHERE kind = 'revisit')
 SELECT record_id, canonical_url, CASE WHEN status = 'resolved' THEN found.id END AS response_id, status,
-       CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || stamp || chr(10) || 'etag: W/"' || tag || '"' || chr(10) || 'last-modified: ' || found.stamp END AS headers FROM s"""
+       CASE WHEN status = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') || chr(10) || 'etag: ' || coalesce(tag, found.tag) || chr(10) || 'last-modified: ' || coalesce(said, found.said) END AS headers FROM s"""
 
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),

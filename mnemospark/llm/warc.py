@@ -18,7 +18,9 @@ Record columns: record_id, url, ts, kind ('response' or 'revisit'), headers
 never resolved; a revisit and a response of one time: the response with the
 smaller record_id counts as earlier; no earlier response gives status
 'no_response', disagreement 'validator_mismatch'; repeated rows are resolved
-each; bodies are not touched.
+each; bodies are not touched; a date that is none of the three HTTP forms nor
+``yyyy-MM-dd HH:mm:ss`` counts as absent; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +47,21 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-def _http_time(header: Column) -> Column:
-    return F.try_to_timestamp(header, F.lit("yyyy-MM-dd HH:mm:ss"))
+def http_time(header: Column, seen: Column) -> Column:
+    """The time of an HTTP date: IMF-fixdate, RFC 850 or asctime form (RFC 9110 5.6.7).
+
+    A two-digit year is the latest one that is at most 50 years after ``seen``.
+    """
+    h = F.btrim(header)
+    clock = "([0-9]{2}:[0-9]{2}:[0-9]{2})"
+    imf = F.regexp_replace(h, f"^[A-Za-z]+, ([0-9]{{2}}) ([A-Za-z]{{3}}) ([0-9]{{4}}) {clock} GMT$", "$3-$2-$1 $4")
+    asc = F.regexp_replace(imf, f"^[A-Za-z]{{3}} ([A-Za-z]{{3}}) +([0-9]{{1,2}}) {clock} ([0-9]{{4}})$", "$4-$1-$2 $3")
+    old = f"^[A-Za-z]+, ([0-9]{{2}})-([A-Za-z]{{3}})-([0-9]{{2}}) {clock} GMT$"
+    latest = F.year(seen) + 50
+    year = latest - F.pmod(latest - F.regexp_extract(h, old, 3).try_cast("int"), F.lit(100))
+    short = F.concat(year.cast("string"), F.regexp_replace(h, old, "-$2-$1 $4"))
+    named = F.try_to_timestamp(F.concat(F.when(h.rlike(old), short).otherwise(asc), F.lit(" +00:00")), F.lit("yyyy-MMM-d HH:mm:ss XXX"))
+    return F.coalesce(named, F.try_to_timestamp(F.concat(h, F.lit(" +00:00")), F.lit("yyyy-MM-dd HH:mm:ss XXX")))
 
 
 def _plain(etag: Column) -> Column:
@@ -77,7 +92,7 @@ def resolve(records: DataFrame, ranges: int | None = None) -> DataFrame:
     filled = filled.join(carried, ["part", "canonical_url"], "left").withColumn("found", F.when(usable, F.coalesce("near", "carry")))
     ours, theirs = F.col("headers"), F.col("found.headers")
     tag, old_tag = F.get(F.array(ours["etag"]), F.lit(0)), theirs["etag"]
-    by_time = _http_time(theirs["last-modified"]) <= _http_time(ours["last-modified"])
+    by_time = http_time(theirs["last-modified"], F.col("found.ts")) <= http_time(ours["last-modified"], F.col("ts"))
     agrees = F.when(tag.isNotNull() & old_tag.isNotNull(), _plain(tag) == _plain(old_tag)).otherwise(F.coalesce(by_time, F.lit(False)))
     status = F.when(F.col("found").isNull(), "no_response").when(agrees, "resolved").otherwise("validator_mismatch")
     permitted = F.map_filter(F.coalesce(ours, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*UPDATABLE) & v.isNotNull())
@@ -101,22 +116,27 @@ def page_records(pages: DataFrame) -> DataFrame:
     server's entity tag is that of the body, or - where the page's MD5 starts
     with 0 or 1 - of a body that has changed since. Where it starts with 2, the
     revisit comes before the page, so it has no response unless another page
-    with this URL gave one.
+    with this URL gave one. Where it starts with 3 to 6 the server sends no tag
+    but a Last-Modified: the page's time in one of the three HTTP forms (3, 4,
+    5), or a day before it (6).
     """
     digest = F.md5(F.coalesce("html", F.lit("")))
     lead = F.substring(digest, 1, 1)
     turn = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60)
-    stamp = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     base = pages.select("page_id", "url", digest.alias("d"), lead.alias("lead"), turn.alias("t"))
     quoted = F.concat(F.lit('"'), F.col("d"), F.lit('"'))
     response = base.select(
         (F.col("page_id") * 2).alias("record_id"), "url", F.col("t").alias("ts"), F.lit("response").alias("kind"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), quoted, F.lit("last-modified"), stamp("t"), F.lit("date"), stamp("t")).alias("headers"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), quoted, F.lit("last-modified"), _imf(F.col("t")), F.lit("date"), _imf(F.col("t"))).alias("headers"),
     )
     again = F.when(F.col("lead") == "2", F.col("t") - F.expr("INTERVAL 30 SECONDS")).otherwise(F.col("t") + F.expr("INTERVAL 90 SECONDS"))
-    tag = F.when(F.col("lead").isin("0", "1"), F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), quoted))
-    revisit = base.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", again.alias("ts"), F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("etag"), tag, F.lit("date"), stamp(again), F.lit("server"), F.lit("edge")).alias("headers"),
-    )
+    tag = F.when(F.col("lead").isin("0", "1"), F.lit('"changed"')).when(~F.col("lead").between("3", "6"), F.concat(F.lit("W/"), quoted))
+    asctime = F.concat(F.date_format("t", "EEE MMM "), F.lpad(F.dayofmonth("t").cast("string"), 2, " "), F.date_format("t", " HH:mm:ss yyyy"))
+    since = F.when(F.col("lead") == "3", _imf(F.col("t"))).when(F.col("lead") == "4", F.date_format("t", "EEEE, dd-MMM-yy HH:mm:ss 'GMT'")).when(F.col("lead") == "5", asctime).when(F.col("lead") == "6", _imf(F.col("t") - F.expr("INTERVAL 1 DAY")))
+    given = F.create_map(F.lit("etag"), tag, F.lit("date"), _imf(again), F.lit("server"), F.lit("edge"), F.lit("last-modified"), since)
+    revisit = base.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", again.alias("ts"), F.lit("revisit").alias("kind"), F.map_filter(given, lambda k, v: v.isNotNull()).alias("headers"))
     return response.unionByName(revisit)
+
+
+def _imf(t: Column) -> Column:
+    return F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
