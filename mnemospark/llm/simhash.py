@@ -5,7 +5,8 @@ Equal fingerprints are one row from then on. A table holds each distinct
 fingerprint's Hamming distances to ``PIVOTS`` reference fingerprints; a pair
 whose distances to any reference differ by more than the bound cannot be
 within the bound (triangle inequality) and is discarded before the exact
-distance is taken.
+distance is taken. Every candidate pair, however it was found, passes the
+table first and is then verified.
 
 Distances to references do not form a join key (a random pair passes one
 coordinate with probability 0.57), so pairs are brought together by the
@@ -15,7 +16,8 @@ blocks. Inside one group of agreeing blocks pairs are not all formed: members
 are first tied to two references of the group itself, and only pairs still in
 different components are compared. Groups above ``group_most`` members do not
 form pairs at all: each member emits every fingerprint within half the bound,
-and equal ones meet (also exact, and linear in the group).
+and equal ones meet, each with the least that has it (also exact, and linear in
+the group; two that meet there are at most the bound apart).
 
 Defined cases: null, empty or blank text has fingerprint zero and links like
 any other; repeated rows are returned each; null ids never name a component
@@ -32,11 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm import nativetext as nt
 from mnemospark.llm.bytewords import _splitmix, bounded_batches, tidy
 from mnemospark.operators.components import connected_components
 from mnemospark.scratch import materialize
 
-PIVOTS = 8
+PIVOTS = 16
 _BLOCK_BYTES = 4 << 20
 
 
@@ -107,22 +110,31 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _pivot_table(fps: DataFrame) -> DataFrame:
-    """fp, near: the distances to all references, a byte each."""
-    near = F.lit(0).cast("long")
-    for i, p in enumerate(pivots()):
-        near = near.bitwiseOR(F.shiftleft(_distance(F.col("fp"), F.lit(p)).cast("long"), 8 * i))
-    return fps.select("fp", near.alias("near"))
+def _coordinates(fp: Column) -> Column:
+    """The distances to all references, a byte each, eight to a number."""
+    words = []
+    for lo in range(0, PIVOTS, 8):
+        word = F.lit(0).cast("long")
+        for i, p in enumerate(pivots()[lo : lo + 8]):
+            word = word.bitwiseOR(F.shiftleft(_distance(fp, F.lit(p)).cast("long"), 8 * i))
+        words.append(word)
+    return F.struct(*[w.alias(f"p{i}") for i, w in enumerate(words)])
 
 
-def _pivots_allow(a: str, b: str, bound: int) -> Column:
-    byte = lambda c, i: F.shiftrightunsigned(F.col(c), 8 * i).bitwiseAND(255)
+def _allowed(a: Column, b: Column, bound: int) -> Column:
+    """Whether no coordinate of two rows of the table differs by more than the bound."""
+    byte = lambda c, i: F.shiftrightunsigned(c[f"p{i // 8}"], 8 * (i % 8)).bitwiseAND(255)
     keep = F.lit(True)
     for i in range(PIVOTS):
         keep &= F.abs(byte(a, i) - byte(b, i)) <= bound
     return keep
 
 
+def _verified(pairs: DataFrame, bound: int) -> DataFrame:
+    """(a, b, near_a, near_b) that pass the table and then the exact distance: a, b."""
+    return pairs.where(_allowed(F.col("near_a"), F.col("near_b"), bound)).where(_distance(F.col("a"), F.col("b")) <= bound).select("a", "b")
+
+
 def _block_masks(blocks: int, bound: int) -> list[int]:
     edge = [64 * i // blocks for i in range(blocks + 1)]
     return [_signed(sum((1 << edge[i + 1]) - (1 << edge[i]) for i in chosen)) for chosen in combinations(range(blocks), blocks - bound)]
@@ -149,25 +161,27 @@ def link_fingerprints(fps: DataFrame, bound: int = 4, blocks: int = 7, group_mos
     if bound % 2 or blocks <= bound:
         raise ValueError("bound must be even and below the number of blocks")
     masks = _block_masks(blocks, bound)
-    table = _pivot_table(fps)
+    table = fps.select("fp", _coordinates(F.col("fp")).alias("near"))
     which = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits")
     keyed = table.select("fp", "near", which)
-    groups = keyed.groupBy("choice", "bits").agg(F.count("*").alias("members"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("members > 1")
+    row = F.struct("fp", "near")
+    groups = keyed.groupBy("choice", "bits").agg(F.count("*").alias("members"), F.min(row).alias("low"), F.max(row).alias("high")).where("members > 1")
     shared = materialize(keyed.join(groups, ["choice", "bits"]), "shared")
-    stars = shared.select("fp", F.explode(F.array("low", "high")).alias("to")).where(F.col("fp") != F.col("to")).where(_distance(F.col("fp"), F.col("to")) <= bound)
-    first = connected_components(stars.select("fp", "to"))
-    labelled = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    stars = shared.select(F.col("fp").alias("a"), F.col("near").alias("near_a"), F.explode(F.array("low", "high")).alias("to")).select("a", "near_a", F.col("to.fp").alias("b"), F.col("to.near").alias("near_b"))
+    first = connected_components(_verified(stars.where("a <> b"), bound))
+    labelled = shared.drop("low", "high").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     several = labelled.groupBy("choice", "bits").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("choice", "bits")
     open_ = materialize(labelled.join(several, ["choice", "bits"], "left_semi").select("choice", "bits", "fp", "near", "component", "members"), "open")
     small, large = open_.where(F.col("members") <= group_most), open_.where(F.col("members") > group_most)
-    left = small.select("choice", "bits", "fp", "near", "component")
-    right = left.select("choice", "bits", *[F.col(c).alias(f"{c}2") for c in ("fp", "near", "component")])
-    pairs = left.join(right, ["choice", "bits"]).where((F.col("component") < F.col("component2")) & _pivots_allow("near", "near2", bound) & (_distance(F.col("fp"), F.col("fp2")) <= bound))
-    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b")))
+    left = small.select("choice", "bits", F.col("fp").alias("a"), F.col("near").alias("near_a"), F.col("component").alias("of_a"))
+    right = small.select("choice", "bits", F.col("fp").alias("b"), F.col("near").alias("near_b"), F.col("component").alias("of_b"))
+    pairs = _verified(left.join(right, ["choice", "bits"]).where("of_a < of_b"), bound)
+    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs)
     if large.take(1):
         variants = large.select("fp").distinct().mapInArrow(tidy(_half_variants(bound)), "fp long, key long")
         least = variants.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").drop("top")
-        edges = edges.unionByName(variants.join(least, "key").select(F.col("fp").alias("a"), "b"))
+        met = variants.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
+        edges = edges.unionByName(_verified(met.select("a", "b", _coordinates(F.col("a")).alias("near_a"), _coordinates(F.col("b")).alias("near_b")), bound))
     return connected_components(edges)
 
 
@@ -180,3 +194,17 @@ def near_duplicates(docs: DataFrame, size: int = 4, bound: int = 4, blocks: int
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = 4, bound: int = 4, blocks: int = 7) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each group of near-duplicates
+    is left: the one with the least (id, row key); a null id comes last, and rows
+    equal in id and text count once."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), nt.row_key().alias("row"))
+    place = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
+    marked = materialize(fingerprints(docs.select(nt.row_key().alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "row"), "simhash")
+    linked = link_fingerprints(marked.select("fp").distinct(), bound, blocks).toDF("fp", "component")
+    named = marked.join(linked, "fp", "left").select("row", F.coalesce("component", "fp").alias("root"))
+    first = whole.select("row", place.alias("place")).join(named.distinct(), "row").groupBy("root").agg(F.min("place").alias("first"))
+    kept = whole.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

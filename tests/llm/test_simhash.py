@@ -82,7 +82,30 @@ def test_pivots_never_discard_a_link(spark):
     b = a ^ (np.int64(1) << rng.integers(0, 62, 300)) ^ (np.int64(1) << rng.integers(0, 62, 300))
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "fp long, other long")
-    left = simhash._pivot_table(df.select("fp")).join(df, "fp")
-    right = simhash._pivot_table(df.select(F.col("other").alias("fp"))).withColumnsRenamed({"fp": "other", "near": "near2"})
-    assert left.join(right, "other").where(~simhash._pivots_allow("near", "near2", 4)).count() == 0
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
+    both = df.select("a", "b", simhash._coordinates(F.col("a")).alias("near_a"), simhash._coordinates(F.col("b")).alias("near_b"))
+    assert simhash._verified(both, 4).count() == 300 == both.where(simhash._allowed(F.col("near_a"), F.col("near_b"), 4)).count()
+    first = both.first()
+    packed = [first.near_a[i // 8] >> 8 * (i % 8) & 255 for i in range(simhash.PIVOTS)]
+    assert packed == [((first.a ^ p) & (1 << 64) - 1).bit_count() for p in simhash.pivots()]
+
+
+def test_pivots_discard_most_candidates(spark):
+    """Pairs that share three of seven blocks and nothing else: the candidates of unrelated texts."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(-(1 << 62), 1 << 62, 4000)
+    b = (a & np.int64(simhash._block_masks(7, 4)[0])) | (rng.integers(-(1 << 62), 1 << 62, 4000) & ~np.int64(simhash._block_masks(7, 4)[0]))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
+    left = df.where(simhash._allowed(simhash._coordinates(F.col("a")), simhash._coordinates(F.col("b")), 4)).count()
+    assert left < 0.05 * 4000
+
+
+def test_representatives(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(9, base), (3, base + " "), (3, "quite another text under the same id"), (7, "something else entirely different here"), (None, base), (None, "no id and nothing like it"), (7, "something else entirely different here")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, row string, fp int")
+    got = sorted((r.doc_id or -1, r.text) for r in simhash.representatives(df).collect())
+    assert got == sorted([(3, base + " "), (3, rows[2][1]), (7, rows[3][1]), (-1, rows[5][1])])
+    assert simhash.representatives(df).columns == df.columns and simhash.representatives(df.limit(0)).count() == 0
