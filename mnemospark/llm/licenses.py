@@ -5,12 +5,13 @@ ends (white space after ``.``, ``!`` or ``?``, and blank lines) and at soft
 ones (line ends, ``;`` and ``:`` within a line, web addresses). Consecutive
 pieces with only soft ends between them that together spell a known sentence
 are a hit, the longest that starts at a place, so wrapped and reflowed texts
-are read alike; comment leaders at line starts fall away. Known sentences map
+are read alike; comment leaders at line starts fall away, and the holder's name
+is put aside where a sentence has one. Known sentences map
 to identifiers; the text's sequence of identifiers is then matched against
 ordered rules: an earlier rule consumes its identifiers before a later one
 sees them. What no rule consumes is reported as loose.
 
-The SQL oracle knows line and sentence ends only: it agrees where every known
+The SQL oracle knows line and sentence ends only, and no holders: it agrees where every known
 sentence stands on a line, or part of a line cut at a sentence end, of its own.
 
 Only texts that hold one of ``TRIGGERS`` are cut: every known sentence holds
@@ -60,18 +61,56 @@ SENTENCES: list[tuple[str, str]] = [
     ("MplRef", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("Reserved", "all rights reserved"),
+    ("ApacheTitle", "apache license version 2 0 january 2004"),
+    ("MitLiable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("BsdAsIs", "this software is provided by HOLDER as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("IscGrant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ZeroGrant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("IscAsIs", "the software is provided as is and HOLDER disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("ZlibAsIs", "this software is provided as is without any express or implied warranty"),
+    ("ZlibGrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("BoostTitle", "boost software license version 1 0 august 17th 2003"),
+    ("BoostRef", "distributed under the boost software license version 1 0"),
+    ("BoostGrant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("Gpl3Title", "gnu general public license version 3 29 june 2007"),
+    ("Gpl2Title", "gnu general public license version 2 june 1991"),
+    ("Lgpl3Title", "gnu lesser general public license version 3 29 june 2007"),
+    ("Lgpl21Title", "gnu lesser general public license version 2 1 february 1999"),
+    ("Agpl3Title", "gnu affero general public license version 3 19 november 2007"),
+    ("Gpl2Free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("Gpl2Only", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("Lgpl21Free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("Lgpl3Free", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("Lgpl3Free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("LgplHope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("AgplFree", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("MplTitle", "mozilla public license version 2 0"),
+    ("Epl2Title", "eclipse public license v 2 0"),
+    ("Epl1Title", "eclipse public license v 1 0"),
+    ("Epl2Ref", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("Epl2Ref", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at"),
+    ("Epl1Ref", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at"),
+    ("CcBy", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("CcBySa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("CcByNc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("OflRef", "this font software is licensed under the sil open font license version 1 1"),
+    ("ArtisticTitle", "the artistic license 2 0"),
 ]
 #: Licence, the identifiers that stand for it in this order; tried from the top.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("ApacheHead", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheLimits")),
     ("Apache-2.0", ("ApacheHead", "ApacheComply")),
     ("Apache-2.0", ("ApacheRef",)),
+    ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiable")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")),
     ("MIT", ("MitGrant", "MitNotice")),
     ("MIT", ("MitRef",)),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNames", "BsdAsIs")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNames")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("BSD-1-Clause", ("BsdGrant", "BsdSource")),
+    ("ISC", ("IscGrant", "IscAsIs")),
     ("ISC", ("IscGrant", "MitAsIs")),
     ("ISC", ("IscGrant",)),
     ("GPL-3.0-or-later", ("GplFree", "GplHope")),
@@ -85,7 +124,54 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MPL-2.0", ("MplRef",)),
     ("Unlicense", ("Unlicense",)),
     ("All-Rights-Reserved", ("Reserved",)),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("0BSD", ("ZeroGrant", "IscAsIs")),
+    ("0BSD", ("ZeroGrant",)),
+    ("Zlib", ("ZlibAsIs", "ZlibGrant")),
+    ("Zlib", ("ZlibGrant",)),
+    ("BSL-1.0", ("BoostTitle", "BoostGrant")),
+    ("BSL-1.0", ("BoostTitle",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("BSL-1.0", ("BoostRef",)),
+    ("GPL-3.0", ("Gpl3Title",)),
+    ("GPL-2.0", ("Gpl2Title",)),
+    ("LGPL-3.0", ("Lgpl3Title",)),
+    ("LGPL-2.1", ("Lgpl21Title",)),
+    ("AGPL-3.0", ("Agpl3Title",)),
+    ("GPL-2.0-or-later", ("Gpl2Free", "GplHope")),
+    ("GPL-2.0-or-later", ("Gpl2Free",)),
+    ("GPL-2.0-only", ("Gpl2Only", "GplHope")),
+    ("GPL-2.0-only", ("Gpl2Only",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Free", "LgplHope")),
+    ("LGPL-2.1-or-later", ("Lgpl21Free",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Free", "GplHope")),
+    ("LGPL-3.0-or-later", ("Lgpl3Free", "LgplHope")),
+    ("LGPL-3.0-or-later", ("Lgpl3Free",)),
+    ("AGPL-3.0-or-later", ("AgplFree", "GplHope")),
+    ("AGPL-3.0-or-later", ("AgplFree",)),
+    ("MPL-2.0", ("MplTitle",)),
+    ("EPL-2.0", ("Epl2Title",)),
+    ("EPL-1.0", ("Epl1Title",)),
+    ("EPL-2.0", ("Epl2Ref",)),
+    ("EPL-1.0", ("Epl1Ref",)),
+    ("OFL-1.1", ("OflRef",)),
+    ("Artistic-2.0", ("ArtisticTitle",)),
 ]
+def normalise(sentence: str) -> str:
+    """The form in which sentences are looked up (for one sentence, in Python)."""
+    return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip(" ")
+
+
+def _spdx() -> None:
+    """A short-form tag for every licence of the rules: its name after the tag is a sentence of its own."""
+    for name in dict.fromkeys(licence for licence, _ in RULES if licence != "All-Rights-Reserved"):
+        forms = {normalise(name), normalise(name + "-only") if name.startswith(("GPL", "LGPL", "AGPL")) and not name.endswith(("only", "later")) else normalise(name)}
+        known = {sentence for _, sentence in SENTENCES}
+        SENTENCES.extend((f"Spdx{name}", said) for form in sorted(forms) if (said := f"spdx license identifier {form}") not in known)
+        RULES.append((name, (f"Spdx{name}",)))
+
+
+_spdx()
 TRIGGERS = ("licen", "permi", "redistribut", "copyright", "warrant", "public domain", "rights reserved")
 
 if missed := [s for _, s in SENTENCES if not any(t in s for t in TRIGGERS)]:
@@ -93,11 +179,13 @@ if missed := [s for _, s in SENTENCES if not any(t in s for t in TRIGGERS)]:
 _TRIGGER = "licen|permi|redistribut|copyright|warrant|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved"
 
 
-def normalise(sentence: str) -> str:
-    """The form in which sentences are looked up (for one sentence, in Python)."""
-    return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip(" ")
-
 
+#: Where the holder's name stands in a sentence, it is put aside before the look-up.
+HOLDERS = (
+    ("neither the name of (?:[a-z0-9]+[ \\n]){1,20}?nor the names of", "neither the name of the copyright holder nor the names of"),
+    ("this software is provided by (?:[a-z0-9]+[ \\n]){1,20}?as is and any", "this software is provided by HOLDER as is and any"),
+    ("provided as is and (?:[a-z0-9]+[ \\n]){1,20}?disclaims all", "provided as is and HOLDER disclaims all"),
+)
 #: A known sentence over one or more pieces, the longest first.
 _KNOWN = "(?m)^(?:" + "|".join(s.replace(" ", "[ \\n]") for _, s in sorted(SENTENCES, key=lambda x: -len(x[1]))) + ")$"
 
@@ -105,11 +193,16 @@ _KNOWN = "(?m)^(?:" + "|".join(s.replace(" ", "[ \\n]") for _, s in sorted(SENTE
 def _sequence(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order: ``<One><Two>``."""
     cut = F.regexp_replace(text, "(?m)^[\\x20\\x09]*@?(?i:dnl|rem)(?=[\\x20\\x09\\r\\n]|$)", "")
+    cut = F.regexp_replace(cut, "\\b(?i:(v|inc|ltd|corp|co))[.]\\s+(?=[a-z0-9])", "$1 ")
     cut = F.regexp_replace(cut, "([.!?])[\\x20\\x09-\\x0D]+", "$1\n\n")
+    cut = F.regexp_replace(cut, "(?<=\\S)\\x20+(?=(?:Permission is hereby|Permission to use|Permission is granted|Redistribution and use|All rights reserved)\\b)", "\n")
     cut = F.regexp_replace(cut, "(?<=[^\\s;:])[;:](?=[\\x20\\x09]+[^\\s])", "\n")
     cut = F.regexp_replace(cut, "\\s*<?(?i:https?)://[^\\s]+\\s*", "\n\n")
     plain = F.regexp_replace(F.regexp_replace(F.lower(cut), "[^a-z0-9\n]+", " "), " ?\n ?", "\n")
-    hits = F.regexp_extract_all(F.trim(plain), F.lit(_KNOWN), F.lit(0))
+    plain = F.trim(plain)
+    for said, kept in HOLDERS:
+        plain = F.regexp_replace(plain, said, kept)
+    hits = F.regexp_extract_all(plain, F.lit(_KNOWN), F.lit(0))
     names = F.create_map(*[F.lit(x) for name, s in SENTENCES for x in (s, f"<{name}>")])
     return F.concat_ws("", F.transform(hits, lambda s: F.element_at(names, F.translate(s, "\n", " "))))
 

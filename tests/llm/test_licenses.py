@@ -108,3 +108,97 @@ def test_wrapped_and_reflowed_texts(spark):
     want += [(len(texts) - 3, "Apache-2.0", ""), (len(texts) - 2, "MIT", ""), (len(texts) - 1, "", "")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((r.doc_id, r.licences, r.loose) for r in licenses.scan(df).collect()) == want
+
+
+MIT_FILE = f"""MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+{AS_IS} IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL {who} BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+BSD3_FILE = BSD.replace("the copyright holder nor", "Example Widgets, Inc. nor") + "\n\n" + BSD_AS_IS.format(who="THE COPYRIGHT HOLDERS AND CONTRIBUTORS")
+BSD2_FILE = BSD.partition("\n\n3. ")[0] + "\n\n" + BSD_AS_IS.format(who="JANE DOE AND FRIENDS")
+APACHE_FILE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions."""
+GPL3_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+ZLIB = """Copyright (c) 2020 Jane Doe
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented."""
+ISC_FILE = (
+    ISC
+    + """
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+)
+
+
+def test_common_licence_files(spark):
+    files = {
+        "MIT": MIT_FILE,
+        "BSD-3-Clause": BSD3_FILE,
+        "BSD-2-Clause": BSD2_FILE,
+        "Apache-2.0": APACHE_FILE,
+        "GPL-3.0": GPL3_FILE,
+        "MPL-2.0": MPL,
+        "Zlib": ZLIB,
+        "ISC": ISC_FILE,
+        "GPL-2.0-or-later": GPL.replace("version 3", "version 2"),
+        "LGPL-2.1-or-later": GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+        "AGPL-3.0-or-later": GPL.replace("GNU General Public License as", "GNU Affero General Public License as"),
+        "0BSD": ISC_FILE.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""),
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+        "LGPL-3.0-or-later": "// SPDX-License-Identifier: LGPL-3.0-or-later\n\nint main() {}",
+    }
+    texts, want = [], []
+    for name, t in files.items():
+        for form in (t, t.replace("\n", "\r\n"), "\n".join("# " + x for x in t.split("\n")), "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */", "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))):
+            texts.append(form)
+            want.append((len(texts) - 1, name, ""))
+    texts.append(" ".join(MIT_FILE.split()))  # the whole file on one line
+    want.append((len(texts) - 1, "MIT", ""))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.licences, r.loose) for r in licenses.scan(df).collect()) == want
