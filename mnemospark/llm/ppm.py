@@ -12,10 +12,14 @@ How it is distributed: documents are dealt by hash to chunks of about
 ``chunk_bytes`` of text. Each chunk asks for the distinct words and distinct
 (max_order+1)-grams it holds, together with its own training counts; these
 requests meet by word, and by the last two bytes of the gram's context, so one
-shuffle both sums the corpus counts and evaluates every requested gram. The
-answers go back to the chunks, which add them up per document. Nothing of
-corpus size is broadcast or collected; only the counts of byte pairs (at most
-257 x 257) reach the driver, and the trie grows with the corpus.
+shuffle both sums the corpus counts and evaluates every requested gram. A
+context with more than 1 / ``SPLIT`` of all requests is split by the byte
+before it, and again while it must be (down to whole contexts); the counts of
+the shorter orders of a split context then come from tables. The answers go
+back to the chunks, each a partition of its own, which add them up per
+document. Nothing of corpus size is broadcast or collected: the driver sees the
+counts of byte pairs (at most 257 x 257) and of split contexts (at most
+``SPLIT`` of each order, 257 symbols each); the trie grows with the corpus.
 
 Defined cases: null text = empty text (it costs its end symbol); no training
 document = uniform over 257 symbols; repeated rows are scored each; a null id
@@ -37,6 +41,12 @@ SYMBOLS = 257
 BITS = 9
 PAIR = (1 << (2 * BITS)) - 1
 WORD, GRAM, TOKENS, DOCS = 0, 1, 2, 3
+SPLIT = 4096
+
+
+def _tail(symbols: int) -> int:
+    """The bits of the last so many symbols."""
+    return (1 << (BITS * symbols)) - 1
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
@@ -114,44 +124,71 @@ def _requests(order: int):
     return run
 
 
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys (``keys`` ascend), 0 for absent ones."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+class SplitContexts:
+    """Counts of one order, of the contexts that were split: by gram, and summed by context."""
+
+    def __init__(self, contexts: list[int], keys: np.ndarray, n: np.ndarray, below: np.ndarray):
+        order = np.argsort(keys)
+        self.contexts = np.sort(np.array(contexts, np.int64))
+        self.keys, self.n = keys[order], n[order]
+        self.of, at = np.unique(self.keys >> BITS, return_inverse=True)
+        self.t, self.q, self.e = (np.bincount(at, weights=w, minlength=len(self.of)) for w in (self.n, np.ones(len(at)), below[order]))
+
+    def stats(self, context: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(_find(self.of, v, context) for v in (self.t, self.q, self.e))
+
+
 class LowOrders:
-    """Counts of orders 1 and 0, in full: at most 257 x 257 numbers."""
+    """Counts of orders 1 and 0, in full (at most 257 x 257 numbers), and those of the contexts that were split."""
 
-    def __init__(self, pairs: np.ndarray):
-        self.n1 = pairs
+    def __init__(self, pairs: np.ndarray, split: dict[int, SplitContexts] | None = None):
+        self.n1, self.split = pairs, split or {}
         self.t1, self.q1 = pairs.sum(1), (pairs > 0).sum(1)
         self.n0 = pairs.sum(0)
         self.t0, self.q0 = int(self.n0.sum()), int((self.n0 > 0).sum())
         self.e1 = ((pairs > 0) * self.n0[None, :]).sum(1)
 
 
-def log10_probability(gram: np.ndarray, count: np.ndarray, order: int, low: LowOrders) -> np.ndarray:
+def log10_probability(gram: np.ndarray, count: np.ndarray, order: int, low: LowOrders, depth: int = 2) -> np.ndarray:
     """log10 probability of each distinct gram's last symbol after its context.
 
     ``gram`` holds every distinct gram, wanted or counted, of the contexts
-    that end in the same two symbols; ``count`` their corpus counts.
+    that end in the same ``depth`` symbols; ``count`` their corpus counts.
+    Orders below ``depth`` come from ``low``.
     """
     done = np.zeros(len(gram), dtype=bool)
     out = np.zeros(len(gram))
-    symbol, last = gram & ((1 << BITS) - 1), (gram >> BITS) & ((1 << BITS) - 1)
+    symbol, last = gram & _tail(1), (gram >> BITS) & _tail(1)
     taken_t, taken_q = np.zeros(len(gram)), np.zeros(len(gram))  # excluded at the order that comes
     for k in range(order, -1, -1):
-        if k >= 2:
-            key = gram & np.int64((1 << (BITS * (k + 1))) - 1)
-            keys, inv = np.unique(key, return_inverse=True)
+        if k >= depth:
+            keys, inv = np.unique(gram & np.int64(_tail(k + 1)), return_inverse=True)
             n_key = np.bincount(inv, weights=count, minlength=len(keys))
             ctx, ctx_inv = np.unique(keys >> BITS, return_inverse=True)
             seen = n_key > 0
             t_ctx = np.bincount(ctx_inv, weights=n_key, minlength=len(ctx))
             q_ctx = np.bincount(ctx_inv, weights=seen, minlength=len(ctx))
-            if k > 2:
-                low_key = keys & np.int64((1 << (BITS * k)) - 1)
-                low_keys, low_inv = np.unique(gram & np.int64((1 << (BITS * k)) - 1), return_inverse=True)
+            low_key = keys & np.int64(_tail(k))
+            if k > depth:
+                low_keys, low_inv = np.unique(gram & np.int64(_tail(k)), return_inverse=True)
                 below = np.bincount(low_inv, weights=count, minlength=len(low_keys))[np.searchsorted(low_keys, low_key)]
+            elif k > 2:
+                below = _find(low.split[k - 1].keys, low.split[k - 1].n, low_key)
             else:
-                below = low.n1[(keys >> BITS) & ((1 << BITS) - 1), keys & ((1 << BITS) - 1)]
+                below = low.n1[low_key >> BITS, low_key & _tail(1)]
             e_ctx = np.bincount(ctx_inv, weights=np.where(seen, below, 0), minlength=len(ctx))
             n, t, q, e = n_key[inv], t_ctx[ctx_inv][inv], q_ctx[ctx_inv][inv], e_ctx[ctx_inv][inv]
+        elif k >= 2:
+            table = low.split[k]
+            n, (t, q, e) = _find(table.keys, table.n, gram & np.int64(_tail(k + 1))), table.stats((gram >> BITS) & np.int64(_tail(k)))
         elif k == 1:
             n, t, q, e = low.n1[last, symbol], low.t1[last], low.q1[last], low.e1[last]
         else:
@@ -169,7 +206,44 @@ def log10_probability(gram: np.ndarray, count: np.ndarray, order: int, low: LowO
     return out
 
 
-def _answers(order: int, pairs: np.ndarray):
+def _depths(gram: np.ndarray, low: LowOrders) -> np.ndarray:
+    """The length of the context by which each gram was dealt."""
+    depth = np.full(len(gram), 2)
+    for d, table in sorted(low.split.items()):
+        deeper = (depth == d) & np.isin((gram >> BITS) & np.int64(_tail(d)), table.contexts)
+        depth[deeper] = d + 1
+    return depth
+
+
+def _dealt_by(split: dict[int, SplitContexts]) -> Column:
+    """The context by which a gram is dealt: two symbols, or more where it was split."""
+    context = lambda d: F.shiftright("key", BITS).bitwiseAND(F.lit(_tail(d)).cast("long"))
+    deal = context(max(split, default=1) + 1)
+    for d in sorted(split, reverse=True):
+        deal = F.when(context(d).isin(split[d].contexts.tolist()), deal).otherwise(context(d))
+    return deal
+
+
+def _split_contexts(grams: DataFrame, order: int, pairs: np.ndarray) -> dict[int, SplitContexts]:
+    """For each order from 2: the contexts with more than 1 / SPLIT of the rows, and their counts."""
+    found: dict[int, SplitContexts] = {}
+    most = grams.count() / SPLIT
+    for d in range(2, order):
+        context = F.shiftright("key", BITS).bitwiseAND(F.lit(_tail(d)).cast("long"))
+        inner = F.shiftright("key", BITS).bitwiseAND(F.lit(_tail(d - 1)).cast("long"))
+        rows = grams.where(inner.isin(found[d - 1].contexts.tolist())) if d > 2 else grams
+        hot = [r[0] for r in rows.groupBy(context.alias("c")).count().where(F.col("count") > most).select("c").collect()]  # fewer than SPLIT
+        if not hot:
+            break
+        counts = rows.where(context.isin(hot)).groupBy(F.col("key").bitwiseAND(F.lit(_tail(d + 1)).cast("long")).alias("key")).agg(F.sum("n").alias("n")).where("n > 0").toArrow()  # 257 for each at most
+        keys, n = counts.column("key").to_numpy(), counts.column("n").to_numpy().astype(float)
+        low_key = keys & np.int64(_tail(d))
+        below = pairs[low_key >> BITS, low_key & _tail(1)] if d == 2 else _find(found[d - 1].keys, found[d - 1].n, low_key)
+        found[d] = SplitContexts(hot, keys, n, below)
+    return found
+
+
+def _answers(order: int, low: LowOrders):
     schema = pa.schema([("chunk", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64())])
 
     def run(batches):
@@ -178,14 +252,18 @@ def _answers(order: int, pairs: np.ndarray):
             return
         chunk, kind, key, n = (table.column(c).to_numpy() for c in ("chunk", "kind", "key", "n"))
         del table
-        low = LowOrders(pairs)
         for which in (WORD, GRAM):
             at = np.flatnonzero(kind == which)
             if not len(at):
                 continue
             keys, inv = np.unique(key[at], return_inverse=True)
             count = np.bincount(inv, weights=n[at], minlength=len(keys))
-            value = count if which == WORD else log10_probability(keys, count, order, low)
+            value = count
+            if which == GRAM:
+                depth, value = _depths(keys, low), np.zeros(len(keys))
+                for d in np.unique(depth):
+                    some = depth == d
+                    value[some] = log10_probability(keys[some], count[some], order, low, int(d))
             for lo in range(0, len(at), 500_000):
                 part, some = at[lo : lo + 500_000], inv[lo : lo + 500_000]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk[part]), pa.array(kind[part]), pa.array(key[part]), pa.array(value[some])], schema=schema)
@@ -195,29 +273,38 @@ def _answers(order: int, pairs: np.ndarray):
 
 
 def _scores(order: int, id_type: pa.DataType):
+    """Adds up the answers of the chunk whose documents and answers a partition holds."""
     schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64())])
 
-    def run(docs: pa.Table, model: pa.Table) -> pa.Table:
-        kind, key, value = (model.column(c).to_numpy() for c in ("kind", "key", "value"))
+    def run(batches):
+        docs, answers = [], {WORD: [], GRAM: []}
+        for batch in batches:
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            for which, parts in answers.items():
+                if len(at := np.flatnonzero(kind == which)):
+                    parts.append(tuple(batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("key", "value")))
+            if len(at := np.flatnonzero(kind == DOCS)):
+                docs.append(batch.column("doc").take(pa.array(at)))
+        if not docs:
+            return
         tables = {}
-        for which in (WORD, GRAM):
-            at = np.flatnonzero(kind == which)
-            tables[which] = (bw.Index(key[at]), value[at])
+        for which, parts in answers.items():
+            tables[which] = (bw.Index(np.concatenate([k for k, _ in parts])), np.concatenate([v for _, v in parts])) if parts else (bw.Index(np.zeros(0, np.int64)), np.zeros(0))
+        answers.clear()
         cost, known = np.log10(tables[WORD][1] + 0.1), tables[WORD][1] > 0
-        n_words, n_known, logs, score = ([] for _ in range(4))
-        for _, _, raw, offsets in bw.slices(docs.column("text")):
-            raw, rows = bw.LOWER[raw], len(offsets) - 1
-            start, end, row = bw.spans(raw, offsets)
-            at = tables[WORD][0].find(bw.word_hash(raw, start, end))
-            n_words.append(np.bincount(row, minlength=rows))
-            n_known.append(bw.per_row(known[at], row, rows))
-            logs.append(bw.per_row(cost[at], row, rows))
-            gram, first = grams(raw, offsets, order)
-            score.append(np.add.reduceat(tables[GRAM][1][tables[GRAM][0].find(gram)], first) if rows else np.zeros(0))
-        whole = [np.concatenate(x) if x else np.zeros(0) for x in (n_words, n_known, logs, score)]
-        del tables, model, kind, key, value
-        bw.give_back()
-        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2]), pa.array(whole[3])], schema=schema)
+        for part in docs:
+            n_words, n_known, logs, score = ([] for _ in range(4))
+            for _, _, raw, offsets in bw.slices(part.field("text")):
+                raw, rows = bw.LOWER[raw], len(offsets) - 1
+                start, end, row = bw.spans(raw, offsets)
+                at = tables[WORD][0].find(bw.word_hash(raw, start, end))
+                n_words.append(np.bincount(row, minlength=rows))
+                n_known.append(bw.per_row(known[at], row, rows) if len(at) else np.zeros(rows))
+                logs.append(bw.per_row(cost[at], row, rows) if len(at) else np.zeros(rows))
+                gram, first = grams(raw, offsets, order)
+                score.append(np.add.reduceat(tables[GRAM][1][tables[GRAM][0].find(gram)], first) if rows else np.zeros(0))
+            whole = [np.concatenate(x) for x in (n_words, n_known, logs, score)]
+            yield pa.RecordBatch.from_arrays([part.field("doc_id"), part.field("held_out"), pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2]), pa.array(whole[3])], schema=schema)
 
     return run
 
@@ -235,19 +322,23 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
     cores = docs.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, -(-int(total) // chunk_bytes), min(cores, -(-int(total) // (1 << 20))))  # a small table keeps all cores busy
     given = docs.select("doc_id", "text", held_out("doc_id", modulus, remainder).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = given.repartition(chunks, "chunk").mapInArrow(bw.tidy(_requests(max_order)), "chunk int, kind tinyint, key long, n long")
+    asked = given.repartitionById(chunks, F.col("chunk")).mapInArrow(bw.tidy(_requests(max_order)), "chunk int, kind tinyint, key long, n long")
     asked = materialize(asked, "ppm")
     tokens, documents = (asked.where(F.col("kind") == k).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (TOKENS, DOCS))
     vocabulary = asked.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key").distinct().count() + (documents > 0)
     pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
     for pair, n in asked.where(F.col("kind") == GRAM).groupBy(F.col("key").bitwiseAND(PAIR).alias("pair")).agg(F.sum("n")).collect():  # at most 257 x 257 rows
         pairs[pair >> BITS, pair & ((1 << BITS) - 1)] = n
-    meet = F.when(F.col("kind") == WORD, F.col("key")).otherwise(F.shiftright("key", BITS).bitwiseAND(PAIR))
-    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(bw.tidy(_answers(max_order, pairs)), "chunk int, kind tinyint, key long, value double")
+    split = _split_contexts(asked.where(F.col("kind") == GRAM).select("key", "n"), max_order, pairs)
+    meet = F.when(F.col("kind") == WORD, F.col("key")).otherwise(_dealt_by(split))
+    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(bw.tidy(_answers(max_order, LowOrders(pairs, split))), "chunk int, kind tinyint, key long, value double")
     id_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scored = given.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_scores(max_order, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
+    doc = F.struct("doc_id", "held_out", "text")
+    both = model.select("*", F.lit(None).cast(given.select(doc.alias("d")).schema["d"].dataType).alias("doc"))
+    both = both.unionByName(given.select("chunk", F.lit(DOCS).cast("tinyint").alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), doc.alias("doc")))
+    scored = both.repartitionById(chunks, F.col("chunk")).select("kind", "key", "value", "doc").mapInArrow(bw.tidy(_scores(max_order, to_arrow_type(id_type))), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     end_cost, norm = float(np.log10(documents + 0.1)), float(np.log10(tokens + 0.1 * (vocabulary + 1)))
     return scored.select(
         "doc_id",

@@ -66,8 +66,9 @@ def _base(docs):
 DOCS = [(i, t) for i, t in enumerate(["the cat sat", "The CAT\tsat on\n the mat ", None, "", "  ", "été déjà vu", "x" * 300, "the cat sat", "zzz qqq", "a b c d e f g " * 40, "€ symbols \x0b here", "the dog"] * 3)]
 
 
-@pytest.mark.parametrize("order", [2, 3, 5, 6])
-def test_scores_equal_the_plain_trie(spark, order):
+@pytest.mark.parametrize("order,split", [(2, 4096), (3, 4096), (5, 4096), (6, 4096), (3, 6), (5, 12), (5, 40), (6, 3)])
+def test_scores_equal_the_plain_trie(spark, monkeypatch, order, split):
+    monkeypatch.setattr(ppm, "SPLIT", split)  # small: contexts are split down to different depths
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in DOCS], SCHEMA)
     got = {r.doc_id: r for r in ppm.score_documents(df, max_order=order, chunk_bytes=900).collect()}
     for (doc, _), score, base in zip(DOCS, _plain(DOCS, order), _base(DOCS)):
@@ -77,6 +78,24 @@ def test_scores_equal_the_plain_trie(spark, order):
         assert r.held_out == (not _learn(doc))
 
 
+def test_no_group_of_a_split_context_is_large(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ppm, "SPLIT", 50)
+    raw = np.frombuffer(("the cat of the house and the dog of the hall " * 30 + "".join(f"x{i}y" for i in range(300))).encode(), np.uint8)
+    gram, _ = ppm.grams(raw, np.array([0, len(raw)]), 5)
+    df = spark.createDataFrame([(int(k), 1) for k in gram], "key long, n long")
+    pairs = np.zeros((257, 257), np.int64)
+    np.add.at(pairs, ((gram >> 9) & 511, gram & 511), 1)
+    split = ppm._split_contexts(df, 5, pairs)
+    assert set(split) == {2, 3, 4}
+    groups = df.groupBy(ppm._dealt_by(split).alias("c")).agg(F.count("*").alias("rows"), F.count_distinct(F.shiftright("key", 9)).alias("contexts")).collect()
+    assert all(g.rows <= len(gram) / 50 or g.contexts == 1 for g in groups)
+    dealt = df.select("key", ppm._dealt_by(split).alias("c")).collect()
+    depth = ppm._depths(np.array([r.key for r in dealt]), ppm.LowOrders(pairs, split))
+    assert all(r.c == (r.key >> 9) & ppm._tail(int(d)) for r, d in zip(dealt, depth))
+
+
 def test_probabilities_add_up():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcde ") for _ in range(60)) for _ in range(20)]
