@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm import bytewords as bw
+from mnemospark.llm import nativetext as nt
 from mnemospark.llm.ppm import held_out
 
 BUCKETS = 1 << 14
@@ -183,19 +184,20 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, trai
     of: dict = {}
     for doc, quality in drawn:
         of.setdefault(doc, []).append(quality)
-    rows = docs.where(F.col("doc_id").isin(list(of))).select("doc_id", "text", "n_chars")
+    rows = docs.where(F.col("doc_id").isin(list(of))).select("doc_id", nt.row_key().alias("row"), "text", "n_chars")
 
     def featured(batches):
         for batch in batches:
             at = 0
             for part in _train_rows([batch]):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, part.num_rows), *part.columns], names=["doc_id", *part.schema.names])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, part.num_rows) for c in ("doc_id", "row")], *part.columns], names=["doc_id", "row", *part.schema.names])
                 at += part.num_rows
 
-    got = rows.mapInArrow(bw.tidy(featured), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>, bucket array<int>, x array<float>")
-    got = got.limit(4 * len(of)).toArrow()  # ids that many rows share are cut off at four rows each on average
-    ids = got.column("doc_id").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    got = rows.mapInArrow(bw.tidy(featured), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, stats array<double>, bucket array<int>, x array<float>")
+    # ids that many rows share are cut off, in the order of a hash of id and text, at four rows each on average
+    got = got.orderBy(F.xxhash64("doc_id", "row"), "doc_id", "row").limit(4 * len(of)).toArrow()
+    ids, keys = got.column("doc_id").to_pylist(), got.column("row").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i]))
     stats = np.array(got.column("stats").to_pylist(), dtype=float).reshape(len(ids), len(STATS))
     bucket, x = got.column("bucket").combine_chunks(), got.column("x").combine_chunks()
     which = [(i, q) for i in order for q in of[ids[i]]]

@@ -46,3 +46,46 @@ def test_features_are_normalised():
         assert stats.shape == (rows, len(fm.STATS)) and np.isfinite(stats).all()
         assert np.allclose(np.bincount(row, weights=x**2, minlength=rows), [1, 0, 0, 1, 1])
         assert stats[3, fm.STATS.index("same_lines")] == pytest.approx(2 / 3)
+
+
+def _plain_features(text, n_chars):
+    """Statistics and word features of one text, byte by byte."""
+    raw = (text or "").encode()
+    words = raw.split()
+    lines = [x for x in raw.split(b"\n") if x]
+    repeated = lambda items: sum(items.count(x) > 1 for x in items) / max(len(items), 1)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / max(len(raw), 1)
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    stats = [
+        np.log1p(len(words)), sum(map(len, words)) / max(len(words), 1), share(b"#*$%&|<>{}[]~^@\\/=+_"), share(bytes(range(65, 91))), share(b"0123456789"),
+        sum(raw.count(bytes([c])) for c in b".!?,;:") / max(len(words), 1), repeated(low), np.log1p(len(raw) / max(len(lines), 1)), repeated(lines), np.log1p(n_chars),
+    ]
+    return stats, {w: (low.count(w) / len(low)) ** 0.5 for w in low}
+
+
+def test_features_against_plain_counting():
+    import pyarrow as pa
+
+    from mnemospark.llm import bytewords as bw
+
+    texts = ["a b c A", None, "", "x\nx\ny\n", "Word, word; 12 {ok}", "\n\n", "é été\tÉté\x0bz", "no end\nno end", "w " * 300]
+    chars = np.arange(len(texts), dtype=float)
+    for rows, stats, row, bucket, x in fm.features(pa.array(texts), chars):
+        for i, t in enumerate(texts):
+            want, words = _plain_features(t, chars[i])
+            assert np.allclose(stats[i], want), (t, stats[i], want)
+            cells = {}
+            for w, v in words.items():
+                key = bw.word_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+                cells[int(np.uint64(key.view(np.uint64)) >> np.uint64(50))] = v
+            assert dict(zip(bucket[row == i].tolist(), x[row == i])) == pytest.approx(cells)
+    model = fm.FactorisationMachine(np.tile(np.arange(1.0, fm.BINS), (len(fm.STATS), 1)))
+    stats = np.array([[0.5, 1, 1.5, 6.9, 7, 99, -1, 3, 3.5, 2]])
+    assert (model.bins(stats)[0] - fm.BUCKETS - fm.BINS * np.arange(len(fm.STATS))).tolist() == [0, 1, 1, 6, 7, 7, 0, 3, 3, 2]
+
+
+def test_reruns_agree_where_many_rows_share_an_id(spark):
+    docs = spark.createDataFrame([(i % 3, f"word{i} and more of {i}", "", "", i) for i in range(60)], SCHEMA)
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 1, 0), (0, 0, 0), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    first, second = (sorted((r.doc_id, r.score) for r in fm.classify(docs.repartition(n, "text"), labels).collect()) for n in (1, 7))
+    assert first == second
