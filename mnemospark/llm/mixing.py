@@ -14,7 +14,7 @@ sorted. Source totals are broadcast below ``broadcast_sources`` sources
 (checked by a count), else joined by shuffle.
 
 Defined cases: null or empty text has size 0 and takes 0; a source without
-words has target 0; repeated rows are separate documents (rows equal in id and
+words has target 0; a null id is drawn by its text; repeated rows are separate documents (rows equal in id and
 text share the cut in either order); an empty table gives an empty mix.
 """
 
@@ -37,9 +37,9 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.1), 1.0 - 4.0 * share)
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), from 52 bits of the MD5 of the id."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
+def _uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """In (0, 1), from 52 bits of the MD5 of the id; of the text where there is no id."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.md5(text), F.lit("")))), 1, 13)
     return (F.conv(digits, 16, 10).cast("bigint") + 0.5) / float(1 << 52)
 
 
@@ -61,11 +61,12 @@ def targets(sizes: DataFrame, budget: float = 1.5, most: float = 2.0) -> DataFra
     return w.select("source", "source_size", filled.alias("target"))
 
 
-def _keyed(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+def _keyed(docs: DataFrame, seed: str, weight: Column | None, *more: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(nt.WORD)), F.lit(0)).cast("long")
-    key = -F.log(_uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
+    weight = quality_weight(F.col("text")) if weight is None else F.greatest(F.lit(0.001), F.coalesce(weight.cast("double"), F.lit(0.0)))
+    key = -F.log(_uniform(F.col("doc_id"), F.col("text"), seed)) / weight
     keyed = docs.select("doc_id", "source", size.alias("size"), key.alias("mix_key"), *more)
-    return keyed.withColumn("place", 1.0 - F.exp(-F.col("mix_key")))  # ascends with the key, in [0, 1]
+    return keyed.withColumn("place", F.col("mix_key") / (1.0 + F.col("mix_key")))  # ascends with the key, in [0, 1), and keeps large keys apart
 
 
 def _by_source(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
@@ -110,22 +111,26 @@ def _taken(rows: DataFrame, each: DataFrame, small: bool) -> DataFrame:
     return whole.unionByName(part)
 
 
-def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, seed: str = "mix", levels: int = 2, broadcast_sources: int = 100_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row."""
-    slim = materialize(_keyed(docs, seed), "mix")
+def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, seed: str = "mix", levels: int = 2, broadcast_sources: int = 100_000, weight: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row.
+
+    ``weight``: each document's quality weight, such as a classifier's score
+    (0.001 at least); the share of symbols decides where none is given.
+    """
+    slim = materialize(_keyed(docs, seed, weight), "mix")
     each, small = _cuts(slim, budget, most, levels, broadcast_sources)
     return _taken(slim, each, small).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mix_texts(docs: DataFrame, budget: float = 1.5, most: float = 2.0, seed: str = "mix", levels: int = 2, broadcast_sources: int = 100_000) -> DataFrame:
+def mix_texts(docs: DataFrame, budget: float = 1.5, most: float = 2.0, seed: str = "mix", levels: int = 2, broadcast_sources: int = 100_000, weight: Column | None = None) -> DataFrame:
     """The mix itself: the columns of ``docs`` and ``copy`` (1, 2), a row for every
     copy taken; the text of a copy that is cut ends after its last word taken.
-    A column of ``docs`` named copy gives way."""
+    A column of ``docs`` named copy gives way. ``weight`` as of ``mix``."""
     docs = docs.drop("copy")
-    slim = materialize(_keyed(docs, seed), "mix")
+    slim = materialize(_keyed(docs, seed, weight), "mix")
     each, small = _cuts(slim, budget, most, levels, broadcast_sources)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    took = _taken(_keyed(docs, seed, F.struct(*columns).alias("_doc")), each, small).where("taken > 0")
+    took = _taken(_keyed(docs, seed, weight, F.struct(*columns).alias("_doc")), each, small).where("taken > 0")
     copies = took.select("_doc", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy"))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     lead = F.when(F.col("_doc.text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)

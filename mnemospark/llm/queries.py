@@ -85,7 +85,7 @@ SELECT record_id, canonical_url, CASE WHEN status = 'resolved' THEN found.id END
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
 s AS (SELECT n, doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-        -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+        -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, md5(text))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
         / greatest(0.1::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * coalesce(len(regexp_extract_all(text, '[#*$%&|<>]'))::DOUBLE / nullif(length(text), 0), 0)) AS k FROM d),
 t AS (SELECT source, sum(size)::DOUBLE AS ss, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s GROUP BY source),
 v AS (SELECT *, 2 * ss AS cap, coalesce(sum(2 * ss) OVER o, 0) AS full_, (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE AS wide, 1.5::DOUBLE * sum(ss) OVER () AS total

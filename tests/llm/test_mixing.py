@@ -76,3 +76,16 @@ def test_edges(spark):
     twice = spark.createDataFrame([(7, "a b c d", "", "a", 1)] * 5, SCHEMA)
     got = [r.taken for r in mixing.mix(twice).collect()]
     assert len(got) == 5 and sum(got) == 30
+
+
+def test_given_weights_and_rows_without_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"word{i} " * 10, "en", "a" if i % 2 else "b", 1, float(i % 5 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, good double")
+    slim = mixing._keyed(df, "mix", F.col("good"), F.col("good"))
+    assert slim.select("place").distinct().count() == 400  # each text draws its own number
+    took = mixing.mix(df.withColumn("text", F.concat("text", F.col("good").cast("string"))), weight=F.col("good")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 11 for r in took)
+    less = mixing.mix_texts(df.where("source = 'a'"), budget=0.1, weight=F.col("good")).agg(F.avg("good")).first()[0]
+    assert less > 0.9  # what is worth most goes first
