@@ -5,8 +5,8 @@ time, Adam). Both directions run over a whole text, state carried from the
 first byte to the last and back, and every byte, white space included, gets a
 label distribution; a document's distribution is the mean over all its bytes.
 
-Texts of similar length run side by side, ``BATCH`` bytes at a time. A text
-above ``SEGMENT`` bytes runs alone: a first pass ahead keeps the state at each
+Texts run side by side in lanes, ``BATCH`` bytes at a time: a lane is a row of
+texts one after the other, with a fresh state where a text begins. A text above ``SEGMENT`` bytes runs alone: a first pass ahead keeps the state at each
 segment's start, then segments are labelled from the last to the first, so
 memory is bounded by the segment and the result is that of one run.
 
@@ -25,6 +25,8 @@ rule; any number of languages is learned; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import bytewords as bw
 from mnemospark.llm.ppm import held_out
 
-BATCH, WINDOW, SEGMENT = 1 << 20, 16 << 20, 1 << 18
+BATCH, WINDOW, SEGMENT, LANES = 3 << 20, 32 << 20, 1 << 18, 1024
 EXCERPTS, EXCERPT = 6, 128
 #: Bytes of a training sequence.
 STRETCH = 64
@@ -154,8 +156,22 @@ class ByteLabeller:
                 p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
+def lanes_of(length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(lane, start in the lane, lanes, steps): texts laid one after the other into lanes of nearly one length,
+    the next longest always into the shortest lane."""
+    lanes = int(max(1, min(most, len(length), -(-int(length.sum()) // int(length.max())))))
+    lane, start, ends = np.empty(len(length), np.int64), np.empty(len(length), np.int64), [(0, i) for i in range(lanes)]
+    for i in np.argsort(-length, kind="stable").tolist():
+        start[i], lane[i] = ends[0]
+        heapq.heapreplace(ends, (int(start[i] + length[i]), int(lane[i])))
+    return lane, start, lanes, max(e for e, _ in ends)
+
+
 class Reader:
-    """The trained network over whole texts: gates in tables of their own, both directions in one step."""
+    """The trained network over whole texts: gates in tables of their own, both directions in one step.
+
+    What is kept of a position is what its state adds to the logits.
+    """
 
     def __init__(self, model: ByteLabeller):
         size = len(model.ahead.u)
@@ -163,74 +179,93 @@ class Reader:
         inputs = np.stack([model.embedding @ g.w + g.b for g in sides])  # (2, 256, 3 * size)
         state = np.stack([g.u for g in sides])
         cut = lambda a, i, scale: np.ascontiguousarray(a[..., i * size : (i + 1) * size] * np.float32(scale))
-        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2: the half goes into the weights of both gates
+        # sigmoid(x) = (tanh(x / 2) + 1) / 2: the half goes into the weights of both gates, that of
+        # the reset gate's value into the candidate's weights
         self.inputs = [cut(inputs, 0, 0.5), cut(inputs, 1, 0.5), cut(inputs, 2, 1)]
-        self.state = [cut(state, 0, 0.5), cut(state, 1, 0.5), cut(state, 2, 1)]
-        self.size, self.bias, self.out = size, model.bias, (model.out[:size], model.out[size:])
-
-    def scan(self, codes: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool = True):
-        """Runs len(codes) directions. codes: (direction, position), the positions of one step after those of
-        another, ``active`` of them a step, never growing. Returns the states of all positions and the last one."""
-        sides = len(codes)
-        inputs, state = [x[:sides].reshape(-1, self.size) for x in self.inputs], [u[:sides] for u in self.state]
-        codes = codes.astype(np.int32) + (256 * np.arange(sides, dtype=np.int32))[:, None]
-        out = np.empty((sides, codes.shape[1], self.size), np.float32) if keep else None
-        lo = 0
-        for k in active.tolist():
-            if h.shape[1] != k:
-                h = np.ascontiguousarray(h[:, :k])
-            at = codes[:, lo : lo + k]
-            r, z, n = np.matmul(h, state[0]), np.matmul(h, state[1]), np.matmul(h, state[2])
-            r += inputs[0].take(at, 0)
-            z += inputs[1].take(at, 0)
-            np.tanh(r, out=r)
-            np.tanh(z, out=z)
-            r *= 0.5
-            r += 0.5
-            z *= 0.5
-            z += 0.5
-            n *= r
-            n += inputs[2].take(at, 0)
-            np.tanh(n, out=n)
-            h = h - n
-            h *= z
-            h += n
-            if keep:
-                out[:, lo : lo + k] = h
-            lo += k
+        self.state = [cut(state, 0, 0.5), cut(state, 1, 0.5), cut(state, 2, 0.5)]
+        self.size, self.bias, self.out = size, model.bias, np.stack([model.out[:size], model.out[size:]])
+        self.tame = float(np.abs(model.out).sum(0).max() + np.abs(model.bias).max()) < 60  # exp() of a logit cannot overflow
+
+    def scan(self, codes: np.ndarray, fresh: list[tuple[int, int, int]], h: np.ndarray, keep: bool = True):
+        """codes: (step, direction, lane); fresh: (step, direction, lane) where a text begins, in order of step.
+        Returns what each position adds to the logits, (step, direction, lane, label), and the last state."""
+        steps, sides, lanes = codes.shape
+        inputs, (u_r, u_z, u_n) = [x[:sides].reshape(-1, self.size) for x in self.inputs], [u[:sides] for u in self.state]
+        offset = (256 * np.arange(sides))[:, None]
+        out, weights = np.empty((steps if keep else 0, sides, lanes, len(self.bias)), np.float32), self.out[:sides]
+        fresh, block = [*fresh, (steps, 0, 0)], 4096
+        now, event = fresh[0][0], 0
+        for low in range(0, steps, block):
+            part = codes[low : low + block] + offset
+            for t in range(len(part)):
+                while low + t == now:
+                    h[fresh[event][1], fresh[event][2]] = 0
+                    event += 1
+                    now = fresh[event][0]
+                at = part[t]
+                r, z, g = np.matmul(h, u_r), np.matmul(h, u_z), np.matmul(h, u_n)
+                r += inputs[0].take(at, 0)
+                z += inputs[1].take(at, 0)
+                np.tanh(r, out=r)
+                np.tanh(z, out=z)
+                r *= g
+                r += g
+                r += inputs[2].take(at, 0)
+                n = np.tanh(r, out=r)
+                h -= n
+                h *= 0.5
+                n += h
+                h *= z
+                h += n
+                if keep:
+                    np.matmul(h, weights, out=out[low + t])
         return out, h
 
-    def _distributions(self, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
-        logits = ahead @ self.out[0] + back @ self.out[1] + self.bias
-        logits -= logits.max(1, keepdims=True)
+    def _distributions(self, logits: np.ndarray) -> np.ndarray:
+        logits += self.bias
+        if not self.tame:
+            logits -= logits.max(-1, keepdims=True)
         np.exp(logits, out=logits)
-        return logits / logits.sum(1, keepdims=True)
-
-    def _side_by_side(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Summed distributions of texts in descending order of length."""
-        active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # texts longer than each step
-        first = np.concatenate(([0], np.cumsum(active)))
-        step = np.repeat(np.arange(length[0]), active)
-        text = np.arange(first[-1]) - first[step]
-        turned = length[text] - 1 - step
-        states, _ = self.scan(np.stack([raw[start[text] + step], raw[start[text] + turned]]), active, np.zeros((2, len(length), self.size), np.float32))
-        p = self._distributions(states[0], states[1][first[turned] + text])
-        return np.stack([np.bincount(text, weights=p[:, j], minlength=len(length)) for j in range(p.shape[1])], axis=1)
+        logits /= logits @ np.ones((logits.shape[-1], 1), np.float32)
+        return logits
+
+    def _side_by_side(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Summed distributions of texts."""
+        lane, start, lanes, steps = lanes_of(length, LANES)
+        laid = np.zeros((lanes, steps), np.uint8)
+        for b, n, i, s in zip(begin.tolist(), length.tolist(), lane.tolist(), start.tolist()):
+            laid[i, s : s + n] = raw[b : b + n]
+        codes = np.stack([laid.T, laid.T[::-1]], axis=1)
+        fresh = [(s, 0, i) for s, i in zip(start.tolist(), lane.tolist())] + [(steps - s - n, 1, i) for s, n, i in zip(start.tolist(), length.tolist(), lane.tolist())]
+        adds, _ = self.scan(codes, sorted(fresh), np.zeros((2, lanes, self.size), np.float32))
+        logits = adds[:, 0] + adds[::-1, 1]
+        del adds, codes, laid
+        p = self._distributions(logits)
+        # the texts of all lanes one after the other, each followed by the rest of its lane if it is the last
+        order = np.argsort(lane * steps + start)
+        at = (lane * steps + start)[order]
+        after = at + length[order]
+        edges = np.minimum(np.stack([at, after], axis=1).ravel(), lanes * steps - 1)
+        total = np.empty((len(length), len(self.bias)))
+        for j in range(len(self.bias)):
+            flat = np.ascontiguousarray(p[:, :, j].T).ravel()
+            sums = np.add.reduceat(flat, edges, dtype=np.float64)[0::2]
+            total[order, j] = sums + np.where(after == lanes * steps, np.where(length[order] > 1, flat[-1], 0.0), 0.0)
+        return total
 
     def _alone(self, raw: np.ndarray) -> np.ndarray:
         """Summed distributions of one long text, a segment at a time."""
         cuts = range(0, len(raw), SEGMENT)
         ahead, starts = np.zeros((1, 1, self.size), np.float32), []
         for lo in cuts:
-            starts.append(ahead)
-            part = raw[lo : lo + SEGMENT]
-            _, ahead = self.scan(part[None], np.ones(len(part), np.int64), ahead, keep=False)
+            starts.append(ahead.copy())
+            _, ahead = self.scan(raw[lo : lo + SEGMENT, None, None], [], ahead, keep=False)
         back, total = np.zeros((1, 1, self.size), np.float32), np.zeros(len(self.bias))
         for lo, ahead in zip(reversed(cuts), reversed(starts)):
-            part = raw[lo : lo + SEGMENT]
-            states, last = self.scan(np.stack([part, part[::-1]]), np.ones(len(part), np.int64), np.concatenate([ahead, back]))
-            back = last[1:]
-            total += self._distributions(states[0], states[1][::-1]).sum(0, dtype=np.float64)
+            part = raw[lo : lo + SEGMENT, None]
+            adds, last = self.scan(np.stack([part, part[::-1]], axis=1), [], np.concatenate([ahead, back]))
+            back = last[1:].copy()
+            total += self._distributions(adds[:, 0, 0] + adds[::-1, 1, 0]).sum(0, dtype=np.float64)
         return total
 
     def sums(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
