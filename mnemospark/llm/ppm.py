@@ -42,6 +42,8 @@ BITS = 9
 PAIR = (1 << (2 * BITS)) - 1
 WORD, GRAM, TOKENS, DOCS = 0, 1, 2, 3
 SPLIT = 4096
+#: Answers in a blob, at most.
+BLOB = 1 << 16
 
 
 def _tail(symbols: int) -> int:
@@ -244,14 +246,15 @@ def _split_contexts(grams: DataFrame, order: int, pairs: np.ndarray) -> dict[int
 
 
 def _answers(order: int, low: LowOrders):
-    schema = pa.schema([("chunk", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64())])
+    """Answers the requests of a partition: for each chunk and kind blobs of keys and of values."""
+    schema = pa.schema([("chunk", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()), ("values", pa.binary())])
 
     def run(batches):
         table = pa.Table.from_batches(got) if (got := list(batches)) else None
         if table is None or not table.num_rows:
             return
         chunk, kind, key, n = (table.column(c).to_numpy() for c in ("chunk", "kind", "key", "n"))
-        del table
+        del table, got
         for which in (WORD, GRAM):
             at = np.flatnonzero(kind == which)
             if not len(at):
@@ -264,9 +267,13 @@ def _answers(order: int, low: LowOrders):
                 for d in np.unique(depth):
                     some = depth == d
                     value[some] = log10_probability(keys[some], count[some], order, low, int(d))
-            for lo in range(0, len(at), 500_000):
-                part, some = at[lo : lo + 500_000], inv[lo : lo + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[part]), pa.array(kind[part]), pa.array(key[part]), pa.array(value[some])], schema=schema)
+            by_chunk = np.argsort(chunk[at], kind="stable")
+            edges = np.flatnonzero(np.diff(chunk[at][by_chunk], prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                for first in range(lo, hi, BLOB):
+                    some = by_chunk[first : min(hi, first + BLOB)]
+                    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (key[at[some]], value[inv[some]])]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk[at[some[0]]]], pa.int32()), pa.array([which], pa.int8()), *blobs], schema=schema)
             del keys, inv, count, value
 
     return run
@@ -281,8 +288,8 @@ def _scores(order: int, id_type: pa.DataType):
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             for which, parts in answers.items():
-                if len(at := np.flatnonzero(kind == which)):
-                    parts.append(tuple(batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("key", "value")))
+                for i in np.flatnonzero(kind == which).tolist():
+                    parts.append((np.frombuffer(batch.column("keys")[i].as_buffer(), np.int64), np.frombuffer(batch.column("values")[i].as_buffer(), np.float64)))
             if len(at := np.flatnonzero(kind == DOCS)):
                 docs.append(batch.column("doc").take(pa.array(at)))
         if not docs:
@@ -331,14 +338,14 @@ def score_documents(docs: DataFrame, modulus: int = 10, remainder: int = 0, max_
         pairs[pair >> BITS, pair & ((1 << BITS) - 1)] = n
     split = _split_contexts(asked.where(F.col("kind") == GRAM).select("key", "n"), max_order, pairs)
     meet = F.when(F.col("kind") == WORD, F.col("key")).otherwise(_dealt_by(split))
-    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(bw.tidy(_answers(max_order, LowOrders(pairs, split))), "chunk int, kind tinyint, key long, value double")
+    model = asked.where(F.col("kind") <= GRAM).withColumn("meet", meet).repartition(4 * chunks, "kind", "meet").select("chunk", "kind", "key", "n").mapInArrow(bw.tidy(_answers(max_order, LowOrders(pairs, split))), "chunk int, kind tinyint, keys binary, values binary")
     id_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     doc = F.struct("doc_id", "held_out", "text")
     both = model.select("*", F.lit(None).cast(given.select(doc.alias("d")).schema["d"].dataType).alias("doc"))
-    both = both.unionByName(given.select("chunk", F.lit(DOCS).cast("tinyint").alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), doc.alias("doc")))
-    scored = both.repartitionById(chunks, F.col("chunk")).select("kind", "key", "value", "doc").mapInArrow(bw.tidy(_scores(max_order, to_arrow_type(id_type))), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
+    both = both.unionByName(given.select("chunk", F.lit(DOCS).cast("tinyint").alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("values"), doc.alias("doc")))
+    scored = both.repartitionById(chunks, F.col("chunk")).select("kind", "keys", "values", "doc").mapInArrow(bw.tidy(_scores(max_order, to_arrow_type(id_type))), f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     end_cost, norm = float(np.log10(documents + 0.1)), float(np.log10(tokens + 0.1 * (vocabulary + 1)))
     return scored.select(
         "doc_id",
