@@ -59,7 +59,9 @@ def caused(effects: DataFrame, causes: DataFrame, evidence: DataFrame, min_confi
     """
     head = lambda df, by, order, n: df.select("*", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_n")).where(F.col("_n") <= n).drop("_n")
     strong = effects.where(F.col("confidence") >= min_confidence)
-    pairs = strong.select(F.col("statement_id").alias("effect"), "object_entity", "confidence").join(causes.select(F.col("statement_id").alias("cause"), F.col("subject").alias("object_entity")), "object_entity")
+    # one more than an effect may have: itself can be among them
+    first = head(causes.select(F.col("statement_id").alias("cause"), F.col("subject").alias("object_entity")), ("object_entity",), ("cause",), caps[0] + 1)
+    pairs = strong.select(F.col("statement_id").alias("effect"), "object_entity", "confidence").join(first, "object_entity")
     pairs = head(pairs.where(F.col("effect") != F.col("cause")), ("effect",), ("cause",), caps[0])
     mem = evidence.select("statement_id", "memory_id").distinct()
     of_cause = head(mem, ("statement_id",), ("memory_id",), caps[1]).select(F.col("statement_id").alias("cause"), F.col("memory_id").alias("src"))

@@ -18,6 +18,8 @@ from mnemospark.operators.ranking import ranked, top_k
 from mnemospark.scratch import materialize, spread
 
 K1, B = 1.2, 0.75
+#: Content terms of a cue that is still expanded.
+MOST_TERMS = 3
 #: Words that a lexical query drops.
 STOP = frozenset(
     (
@@ -36,6 +38,11 @@ def content_terms(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in bare if w and w not in STOP)) or text.split()
 
 
+def escaped(text):
+    """A cue as the query parser may read it: an apostrophe parts a possessive from its owner."""
+    return F.regexp_replace(text, "['\u2019]", " ")
+
+
 def _idf(n: int, df: int) -> float:
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -77,8 +84,8 @@ def phrase(docs: DataFrame, words: list[str], id_: str = "memory_id", text: str
 
 
 def bm25_batch(docs: DataFrame, cues: DataFrame, k: int, id_: str = "memory_id") -> DataFrame:
-    """cue_id, id, score, rank for many cues (cue_id, text) at once."""
-    terms = cues.select("cue_id", F.explode(F.array_distinct(S.tokens("text"))).alias("term"))
+    """cue_id, id, score, rank for many cues (cue_id, text) at once, by their content terms."""
+    terms = cues.select("cue_id", F.explode(F.array_distinct(S.tokens("text"))).alias("term")).where(~F.col("term").isin(*STOP))
     toks = spread(docs.select(id_, "text")).select(id_, S.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
     wanted = terms.select("term").distinct()
     tokens = toks.select(id_, F.size("toks").alias("length"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
@@ -92,16 +99,23 @@ def bm25_batch(docs: DataFrame, cues: DataFrame, k: int, id_: str = "memory_id")
 
 
 def feedback_terms(docs: DataFrame, hits: DataFrame, known: list[str], n: int = 5, id_: str = "memory_id") -> DataFrame:
-    """term, df, tf: words of at least three letters that two hits share, commonest first."""
-    words = docs.join(hits.select(id_), id_, "left_semi").select(id_, F.explode(S.tokens("text")).alias("term")).where((F.length("term") >= 3) & ~F.col("term").isin(*known))
+    """term, df, tf: words of at least three letters, function words apart, that two hits share, commonest first."""
+    words = docs.join(hits.select(id_), id_, "left_semi").select(id_, F.explode(S.tokens("text")).alias("term")).where((F.length("term") >= 3) & ~F.col("term").isin(*known, *STOP))
     counts = words.groupBy("term").agg(F.count_distinct(id_).alias("df"), F.count("*").alias("tf")).where("df >= 2")
     return top_k(counts, n, F.desc("df"), F.desc("tf"), F.asc("term"))
 
 
-def expanded(docs: DataFrame, terms: list[str], k: int, feedback: int = 5, id_: str = "memory_id") -> DataFrame:
-    """BM25, its best hits' words added, both result lists united by greatest score."""
+def expanded(docs: DataFrame, terms: list[str], k: int, feedback: int = 5, id_: str = "memory_id", semantic: DataFrame | None = None) -> DataFrame:
+    """BM25, the best hits' words added, both result lists united by greatest score.
+
+    Only cues of at most ``MOST_TERMS`` content terms are expanded. Feedback
+    comes from the hits of the semantic lane (id, rank) if given, else from BM25's.
+    """
     first = bm25_topk(docs, terms, k, id_)
-    more = [r[0] for r in feedback_terms(docs, first.where(F.col("rank") <= feedback), terms, id_=id_).collect()]
+    if len([t for t in terms if t not in STOP]) > MOST_TERMS:
+        return first
+    hits = (first if semantic is None else semantic).where(F.col("rank") <= feedback)
+    more = [r[0] for r in feedback_terms(docs, hits, terms, id_=id_).collect()]  # five terms at most
     second = bm25_topk(docs, terms + more, k, id_)
     return merged(first, second, k, id_)
 

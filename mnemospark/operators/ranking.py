@@ -106,10 +106,12 @@ def autocut(df: DataFrame, score: str, tie: str, ratio: float = 0.55) -> DataFra
 
 def mmr(df: DataFrame, by: str, item: str, score: str, text: str, window: int = 50, trade: float = 0.5) -> DataFrame:
     """Greedy diversity order within each ``by``: trade*relevance - (1-trade)*greatest
-    token overlap with what is chosen. Sequential by nature, over ``window`` rows."""
+    token overlap with what is chosen, the last of equals first. Sequential by
+    nature, over the first ``window`` rows; the rest follow in their order."""
     import pandas as pd
 
-    head = ranked(df, score, item, (by,), window).select(by, item, score, text)
+    placed = df.select("*", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(item))).alias("_place"))
+    head, rest = placed.where(F.col("_place") <= window).select(by, item, score, text), placed.where(F.col("_place") > window)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, item], ascending=[False, True]).reset_index(drop=True)
@@ -118,7 +120,7 @@ def mmr(df: DataFrame, by: str, item: str, score: str, text: str, window: int =
         sets = [{w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() if len(w.encode()) > 2} for t in pdf[text]]
         left, chosen, overlap = list(range(len(pdf))), [], [0.0] * len(pdf)
         while left:
-            best = max(left, key=lambda i: (trade * relevance[i] - (1 - trade) * overlap[i], -i))
+            best = max(left, key=lambda i: (trade * relevance[i] - (1 - trade) * overlap[i], i))
             chosen.append(best)
             left.remove(best)
             for i in left:  # only the newest choice can raise an overlap
@@ -130,4 +132,5 @@ def mmr(df: DataFrame, by: str, item: str, score: str, text: str, window: int =
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return head.groupBy(by).applyInPandas(order, f"`{by}` {kinds[by]}, `{item}` {kinds[item]}, place long")
+    done = head.groupBy(by).applyInPandas(order, f"`{by}` {kinds[by]}, `{item}` {kinds[item]}, place long")
+    return done.unionByName(rest.select(by, item, F.col("_place").cast("long").alias("place")))

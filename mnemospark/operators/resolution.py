@@ -37,8 +37,12 @@ def resolve(surfaces: DataFrame, entities: DataFrame, least: float = 0.5) -> Dat
     exact = s.join(e.select("norm", "entity_id"), "norm").select("surface", "entity_id", F.lit(1.0).alias("score"))
     fuzzy = trigram_candidates(surfaces, entities, least)
     words = s.select("surface", F.array_distinct(F.split("norm", " ")).alias("w"))
-    one = words.select("surface", "w", F.explode("w").alias("t")).join(e.select("entity_id", F.array_distinct(F.split("norm", " ")).alias("ew"), F.explode(F.array_distinct(F.split("norm", " "))).alias("t")), "t")
-    supersets = one.groupBy("surface", "entity_id").agg(F.count("*").alias("shared"), F.any_value(F.size("w")).alias("n"), F.any_value(F.size("ew")).alias("m")).where("shared = n AND m > n")
+    # a superset holds every word of the surface, so the rarest one finds them all
+    named = e.select("entity_id", F.array_distinct(F.split("norm", " ")).alias("ew"))
+    tokens = named.select("entity_id", "ew", F.explode("ew").alias("t"))
+    rare = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    probe = words.select("surface", "w", F.explode("w").alias("t")).join(rare, "t", "left").groupBy("surface", "w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "t")).alias("least")).select("surface", "w", F.col("least.t").alias("t"))
+    supersets = probe.join(tokens, "t").where((F.size("ew") > F.size("w")) & (F.size(F.array_except("w", "ew")) == 0))
     alone = supersets.select("surface", "entity_id", F.count("*").over(Window.partitionBy("surface")).alias("c")).where("c = 1").select("surface", "entity_id", F.lit(0.9).alias("score"))
     best = exact.unionByName(fuzzy).unionByName(alone).groupBy("surface", "entity_id").agg(F.max("score").alias("score"))
     return best.select("*", F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("score"), "entity_id")).cast("bigint").alias("rank"))

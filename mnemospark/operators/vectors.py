@@ -97,7 +97,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 64, prob
     ``probes`` nearest cells (all of them: exact). Cells are cut into blocks by
     hash, a query meets each block of its cells, and each block returns k rows.
     """
-    pivots = fit_pivots(vectors, cells)
+    rows_ = vectors.where("v IS NOT NULL").count()
+    pivots = fit_pivots(vectors, max(1, min(cells, -(-4 * rows_ // block_rows))))
     probes = min(probes, len(pivots))
 
     def home(it):
@@ -146,7 +147,8 @@ def _block_pairs(vectors: DataFrame, threshold: float, block_rows: int, cells: i
     allows the threshold (triangle inequality on angles), so clustered data
     meets its own neighbourhood only; whatever the data, no pair is missed.
     """
-    pivots = fit_pivots(vectors, cells)
+    rows_ = vectors.where("v IS NOT NULL").count()
+    pivots = fit_pivots(vectors, max(1, min(cells, -(-rows_ // block_rows))))  # a cell for each block of rows: more would deal rows to more pairs than there is work
     kind = vectors.schema["memory_id"].dataType.simpleString()
 
     def home(it):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scalars as S
 from mnemospark.operators import derive, lexical, ranking, vectors
+from mnemospark.scratch import materialize
 
 #: Lane weights and pool of each query class.
 PROFILES = {
@@ -101,18 +102,34 @@ class Engine:
     def __init__(self, memories: DataFrame, vectors_: DataFrame, edges: DataFrame | None = None):
         self.memories, self.vectors, self.edges = memories, vectors_, edges
 
+    def scope(self, request: Request) -> DataFrame | None:
+        """The memories that the caller may see (memory_id): contexts and agents; None for all."""
+        wanted = [(c, v) for c, v in (("context", request.contexts), ("agent", request.agents)) if v]
+        if not wanted:
+            return None
+        seen = self.memories
+        for column, values in wanted:
+            seen = seen.where(F.col(column).isin(*values))
+        return seen.select("memory_id")
+
     def lane(self, name: str, request: Request, pool: int) -> DataFrame:
+        """The best ``pool`` items of a lane within the caller's scope: the scope
+        stands below the top-k, so a rare context still fills its page. Text
+        statistics are those of all memories."""
+        seen = self.scope(request)
+        within = lambda df, id_="memory_id": df if seen is None else df.join(seen, df[id_] == seen["memory_id"], "left_semi")
         if name == "semantic":
-            out = vectors.knn(self.vectors, request.cue, pool)
+            out = vectors.knn(within(self.vectors), request.cue, pool)
         elif name == "lexical":
-            out = lexical.bm25_topk(self.memories, request.terms or lexical.content_terms(request.text or ""), pool)
+            scored = lexical.bm25(self.memories, request.terms or lexical.content_terms(request.text or ""))
+            out = ranking.ranked(within(scored), "score", "memory_id", k=pool)
         else:
             from mnemospark.operators import graph
 
             kind = self.edges.schema["src"].dataType.simpleString()
             start = self.edges.sparkSession.createDataFrame([(request.anchor,)], f"start {kind}")
             walked = graph.star(start, self.edges, 1).select(F.col("node").alias("memory_id"), "score")
-            out = ranking.ranked(walked, "score", "memory_id", k=pool)
+            out = ranking.ranked(within(walked), "score", "memory_id", k=pool)
         return out.select(F.lit(name).alias("lane"), F.col("memory_id").alias("item_id"), "rank", "score")
 
     def recall(self, request: Request) -> DataFrame:
@@ -140,7 +157,7 @@ class Engine:
     def recall_deep(self, request: Request, ceiling: int = 400) -> DataFrame:
         """One retry with a pool at the ceiling if fewer than the limit came back."""
         todo = plan(request)
-        first = self.recall(request).cache()
+        first = materialize(self.recall(request), "page")
         if first.count() >= todo.limit or todo.pool >= ceiling:
             return first
         return self.recall(replace(request, pool=ceiling))

@@ -7,6 +7,7 @@ before they are ranked (``scalars.rounded``), so both engines order ties alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,7 +173,7 @@ def bm25_phrase(spark, sf_dir):
 
 
 _PRF = f"""w AS (SELECT memory_id, unnest(toks) AS term FROM tok JOIN lex USING (memory_id) WHERE rank <= 5),
-prf AS (SELECT term, count(DISTINCT memory_id) AS df, count(*) AS tf FROM w WHERE length(term) >= 3 AND term NOT IN ({", ".join(map(repr, CUE_TERMS))}) GROUP BY term HAVING count(DISTINCT memory_id) >= 2 ORDER BY df DESC, tf DESC, term LIMIT 5)"""
+prf AS (SELECT term, count(DISTINCT memory_id) AS df, count(*) AS tf FROM w WHERE length(term) >= 3 AND term NOT IN ({", ".join(map(repr, [*CUE_TERMS, *sorted(lexical.STOP)]))}) GROUP BY term HAVING count(DISTINCT memory_id) >= 2 ORDER BY df DESC, tf DESC, term LIMIT 5)"""
 
 
 @_query(f"WITH {BM25}, {_PRF} SELECT term, df, tf FROM prf")
@@ -191,7 +192,7 @@ def prf_bm25(spark, sf_dir):
     return lexical.expanded(R.memories(spark, sf_dir), CUE_TERMS, 50)
 
 
-@_query(f"""WITH {TOK}, c AS (SELECT item_id AS cue_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark),
+@_query(f"""WITH {TOK}, c AS (SELECT * FROM (SELECT item_id AS cue_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark) WHERE term NOT IN ({", ".join(map(repr, sorted(lexical.STOP)))})),
 n AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS mean FROM tok), p AS (SELECT memory_id, length, term, count(*)::DOUBLE AS tf FROM (SELECT memory_id, len(toks) AS length, unnest(toks) AS term FROM tok) WHERE term IN (SELECT term FROM c) GROUP BY ALL),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
 s AS (SELECT cue_id, memory_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) + 1e-9::DOUBLE, 6) AS score FROM p JOIN df USING (term) JOIN c USING (term), n GROUP BY cue_id, memory_id)
@@ -751,20 +752,33 @@ def wal_projection(spark, sf_dir):
 
 
 # --- the engine ---------------------------------------------------------------------------
-_ENGINE = f"""{LANES}, fused AS (SELECT item_id, sum(CASE lane WHEN 'semantic' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (CASE WHEN pool < 200 THEN 15 WHEN pool < 2000 THEN 30 ELSE 60 END + rank)) AS fused, list_sort(list(DISTINCT lane)) AS lanes FROM lists, (SELECT count(*) AS pool FROM lists) GROUP BY item_id), {MEM}, kept AS (SELECT item_id, fused + 1.0::DOUBLE / 61 * pow(0.5::DOUBLE, greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (90 * 86400.0::DOUBLE)) AS f, lanes FROM fused JOIN mem ON memory_id = item_id WHERE context IN ('en', 'fr') AND salience >= 0.05)"""
+def _engine_sql(scope: str, least: float) -> str:
+    """Both lanes within the scope, then fused and filtered."""
+    return f"""{VEC}, {MEM}, {TOK}, {_bm25_sql(CUE_TERMS).partition("lex AS")[0].rstrip().rstrip(",")}, seen AS (SELECT memory_id FROM mem WHERE {scope}),
+sem AS (SELECT memory_id, round({COS} + 1e-9::DOUBLE, 6) AS score, row_number() OVER (ORDER BY round({COS} + 1e-9::DOUBLE, 6) DESC, memory_id) AS rank FROM vec SEMI JOIN seen USING (memory_id), cue QUALIFY rank <= 100),
+lex AS (SELECT memory_id, score, row_number() OVER (ORDER BY score DESC, memory_id) AS rank FROM bm SEMI JOIN seen USING (memory_id) QUALIFY rank <= 100),
+lists AS (SELECT 'semantic' AS lane, memory_id AS item_id, rank, score FROM sem UNION ALL SELECT 'lexical', memory_id, rank, score FROM lex), fused AS (SELECT item_id, sum(CASE lane WHEN 'semantic' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (CASE WHEN pool < 200 THEN 15 WHEN pool < 2000 THEN 30 ELSE 60 END + rank)) AS fused, list_sort(list(DISTINCT lane)) AS lanes FROM lists, (SELECT count(*) AS pool FROM lists) GROUP BY item_id), kept AS (SELECT item_id, fused + 1.0::DOUBLE / 61 * pow(0.5::DOUBLE, greatest(datesub('second', created_at, TIMESTAMP '{NOW}'), 0) / (90 * 86400.0::DOUBLE)) AS f, lanes FROM fused JOIN mem ON memory_id = item_id WHERE salience >= {least})
+SELECT item_id, round(f + 1e-9::DOUBLE, 6) AS score, array_to_string(lanes, ',') AS lanes, row_number() OVER (ORDER BY round(f + 1e-9::DOUBLE, 6) DESC, item_id) AS rank FROM kept QUALIFY rank <= 10"""
 
 
 def recall_request(spark: SparkSession, sf_dir: str) -> Request:
     return Request(cue=_cue(spark, sf_dir), terms=CUE_TERMS, contexts=("en", "fr"), min_salience=0.05, now=NOW, limit=10, pool=100)
 
 
-@_query(f"WITH {_ENGINE} SELECT item_id, round(f + 1e-9::DOUBLE, 6) AS score, array_to_string(lanes, ',') AS lanes, row_number() OVER (ORDER BY round(f + 1e-9::DOUBLE, 6) DESC, item_id) AS rank FROM kept QUALIFY rank <= 10")
+@_query("WITH " + _engine_sql("context IN ('en', 'fr')", 0.05))
 def recall(spark, sf_dir):
     return Engine(R.memories(spark, sf_dir), R.vectors(spark, sf_dir)).recall(recall_request(spark, sf_dir))
 
 
+@_query("WITH " + _engine_sql("context IN ('es') AND agent IN ('src3', 'src8')", 0.0))
+def recall_rare_scope(spark, sf_dir):
+    """A caller who sees one document in forty: the page is filled from what they may see."""
+    request = replace(recall_request(spark, sf_dir), contexts=("es",), agents=("src3", "src8"), min_salience=0.0)
+    return Engine(R.memories(spark, sf_dir), R.vectors(spark, sf_dir)).recall(request)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(spark, sf_dir)
 
 
-from mnemospark import queries_verbs  # noqa: E402, F401  (registers its queries)
+from mnemospark import queries_lifecycle, queries_verbs  # noqa: E402, F401  (register their queries)

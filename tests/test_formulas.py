@@ -94,8 +94,12 @@ def test_mmr_prefers_what_is_new(spark):
     rows = [(1, 1, 1.0, "alpha beta gamma"), (1, 2, 0.95, "alpha beta gamma"), (1, 3, 0.6, "delta epsilon zeta")]
     df = spark.createDataFrame(rows, "cue long, item long, score double, text string")
     out = [r.item for r in ranking.mmr(df, "cue", "item", "score", "text").orderBy("place").collect()]
-    assert out == [1, 2, 3] or out == [1, 3, 2]
-    assert set(out) == {1, 2, 3}
+    assert out == [1, 3, 2]
+    tied = spark.createDataFrame([(1, i, 1.0, f"word{i}") for i in range(4)], "cue long, item long, score double, text string")
+    assert [r.item for r in ranking.mmr(tied, "cue", "item", "score", "text").orderBy("place").collect()] == [3, 2, 1, 0]  # the last of equals
+    long_ = spark.createDataFrame([(1, i, 100.0 - i, f"word{i}") for i in range(60)], "cue long, item long, score double, text string")
+    places = {r.item: r.place for r in ranking.mmr(long_, "cue", "item", "score", "text").collect()}
+    assert len(places) == 60 and all(places[i] == i + 1 for i in range(50, 60))
 
 
 @settings(max_examples=8, deadline=None)
