@@ -1,4 +1,4 @@
-"""Text analysis that has no built-in form: protected tokens, Porter stems,
+"""Text analysis that has no built-in form: protected tokens, Snowball English stems,
 temporal expressions, a deterministic embedder. Arrow-batched where Python runs."""
 
 from __future__ import annotations
@@ -16,88 +16,91 @@ PROTECTED = re.compile(r"https?://\S+|\b[A-Z][A-Z0-9]+-\d+\b|\b\w+(?:\.\w+)+\b")
 WORDS = re.compile(r"[^\W_]+")
 
 
-# --- Porter's algorithm (M. F. Porter, 1980) ------------------------------------
-def _measure(stem: str) -> int:
-    """How often a vowel run is followed by a consonant run."""
-    shape = "".join("v" if _vowel(stem, i) else "c" for i in range(len(stem)))
-    return len(re.findall("vc", re.sub(r"(.)\1+", r"\1", shape)))
+# --- Porter's second algorithm (Snowball English) --------------------------------
+#: Words with stems of their own, words that stay after step 1a.
+WHOLE = dict(p.split(":") for p in "skis:ski skies:sky dying:die lying:lie tying:tie idly:idl gently:gentl ugly:ugli early:earli only:onli singly:singl sky:sky news:news howe:howe atlas:atlas cosmos:cosmos bias:bias andes:andes".split())
+KEPT = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+#: Suffix and replacement of steps 2 and 3; suffixes of step 4.
+STEP2 = "tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ational:ate ation:ate ator:ate alism:al aliti:al alli:al fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive biliti:ble bli:ble ogi:og fulli:ful lessli:less li:"
+STEP3 = "tional:tion ational:ate alize:al icate:ic iciti:ic ical:ic ful: ness: ative:"
+STEP4 = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ism: ate: iti: ous: ive: ize: ion:"
 
 
-def _vowel(w: str, i: int) -> bool:
-    return w[i] in "aeiou" or (w[i] == "y" and i > 0 and not _vowel(w, i - 1))
+def _table(text: str) -> list[tuple[str, str]]:
+    return sorted((tuple(p.split(":")) for p in text.split()), key=lambda p: -len(p[0]))
 
 
-def _has_vowel(stem: str) -> bool:
-    return any(_vowel(stem, i) for i in range(len(stem)))
+_TABLES = [_table(t) for t in (STEP2, STEP3, STEP4)]
 
 
-def _cvc(w: str) -> bool:
-    return len(w) > 2 and not _vowel(w, len(w) - 1) and _vowel(w, len(w) - 2) and not _vowel(w, len(w) - 3) and w[-1] not in "wxy"
+def _after(word: str, start: int) -> int:
+    """Where the part after the first non-vowel behind a vowel begins."""
+    m = re.compile("[aeiouy][^aeiouy]").search(word, start)
+    return m.end() if m else len(word)
 
 
-#: Suffix and replacement of steps 2 and 3; suffixes of step 4.
-STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+def _regions(word: str) -> tuple[int, int]:
+    head = re.match("gener|commun|arsen", word)
+    r1 = head.end() if head else _after(word, 0)
+    return r1, _after(word, r1)
 
 
-def _table(text: str) -> list[tuple[str, str]]:
-    pairs = [tuple(p.split(":")) for p in text.split()]
-    return sorted(pairs, key=lambda p: -len(p[0]))
+def _short(word: str) -> bool:
+    """Whether the word ends in a short syllable."""
+    return bool(re.search("[^aeiouy][aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$", word))
 
 
 @functools.lru_cache(maxsize=200_000)
-def porter(word: str) -> str:
+def stem(word: str) -> str:
     """The stem of a lower-case word; words of other than ASCII letters stay."""
-    w = word
-    if len(w) <= 2 or not w.isascii() or not w.isalpha():
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
+    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+        return word
+    if word in WHOLE:
+        return WHOLE[word]
+    w = re.sub("(?<=[aeiouy])y|^y", "Y", word)
+    r1, r2 = _regions(w)
+    if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search("[aeiouy]", w[:-2]):
         w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for suffix in ("ed", "ing"):
-            if w.endswith(suffix) and _has_vowel(w[: -len(suffix)]):
-                w = w[: -len(suffix)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _cvc(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    for table in (STEP2, STEP3):
-        for suffix, into in _table(table):
-            if w.endswith(suffix):
-                w = w[: -len(suffix)] + into if _measure(w[: -len(suffix)]) > 0 else w
-                break
-    for suffix in sorted(STEP4.split(), key=len, reverse=True):
-        if w.endswith(suffix):
-            stem = w[: -len(suffix)]
-            if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not _cvc(w[:-1])):
+    if w in KEPT:
+        return w
+    found = next((x for x in ("eedly", "ingly", "edly", "eed", "ing", "ed") if w.endswith(x)), "")
+    if found in ("eed", "eedly"):
+        w = w[: -len(found)] + "ee" if len(w) - len(found) >= r1 else w
+    elif found and re.search("[aeiouy]", w[: -len(found)]):
+        w = w[: -len(found)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif re.search("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
             w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
+        elif _short(w) and r1 >= len(w):
+            w += "e"
+    w = re.sub("(?<=.[^aeiouy])[yY]$", "i", w)
+    for number, table in enumerate(_TABLES):
+        for suffix, into in table:
+            if not w.endswith(suffix):
+                continue
+            left = w[: -len(suffix)]
+            good = len(left) >= (r2 if number == 2 or suffix == "ative" else r1)
+            before = {"ogi": "l", "li": "cdeghkmnrt", "ion": "st"}.get(suffix)
+            if good and (before is None or left[-1:] and left[-1] in before):
+                w = left + into
+            break
+    if w.endswith("e") and (len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _short(w[:-1]))) or w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w
+    return w.lower()
 
 
 def analyze_text(text: str | None) -> list[str]:
     """NFC; URLs, code ids and dotted ids whole and unstemmed; the rest lower-cased and stemmed."""
     text, out, at = unicodedata.normalize("NFC", text or ""), [], 0
     for m in PROTECTED.finditer(text):
-        out += [porter(w.lower()) for w in WORDS.findall(text[at : m.start()])] + [m[0].lower()]
+        out += [stem(w.lower()) for w in WORDS.findall(text[at : m.start()])] + [m[0].lower()]
         at = m.end()
-    return out + [porter(w.lower()) for w in WORDS.findall(text[at:])]
+    return out + [stem(w.lower()) for w in WORDS.findall(text[at:])]
 
 
 def analyzed(text: Column) -> Column:
