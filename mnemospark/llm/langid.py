@@ -327,8 +327,14 @@ def train(docs: DataFrame, learn: Column, sample_rows: int = 1200, steps: int =
     return model
 
 
+def least_score(labels: int) -> float:
+    """The share of bytes that a recognisable text gives its best label: a fifth above
+    chance, but never more than 0.3, so that a text of two or three languages counts as one."""
+    return min(0.3, 1.2 / labels)
+
+
 def _predict(model: ByteLabeller | None, carried: pa.Schema, names: tuple[str, ...]):
-    """Carries columns over and adds label, score and margin over the second label; the text is the last but one given."""
+    """Carries columns over and adds label, score and the score's lead over what chance gives; the text is the last but one given."""
     schema = carried
     for name, kind in zip(names, (pa.string(), pa.float64(), pa.float64())):
         schema = schema.append(pa.field(name, kind))
@@ -338,16 +344,15 @@ def _predict(model: ByteLabeller | None, carried: pa.Schema, names: tuple[str, .
         for batch in _gathered(batches):
             text, letter = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             n = batch.num_rows
-            label, score, margin = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.zeros(n)
+            label, score, lead = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.full(n, -1.0)
             if reader:
                 p = document_probabilities(reader, text)
                 known = letter.to_numpy(zero_copy_only=False).astype(bool) & (p.sum(1) > 0)
                 best = p.argmax(1)
                 label = np.where(known, np.array(model.labels, dtype=object)[best], UNKNOWN)
                 score = np.where(known, np.minimum(p[np.arange(n), best], 1.0), 0.0)
-                second = np.partition(p, -2, axis=1)[:, -2] if p.shape[1] > 1 else np.zeros(n)
-                margin = np.where(known, score - second, 0.0)
-            more = [pa.array(label, pa.string()), pa.array(score), pa.array(margin)]
+                lead = np.where(known, score - least_score(len(model.labels)), -1.0)
+            more = [pa.array(label, pa.string()), pa.array(score), pa.array(lead)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *more[: len(names)]], schema=schema)
 
     return run
@@ -388,9 +393,9 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_rows:
     return _predicted(given, given.select("doc_id", "held_out"), model, ("lang_pred", "score"))
 
 
-def label_rows(docs: DataFrame, names: tuple[str, str, str] = ("_lang_pred", "_lang_score", "_lang_margin"), modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """All columns of ``docs``, the prediction, its score and its margin over the
-    second label (columns of the same names give way)."""
+def label_rows(docs: DataFrame, names: tuple[str, str, str] = ("_lang_pred", "_lang_score", "_lang_lead"), modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """All columns of ``docs``, the prediction, its score and by how much that is above
+    ``least_score`` (columns of the same names give way)."""
     carried = docs.drop(*names)
     model = train(docs, ~held_out("doc_id", modulus, remainder))
     # the text itself is carried, as the last column, so it crosses to Python once; names may hold anything

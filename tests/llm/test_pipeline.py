@@ -61,3 +61,26 @@ def test_clashing_columns(spark, sf):
     docs = base.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
     for frame in (ppm.score_documents(docs), langid.identify(docs), simhash.near_duplicates(docs), rules.judge(docs), fm.classify(docs, spark.read.parquet(f"{sf}/labels.parquet").withColumn("score", F.lit(1)))):
         assert frame.count() == 40
+
+
+def test_language_stage_keeps_mixed_and_clean_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = {r.lang: r.text for r in docs.where("n_chars > 600").collect()}
+    two = list(some.values())[:2]
+    odd = [(10_001, two[0][:500] + " " + two[1][:500]), (10_002, "12 34 !! -- 56"), (10_003, "☃ ☃ 123"), (10_004, None), (10_005, "")]
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in odd], docs.schema)
+    kept = {r.doc_id for r in cp.language_id(spark, docs.unionByName(more), sf).collect()}
+    lettered = {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").collect()}
+    assert kept == lettered | {10_001}
+
+
+def test_stages_with_shared_and_missing_ids(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    words = " ".join(f"word{i} of this text" for i in range(60))
+    rows = [(1, words), (1, "quite another text under one id, and it is kept"), (None, words + " tail"), (None, item), (1, item), (2, "something of its own, in a line")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = [r.text for r in cp.decontaminate(spark, docs, sf).collect()]
+    assert sorted(clean) == sorted(t for _, t in rows if t != item)
+    left = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, sf).collect()]
+    assert (1, words) in left and (1, rows[1][1]) in left and (2, rows[5][1]) in left and sum(t == item for _, t in left) == 1
+    assert sorted(cp.line_dedup(spark, docs, sf).toPandas().text) == sorted({t for _, t in rows})
