@@ -162,7 +162,7 @@ def link_fingerprints(fps: DataFrame, bound: int = 4, blocks: int = 7, group_mos
         raise ValueError("bound must be even and below the number of blocks")
     masks = _block_masks(blocks, bound)
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but each becomes many rows
-    table = fps.repartition(spread, "fp").select("fp", _coordinates(F.col("fp")).alias("near"))
+    table = fps.repartition(spread, F.xxhash64("fp")).select("fp", _coordinates(F.col("fp")).alias("near"))
     which = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits")
     keyed = table.select("fp", "near", which)
     row = F.struct("fp", "near")
