@@ -10,19 +10,16 @@ from pyspark.sql import functions as F
 from mnemospark.llm import decontam, langid, linededup, mixing, simhash
 from mnemospark.scratch import materialize
 
-#: A document whose best language leads the second by less has no language to speak of.
-LEAST_MARGIN = 0.05
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letter, or a lead of the
-    best label over the second below ``LEAST_MARGIN``. A missing lang is filled in.
+    """Documents without a recognisable language go: no letter, or a best label with
+    hardly more than chance (``langid.least_score``). A missing lang is filled in.
 
     Null and empty texts go; a null id, a shared id and repeated rows do not
     matter, each row is judged by its text; with no lang to learn from all rows go.
     """
     labelled = langid.label_rows(docs)
-    kept = labelled.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_margin") >= LEAST_MARGIN))
+    kept = labelled.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_lead") >= 0))
     return kept.select(*[F.coalesce("lang", "_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in labelled.columns[:-3]])
 
 
