@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import nativetext as nt
 from mnemospark.llm.bytewords import _splitmix, bounded_batches, tidy
 from mnemospark.operators.components import connected_components
-from mnemospark.scratch import materialize
+from mnemospark.scratch import by_shuffle, materialize
 
 PIVOTS = 16
 _BLOCK_BYTES = 4 << 20
@@ -167,21 +167,21 @@ def link_fingerprints(fps: DataFrame, bound: int = 4, blocks: int = 7, group_mos
     keyed = table.select("fp", "near", which)
     row = F.struct("fp", "near")
     groups = keyed.groupBy("choice", "bits").agg(F.count("*").alias("members"), F.min(row).alias("low"), F.max(row).alias("high")).where("members > 1")
-    shared = materialize(keyed.join(groups, ["choice", "bits"]), "shared")
+    shared = materialize(keyed.join(by_shuffle(groups), ["choice", "bits"]), "shared")  # Spark guesses the keys as small as the fingerprints
     stars = shared.select(F.col("fp").alias("a"), F.col("near").alias("near_a"), F.explode(F.array("low", "high")).alias("to")).select("a", "near_a", F.col("to.fp").alias("b"), F.col("to.near").alias("near_b"))
     first = connected_components(_verified(stars.where("a <> b"), bound))
-    labelled = shared.drop("low", "high").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = shared.drop("low", "high").join(by_shuffle(first.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     several = labelled.groupBy("choice", "bits").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("choice", "bits")
-    open_ = materialize(labelled.join(several, ["choice", "bits"], "left_semi").select("choice", "bits", "fp", "near", "component", "members"), "open")
+    open_ = materialize(labelled.join(by_shuffle(several), ["choice", "bits"], "left_semi").select("choice", "bits", "fp", "near", "component", "members"), "open")
     small, large = open_.where(F.col("members") <= group_most), open_.where(F.col("members") > group_most)
     left = small.select("choice", "bits", F.col("fp").alias("a"), F.col("near").alias("near_a"), F.col("component").alias("of_a"))
     right = small.select("choice", "bits", F.col("fp").alias("b"), F.col("near").alias("near_b"), F.col("component").alias("of_b"))
-    pairs = _verified(left.join(right, ["choice", "bits"]).where("of_a < of_b"), bound)
+    pairs = _verified(left.join(by_shuffle(right), ["choice", "bits"]).where("of_a < of_b"), bound)
     edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs)
     if large.take(1):
         variants = large.select("fp").distinct().mapInArrow(tidy(_half_variants(bound)), "fp long, key long")
         least = variants.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").drop("top")
-        met = variants.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
+        met = variants.join(by_shuffle(least), "key").select(F.col("fp").alias("a"), "b").where("a <> b")
         edges = edges.unionByName(_verified(met.select("a", "b", _coordinates(F.col("a")).alias("near_a"), _coordinates(F.col("b")).alias("near_b")), bound))
     return connected_components(edges)
 
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, bound: int = 4, blocks: int
     marked = materialize(fingerprints(docs, size), "simhash")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = link_fingerprints(distinct.select("fp"), bound, blocks)
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = distinct.join(by_shuffle(linked.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = named.join(by_shuffle(ids), "root").select("fp", "component_id")
+    return marked.join(by_shuffle(of), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, size: int = 4, bound: int = 4, blocks: int = 7) -> DataFrame:

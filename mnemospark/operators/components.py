@@ -3,7 +3,8 @@
 Each round re-points edges at the smallest neighbour (first for larger
 neighbours, then for smaller ones); O(log^2 n) rounds end in a forest of stars.
 Every round is two keyed minima and joins; no adjacency list is ever gathered
-and nothing but two numbers per round reaches the driver.
+and nothing but two numbers per round reaches the driver. Minima are broadcast only
+below ``broadcast_edges`` edges.
 """
 
 from __future__ import annotations
@@ -11,23 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.scratch import materialize
+from mnemospark.scratch import by_shuffle, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.where("v > u").join(least if small else by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least if small else by_shuffle(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 64, broadcast_edges: int = 100_000) -> DataFrame:
     """(node, component) for every node of ``edges`` (its first two columns, one
     orderable type); component is the smallest node reachable. Self-loops and
     nulls are ignored; an empty edge table gives an empty result."""
@@ -38,7 +39,8 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     before = tuple(now.agg(*digest).first())
     if before[0]:
         for _ in range(rounds):
-            now = materialize(_small_star(_large_star(now)), "edges")
+            small = before[0] <= broadcast_edges
+            now = materialize(_small_star(_large_star(now, small), small), "edges")
             after = tuple(now.agg(*digest).first())
             if after == before:
                 break

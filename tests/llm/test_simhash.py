@@ -109,3 +109,14 @@ def test_representatives(spark):
     got = sorted((r.doc_id or -1, r.text) for r in simhash.representatives(df).collect())
     assert got == sorted([(3, base + " "), (3, rows[2][1]), (7, rows[3][1]), (-1, rows[5][1])])
     assert simhash.representatives(df).columns == df.columns and simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_keys_are_not_broadcast(spark, tmp_path):
+    """35 keys come of each fingerprint; Spark's guess is the compressed file of fingerprints."""
+    spark.range(20_000).selectExpr("cast(id as long) as doc_id", "xxhash64(id) as fp").write.parquet(str(tmp_path / "fp"))
+    fps = spark.read.parquet(str(tmp_path / "fp")).select("fp").distinct()
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        assert simhash.link_fingerprints(fps).count() == 0  # random ones lie far apart
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
