@@ -104,7 +104,7 @@ sc AS (SELECT node, hop, round(1.0::DOUBLE / (hop + 1) * CASE WHEN hop = 0 THEN
 SELECT statement_id, hop, score FROM sc JOIN st ON subject = node WHERE n <= 5""")
 def statement_pivot(spark, sf_dir):
     """Open orders, five a customer, of the customers around a supplier."""
-    nodes = graph.star(_starts(spark, "s:1"), R.relations(spark, sf_dir), 2).select("node", F.col("hop").cast("int").alias("hop"), "score")
+    nodes = graph.star(_starts(spark, "s:1"), R.relations(spark, sf_dir), 2, branching=None).select("node", F.col("hop").cast("int").alias("hop"), "score")
     o = R.table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("statement_id"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("subject"), "o_orderdate")
     return lifecycle.pivot_statements(nodes, o, 5, F.desc("o_orderdate"), F.asc("statement_id"))
 

@@ -26,6 +26,6 @@ def hub(spark, sf, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["graph_star"])
+@pytest.mark.parametrize("name", ["graph_star", "statement_pivot"])
 def test_hubs_keep_all_their_edges(spark, hub, name):
     assert spark_rows(q.queries()[name](spark, hub)) == duck_rows(q.oracle_sql()[name], hub)
