@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.scratch import materialize
+
 #: Days in which a merge may be undone.
 UNMERGE_DAYS = 7
 
@@ -68,13 +70,31 @@ def index_drift(records: DataFrame, index: DataFrame, key: str, version: str) ->
     return met.select(key, action.alias("action")).where("action IS NOT NULL")
 
 
+def _later(feed: DataFrame, points: DataFrame) -> DataFrame:
+    """topic, lsn, _later: for each distinct place of ``points``, the records of its topic that come after it.
+
+    No pair of a point and a record is formed. Places are dealt out by range; each
+    counts within its range and adds what later ranges of its topic hold.
+    """
+    asked = points.select("topic", "lsn", F.lit(0).alias("n"), F.lit(True).alias("asked"))
+    marks = feed.select("topic", "lsn", F.lit(1).alias("n"), F.lit(False).alias("asked")).unionByName(asked).dropna(subset=["topic", "lsn"])
+    places = marks.groupBy("topic", "lsn").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    dealt = materialize(places.repartitionByRange("topic", "lsn").withColumn("part", F.spark_partition_id()), "places")
+    within = Window.partitionBy("topic", "part").orderBy(F.desc("lsn")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy("topic").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("topic", "part").agg(F.sum("n").alias("n")).select("topic", "part", F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("beyond"))
+    inner = dealt.select("topic", "lsn", "part", "asked", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inner")).where("asked")
+    return inner.join(parts, ["topic", "part"]).select("topic", "lsn", (F.col("inner") + F.col("beyond")).alias("_later"))
+
+
 def lagging(consumers: DataFrame, feed: DataFrame, capacity: int) -> DataFrame:
     """consumer, final_lsn, behind, state: one that lags by more than ``capacity`` records is cut off where it stands.
 
     consumers: consumer, topic, lsn. feed: topic, lsn.
     """
     left = feed.groupBy("topic").agg(F.max("lsn").alias("_head"))
-    behind = consumers.join(feed.withColumnRenamed("lsn", "_lsn"), "topic").where(F.col("_lsn") > F.col("lsn")).groupBy("consumer").agg(F.count("*").alias("behind"))
+    passed = consumers.join(_later(feed, consumers), ["topic", "lsn"])
+    behind = passed.groupBy("consumer").agg(F.sum("_later").alias("behind"))
     met = consumers.join(left, "topic", "left").join(behind, "consumer", "left").withColumn("behind", F.coalesce("behind", F.lit(0)))
     over = F.col("behind") > capacity
     return met.select("consumer", F.when(over, F.col("lsn")).otherwise(F.coalesce("_head", "lsn")).alias("final_lsn"), "behind", F.when(over, "overloaded").otherwise("live").alias("state"))

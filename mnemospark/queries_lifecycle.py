@@ -66,9 +66,9 @@ b AS (SELECT consumer, count(*) AS behind FROM c JOIN events ON event_type = top
 SELECT consumer, CASE WHEN coalesce(behind, 0) > 100 THEN lsn ELSE coalesce(head, lsn) END AS final_lsn, coalesce(behind, 0) AS behind, CASE WHEN coalesce(behind, 0) > 100 THEN 'overloaded' ELSE 'live' END AS state FROM c LEFT JOIN h USING (topic) LEFT JOIN b USING (consumer)""")
 def lagging_consumers(spark, sf_dir):
     e = R.table(spark, sf_dir, "events")
-    first = e.groupBy(F.col("user_id").alias("consumer")).agg(F.min("event_type").alias("topic"))
-    at = e.select(F.col("user_id").alias("consumer"), F.col("event_type").alias("topic"), F.col("event_id").alias("lsn"))
-    consumers = at.join(first, ["consumer", "topic"]).groupBy("consumer", "topic").agg(F.min("lsn").alias("lsn"))
+    at = e.groupBy(F.col("user_id").alias("consumer"), F.col("event_type").alias("topic")).agg(F.min("event_id").alias("lsn"))
+    first = at.groupBy("consumer").agg(F.min_by(F.struct("topic", "lsn"), F.struct(F.col("topic").isNull(), "topic")).alias("first"))
+    consumers = first.select("consumer", "first.topic", "first.lsn")
     return lifecycle.lagging(consumers, e.select(F.col("event_type").alias("topic"), F.col("event_id").alias("lsn")), 100)
 
 
