@@ -205,7 +205,7 @@ def representatives(docs: DataFrame, size: int = 4, bound: int = 4, blocks: int
     place = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
     marked = materialize(fingerprints(docs.select(nt.row_key().alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "row"), "simhash")
     linked = link_fingerprints(marked.select("fp").distinct(), bound, blocks).toDF("fp", "component")
-    named = marked.join(linked, "fp", "left").select("row", F.coalesce("component", "fp").alias("root"))
-    first = whole.select("row", place.alias("place")).join(named.distinct(), "row").groupBy("root").agg(F.min("place").alias("first"))
-    kept = whole.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").dropDuplicates(["row"])
+    named = marked.join(by_shuffle(linked), "fp", "left").select("row", F.coalesce("component", "fp").alias("root"))
+    first = whole.select("row", place.alias("place")).join(by_shuffle(named.distinct()), "row").groupBy("root").agg(F.min("place").alias("first"))
+    kept = whole.join(by_shuffle(first.select(F.col("first.row").alias("row"))), "row", "left_semi").dropDuplicates(["row"])
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -120,3 +120,12 @@ def test_keys_are_not_broadcast(spark, tmp_path):
         assert simhash.link_fingerprints(fps).count() == 0  # random ones lie far apart
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_representatives_are_not_broadcast(spark, tmp_path):
+    spark.range(20_000).selectExpr("id as doc_id", "concat_ws(' ', sha2(string(id), 256), sha2(string(-id), 256)) as text").write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        assert simhash.representatives(spark.read.parquet(str(tmp_path / "docs"))).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
